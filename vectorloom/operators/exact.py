@@ -8,10 +8,11 @@ packed into blocks that meet through an ordinary equi-join instead.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.operators.kernel import BestPerQuery, dense_matrix, pair_distances
@@ -140,14 +141,31 @@ def knn_batch(
     return top_per_query(found, k).select("query_index", "rk", "id", "dist")
 
 
+#: Widest vector whose distance is spelled out term by term (one generated Java method).
+UNROLL_LIMIT = 128
+
+
+def distance_to(vec_col: str, query: np.ndarray) -> Column:
+    """Distance to one constant vector, unrolled so that it stays in generated code."""
+    element = [F.col(vec_col)[i].cast("double") - F.lit(float(v)) for i, v in enumerate(query)]
+    total = reduce(lambda a, b: a + b, [x * x for x in element])
+    wrong = F.raise_error(F.concat(F.lit("vector size "), F.size(vec_col).cast("string")))
+    return F.when(F.size(vec_col) == len(query), F.sqrt(total)).otherwise(wrong.cast("double"))
+
+
 def knn_single(
     base: DataFrame, query, k: int, id_col: str = "id", vec_col: str = "embedding"
 ) -> DataFrame:
     """Exact top-``k`` of one query vector: ``(id, dist)`` ordered by distance, then id."""
     check_k(k)
-    block = QueryBlock(np.zeros(1, dtype=np.int64), np.asarray(query, dtype=np.float64)[None, :])
-    found = local_best(columns_of(base, id_col, vec_col), block, k)
-    return found.select("id", "dist").orderBy("dist", "id").limit(k)
+    query = np.asarray(query, dtype=np.float64)
+    rows = columns_of(base, id_col, vec_col)
+    if len(query) <= UNROLL_LIMIT:
+        found = rows.select("id", distance_to("embedding", query).alias("dist"))
+    else:
+        block = QueryBlock(np.zeros(1, dtype=np.int64), query[None, :])
+        found = local_best(rows, block, k).select("id", "dist")
+    return found.orderBy("dist", "id").limit(k)
 
 
 def radius_search(

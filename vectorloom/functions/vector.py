@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from vectorloom.operators.kernel import dense_matrix, pair_distances
 
@@ -28,7 +29,7 @@ def l2_distance(left, right) -> Column:
     return F.sqrt(squared_l2(left, right))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def l2_distance_batch(left, right):
     """L2 distance of two vector columns, one Arrow batch at a time."""
     import pyarrow as pa

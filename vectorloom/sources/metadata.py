@@ -116,6 +116,6 @@ def unsupported_requests(requests: DataFrame, providers: DataFrame) -> DataFrame
     return requests.join(F.broadcast(providers), ["dataset", "provider"], "left_anti")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario result files, one JSON document per scenario."""
-    return spark.read.option("multiLine", "true").json(path)
+def read_results(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Scenario results: one (indented) document per file, or one per line as Spark writes."""
+    return spark.read.option("multiLine", str(one_per_file).lower()).json(path)

@@ -69,12 +69,12 @@ def encoded_stream(stream: DataFrame, index: PqIndex) -> DataFrame:
     return with_bucket(coded.select("id", "list_id", "codes"), "id", index.params.buckets)
 
 
-def append_lists(stream: DataFrame, index: IvfIndex, checkpoint: str) -> StreamingQuery:
+def append_lists(stream: DataFrame, index: IvfIndex, path: str, checkpoint: str) -> StreamingQuery:
     """Grow the inverted lists of an index with arriving vectors."""
     return (
         assigned_stream(stream, index)
         .writeStream.format("parquet")
-        .option("path", f"{index.path}/lists_stream")
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
         .partitionBy("list_id")
         .trigger(availableNow=True)

@@ -69,7 +69,11 @@ def check_buckets(buckets: int) -> None:
 
 
 def with_bucket(df: DataFrame, key: str, buckets: int, out: str = "id_bucket") -> DataFrame:
-    """Add ``out = bucket(key, buckets)``, binding every hash step to a column of its own."""
+    """Add ``out = bucket(key, buckets)``, binding every hash step to a column of its own.
+
+    The last step goes through ``explode`` of a one-element array: the optimizer moves filters
+    below projections by substitution, which would undo the binding, but never below that.
+    """
     check_buckets(buckets)
     names = df.columns
     lo, hi = "__bucket_lo", "__bucket_hi"
@@ -84,8 +88,8 @@ def with_bucket(df: DataFrame, key: str, buckets: int, out: str = "id_bucket") -
         {lo: _times(a, FINAL_1)},
         {lo: _fold(a, 13)},
         {lo: _times(a, FINAL_2)},
-        {out: _bucket_of(_fold(a, 16), buckets)},
     )
     for columns in rounds:
         df = df.withColumns(columns)
-    return df.select(*[n for n in names if n != out], out)
+    bucket = F.explode(F.array(_bucket_of(_fold(a, 16), buckets))).alias(out)
+    return df.select(*[n for n in names if n != out], bucket)

@@ -41,6 +41,10 @@ class QueryBlock:
     def __len__(self) -> int:
         return len(self.index)
 
+    def plain(self) -> tuple:
+        """Content as arrays: broadcasts carry data only, never classes of this package."""
+        return self.index, self.vectors, self.ceiling
+
     def part(self, chosen) -> "QueryBlock":
         ceiling = None if self.ceiling is None else self.ceiling[chosen]
         return QueryBlock(self.index[chosen], self.vectors[chosen], ceiling)
@@ -76,10 +80,10 @@ def columns_of(base: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFr
 
 def local_best(base: DataFrame, block: QueryBlock, k: int) -> DataFrame:
     """Per task, the ``k`` best rows of every query: ``(query_index, id, dist)``."""
-    shipped = base.sparkSession.sparkContext.broadcast(block)
+    shipped = base.sparkSession.sparkContext.broadcast(block.plain())
 
     def score(batches):
-        queries = shipped.value
+        queries = QueryBlock(*shipped.value)
         best = BestPerQuery(queries.vectors, k, queries.ceiling)
         dim = queries.vectors.shape[1]
         for batch in batches:
@@ -180,10 +184,10 @@ def radius_search(
     block = fetch_queries(queries)
     if block is None:
         return radius_blocks(base, queries, radius, id_col, vec_col)
-    shipped = rows.sparkSession.sparkContext.broadcast(block)
+    shipped = rows.sparkSession.sparkContext.broadcast(block.plain())
 
     def score(batches):
-        queries = shipped.value
+        queries = QueryBlock(*shipped.value)
         dim = queries.vectors.shape[1]
         for batch in batches:
             yield from within_radius(

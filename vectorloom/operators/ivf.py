@@ -322,10 +322,11 @@ def probe_scan(index, spark, block: QueryBlock, k: int, nprobe: int) -> DataFram
     if not len(block):
         return spark.createDataFrame([], CANDIDATES)
     probes = select_probes(block, index.centroids, nprobe)
-    shipped = spark.sparkContext.broadcast((block, queries_by_list(probes)))
+    shipped = spark.sparkContext.broadcast((block.plain(), queries_by_list(probes)))
 
     def score(batches):
-        queries, wanted = shipped.value
+        plain, wanted = shipped.value
+        queries = QueryBlock(*plain)
         best = BestPerQuery(queries.vectors, k)
         dim = queries.vectors.shape[1]
         for batch in batches:

@@ -208,11 +208,14 @@ def pq_candidates(
     buckets alone, so the candidate pool, and with it recall, may grow with ``dop``.
     """
     books, centroids = index.codebooks, index.ivf.centroids
-    shipped = spark.sparkContext.broadcast((block, queries_by_list(probes), centroids, books))
+    shipped = spark.sparkContext.broadcast(
+        (block.plain(), queries_by_list(probes), centroids, books)
+    )
     cache_limit = 64 * MIB
 
     def score(batches):
-        queries, wanted, centers, books = shipped.value
+        plain, wanted, centers, books = shipped.value
+        queries = QueryBlock(*plain)
         slots = np.repeat(queries.vectors, dop, axis=0)
         best = BestPerQuery(slots, pool)
         tables: dict[int, np.ndarray] = {}

@@ -227,15 +227,17 @@ def schema_contract(spark, sf_dir):
 
 
 @query(
-    "small_files_checked",
+    "pointer_files",
     """
-    SELECT count(*) AS files FROM (SELECT DISTINCT user_id FROM events)
+    SELECT count(*) AS files FROM (SELECT DISTINCT event_type FROM events)
     """,
 )
-def small_files_checked(spark, sf_dir):
-    """Pointer files among written text files: one stub per user is found again."""
+def pointer_files(spark, sf_dir):
+    """Version-control stubs among written files: one stub per event type is found again."""
     path = new_workdir(spark, "stubs")
-    stubs = table(spark, sf_dir, "events").select("user_id").distinct()
-    body = F.concat(F.lit("version https://git-lfs.github.com/spec/v1 oid "), F.col("user_id").cast("string"))
-    stubs.select("user_id", body.alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
+    stubs = table(spark, sf_dir, "events").select("event_type").distinct()
+    body = F.concat(F.lit("version https://git-lfs.github.com/spec/v1 oid "), F.col("event_type"))
+    stubs.select("event_type", body.alias("value")).repartition("event_type").write.partitionBy(
+        "event_type"
+    ).text(path)
     return quality.pointer_files(spark, path).agg(F.count("*").alias("files"))

@@ -19,8 +19,8 @@ def _col(value) -> Column:
 
 
 def strip(value) -> Column:
-    """Remove white space of any kind at both ends."""
-    return F.regexp_replace(_col(value), r"^\s+|\s+$", "")
+    """Remove white space (blank, tab, line and page breaks) at both ends."""
+    return F.trim(_col(value), F.lit(" \t\n\r\x0b\x0c"))
 
 
 def is_identifier(value) -> Column:
@@ -50,8 +50,9 @@ def local_path(location) -> Column:
     """Path of a bare absolute path or ``file:`` URI with escapes decoded, else NULL."""
     raw = _col(location)
     match = F.regexp_extract(raw, r"^file:(?://(?:localhost)?)?(/(?!/).*)$", 1)
-    decoded = F.try_url_decode(F.replace(match, F.lit("+"), F.lit("%2B")))
-    return F.when(raw.startswith("/"), raw).when(F.length(match) > 0, decoded)
+    escaped = F.try_url_decode(F.replace(match, F.lit("+"), F.lit("%2B")))
+    plain = F.when(F.contains(match, F.lit("%")), escaped).otherwise(match)
+    return F.when(raw.startswith("/"), raw).when(F.length(match) > 0, plain)
 
 
 def missing_markers(text, markers: list[str]) -> Column:

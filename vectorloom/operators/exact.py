@@ -285,10 +285,15 @@ def knn_blocks(
     """Exact top-``k`` when neither side fits a broadcast: ``(query_index, rk, id, dist)``."""
     check_k(k)
     pairs = paired_packs(base, queries, id_col, vec_col, pack, blocks)
+    return top_per_query(best_of_pairs(pairs, k), k).select("query_index", "rk", "id", "dist")
+
+
+def best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """``k`` best per query over the pack pairs a task sees; state is drained when it grows."""
     state_limit = STATE_LIMIT_BYTES
 
     def score(batches):
-        open_packs: dict[int, tuple[np.ndarray, BestPerQuery]] = {}
+        open_packs: dict[tuple, tuple[np.ndarray, BestPerQuery]] = {}
 
         def drain():
             for index, best in open_packs.values():
@@ -302,19 +307,18 @@ def knn_blocks(
                 ids, vectors, name, query_ids, query_vectors = (
                     batch.column(c)[row].as_py() for c in range(5)
                 )
-                if name not in open_packs:
+                key = (name, query_ids)
+                if key not in open_packs:
                     index, matrix = unpack(query_ids, query_vectors)
                     if spent + matrix.nbytes + 16 * k * len(index) > state_limit:
                         yield from drain()
                         spent = 0
-                    open_packs[name] = (index, BestPerQuery(matrix, k))
+                    open_packs[key] = (index, BestPerQuery(matrix, k))
                     spent += matrix.nbytes + 16 * k * len(index)
-                open_packs[name][1].offer(*unpack(ids, vectors))
+                open_packs[key][1].offer(*unpack(ids, vectors))
         yield from drain()
 
-    return top_per_query(pairs.mapInArrow(score, CANDIDATES), k).select(
-        "query_index", "rk", "id", "dist"
-    )
+    return pairs.mapInArrow(score, CANDIDATES)
 
 
 def radius_blocks(base, queries, radius, id_col="id", vec_col="embedding", pack=2048, blocks=None):

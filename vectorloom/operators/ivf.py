@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from vectorloom.functions.sampling import equidistant_position
 from vectorloom.operators.exact import (
     CANDIDATES,
+    MAX_SCANS,
     STATE_LIMIT_BYTES,
     QueryBlock,
+    best_of_pairs,
     candidate_batch,
     columns_of,
     fetch_queries,
@@ -283,27 +285,17 @@ def probed_lists(lists: DataFrame, probes: np.ndarray) -> DataFrame:
 
 
 def query_chunks(queries: DataFrame, per_chunk: int):
-    """Query blocks of bounded size; large query tables are cut by a stable range of ranks."""
+    """Query blocks of bounded size, or ``None`` when the queries exceed a few scans' worth."""
     block = fetch_queries(queries)
-    if block is not None:
-        for start in range(0, max(1, len(block)), per_chunk):
-            yield block.part(slice(start, start + per_chunk))
-        return
-    dim = queries.select(F.size("qvec").alias("dim")).head().dim
-    size = max(1, BROADCAST_LIMIT_BYTES // (16 * dim))
-    parts = -(-queries.count() // size) * 2
-    for part in range(parts):
-        piece = queries.where(F.pmod(F.xxhash64("query_index"), F.lit(parts)) == part)
-        block = fetch_queries(piece)
-        if block is None:
-            raise ValueError("query_index repeats too often to split the queries")
-        for start in range(0, len(block), per_chunk):
-            yield block.part(slice(start, start + per_chunk))
-
-
-def search_ivf(
-    index: IvfIndex, queries: DataFrame, k: int, nprobe: int = 10
-) -> DataFrame:
+    if block is None or len(block) > per_chunk * MAX_SCANS:
+        return None
+    return [
+        block.part(slice(start, start + per_chunk))
+        for start in range(0, max(1, len(block)), per_chunk)
+    ]
+
+
+def search_ivf(index: IvfIndex, queries: DataFrame, k: int, nprobe: int = 10) -> DataFrame:
     """Approximate top-``k``: probe ``nprobe`` lists, exact distance inside them.
 
     Probes are shipped to the scan of the lists, so list rows are never shuffled and a hot
@@ -311,13 +303,94 @@ def search_ivf(
     """
     check_k(k)
     spark = queries.sparkSession
+    blocks = query_chunks(queries, max(1, STATE_LIMIT_BYTES // (16 * k)))
+    if blocks is None:
+        return search_ivf_join(index, queries, k, nprobe)
     found = None
-    for block in query_chunks(queries, max(1, STATE_LIMIT_BYTES // (16 * k))):
+    for block in blocks:
         part = probe_scan(index, spark, block, k, nprobe)
         found = part if found is None else found.unionByName(part)
     return top_per_query(found, k).select("query_index", "rk", "id", "dist")
 
 
+PACK_FIELDS = {"list_id": pa.int32(), "pack": pa.int64(), "ids": pa.binary(), "payload": pa.binary()}
+LIST_PACKS = "list_id int, pack long, ids binary, payload binary"
+
+
+def pack_lists(rows: DataFrame, rows_per_pack: int, layout: str) -> DataFrame:
+    """Blocks of rows that share a list; ``rows`` has ``(list_id, id, values)`` in that order.
+
+    ``layout`` is the NumPy type the values are kept in (``<f4`` vectors, ``u1`` codes).
+    """
+
+    def pack(batches):
+        for batch in batches:
+            lists, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            values = dense_matrix(batch.column(2)).astype(layout)
+            out = []
+            for list_id, where in groups_of(lists):
+                for start in range(0, len(where), rows_per_pack):
+                    part = where[start : start + rows_per_pack]
+                    out.append(
+                        {
+                            "list_id": list_id,
+                            "pack": int(ids[part[0]]),
+                            "ids": ids[part].tobytes(),
+                            "payload": values[part].tobytes(),
+                        }
+                    )
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(PACK_FIELDS.items())))
+
+    return rows.mapInArrow(pack, LIST_PACKS)
+
+
+def list_blocks(index: IvfIndex, tasks: int) -> np.ndarray:
+    """Join keys per list, in proportion to its share of the training sample."""
+    share = index.sample_lists / max(1, index.sample_lists.sum())
+    return np.maximum(1, np.ceil(share * tasks)).astype(int)
+
+
+def paired_list_packs(
+    index: IvfIndex, rows: DataFrame, layout: str, queries: DataFrame, nprobe: int, pack: int
+) -> DataFrame:
+    """Every pack of a list next to every pack of the queries that probe it.
+
+    Large lists are spread over several keys and their query packs repeated for each, so one
+    list may hold any share of rows or probes without becoming one task.
+    """
+    tasks = int(index.params.num_clusters + 4 * queries.sparkSession.sparkContext.defaultParallelism)
+    blocks = F.element_at(F.lit(list_blocks(index, tasks).tolist()), F.col("list_id") + 1)
+    block = F.pmod(F.xxhash64("pack"), blocks).alias("block")
+    left = pack_lists(rows, pack, layout).select("list_id", block, "ids", "payload")
+
+    asked = probe_table(queries, index.centroids, nprobe).select("query_index", "list_id")
+    asked = asked.join(queries.select("query_index", "qvec"), "query_index")
+    spread = F.pmod(F.xxhash64("query_index"), blocks).alias("part")
+    placed = asked.select("list_id", "query_index", "qvec", spread)
+    placed = placed.repartition("list_id", "part").select("list_id", "query_index", "qvec")
+    right = pack_lists(placed, pack, "<f4").select(
+        "list_id",
+        F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"),
+        F.col("pack").alias("query_pack"),
+        F.col("ids").alias("query_ids"),
+        F.col("payload").alias("query_vectors"),
+    )
+    return left.join(right, ["list_id", "block"])
+
+
+def search_ivf_join(
+    index: IvfIndex, queries: DataFrame, k: int, nprobe: int = 10, pack: int = 2048
+) -> DataFrame:
+    """:func:`search_ivf` for query sets too large to ship: lists and probes meet in a join."""
+    check_k(k)
+    rows = index.lists(queries.sparkSession).select("list_id", "id", "embedding")
+    pairs = paired_list_packs(index, rows, "<f4", queries, nprobe, pack).select(
+        "ids", "payload", "query_pack", "query_ids", "query_vectors"
+    )
+    return top_per_query(best_of_pairs(pairs, k), k).select("query_index", "rk", "id", "dist")
+
+
 def probe_scan(index, spark, block: QueryBlock, k: int, nprobe: int) -> DataFrame:
     if not len(block):
         return spark.createDataFrame([], CANDIDATES)

@@ -24,6 +24,7 @@ from vectorloom.operators.ivf import (
     check_shipped,
     groups_of,
     mean_vectors,
+    paired_list_packs,
     probed_lists,
     queries_by_list,
     query_chunks,
@@ -238,16 +239,7 @@ def pq_candidates(
                     at = in_list[rows]
                     dist = adc_distances(tables[list_id], codes[at])
                     best.offer_scored(ids[at], dist, asking * dop + worker)
-        position, ids, dist = best.rows()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(queries.index[position // dop], pa.int64()),
-                pa.array((position % dop).astype(np.int32)),
-                pa.array(ids, pa.int64()),
-                pa.array(dist),
-            ],
-            names=["query_index", "worker", "id", "adc"],
-        )
+        yield candidate_rows(queries.index, dop, best)
 
     rows = probed_lists(index.codes(spark), probes).select("id", "codes", "id_bucket", "list_id")
     return cap_per_worker(rows.mapInArrow(score, CANDIDATES), pool)
@@ -291,8 +283,11 @@ def search_pq(
         raise ValueError("dop must be positive")
     spark = queries.sparkSession
     pool = pool or fetch_k(k)
+    blocks = query_chunks(queries, max(1, BROADCAST_LIMIT_BYTES // (24 * pool * dop)))
+    if blocks is None:
+        return search_pq_join(index, queries, k, nprobe, dop, pool)
     found = None
-    for block in query_chunks(queries, max(1, BROADCAST_LIMIT_BYTES // (24 * pool * dop))):
+    for block in blocks:
         if not len(block):
             continue
         probes = select_probes(block, index.ivf.centroids, nprobe)
@@ -303,3 +298,70 @@ def search_pq(
     if found is None:
         return spark.createDataFrame([], "query_index long, rk int, id long, dist double")
     return found.select("query_index", "rk", "id", "dist")
+
+
+def search_pq_join(
+    index: PqIndex,
+    queries: DataFrame,
+    k: int,
+    nprobe: int,
+    dop: int,
+    pool: int,
+    pack: int = 2048,
+) -> DataFrame:
+    """:func:`search_pq` for query sets too large to ship: every step is a join."""
+    spark = queries.sparkSession
+    owner = F.pmod("id_bucket", F.lit(dop)).cast("short")
+    coded = index.codes(spark).select(
+        "list_id", "id", F.concat(F.array(owner), F.col("codes")).alias("values")
+    )
+    pairs = paired_list_packs(index.ivf, coded, "<i2", queries, nprobe, pack).select(
+        "list_id", "ids", "payload", "query_ids", "query_vectors"
+    )
+    shipped = spark.sparkContext.broadcast((index.ivf.centroids, index.codebooks))
+
+    def score(batches):
+        centers, books = shipped.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                list_id, ids, values, query_ids, query_vectors = (
+                    batch.column(c)[row].as_py() for c in range(5)
+                )
+                ids = np.frombuffer(ids, dtype="<i8")
+                values = np.frombuffer(values, dtype="<i2").reshape(len(ids), -1).astype(np.int64)
+                asking = np.frombuffer(query_ids, dtype="<i8")
+                vectors = np.frombuffer(query_vectors, dtype="<f4").reshape(len(asking), -1)
+                for start in range(0, len(asking), 128):
+                    part = slice(start, start + 128)
+                    tables = lookup_tables(vectors[part].astype(float), centers[list_id], books)
+                    best = BestPerQuery(np.repeat(vectors[part].astype(float), dop, axis=0), pool)
+                    slots = np.arange(len(tables)) * dop
+                    for worker, rows in groups_of(values[:, 0]):
+                        best.offer_scored(
+                            ids[rows], adc_distances(tables, values[rows, 1:]), slots + worker
+                        )
+                    yield candidate_rows(asking[part], dop, best)
+
+    candidates = cap_per_worker(pairs.mapInArrow(score, CANDIDATES), pool)
+    vectors = index.ivf.lists(spark).select("id", "embedding")
+    wanted = candidates.select("query_index", "id").join(
+        queries.select("query_index", "qvec"), "query_index"
+    )
+    scored = vectors.join(wanted, "id").select(
+        "query_index", "id", l2_distance_batch("embedding", "qvec").alias("dist")
+    )
+    return top_per_query(scored, k).select("query_index", "rk", "id", "dist")
+
+
+def candidate_rows(index: np.ndarray, dop: int, best: BestPerQuery) -> pa.RecordBatch:
+    """Kept rows of slots numbered ``query * dop + worker``."""
+    position, ids, dist = best.rows()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(index[position // dop], pa.int64()),
+            pa.array((position % dop).astype(np.int32)),
+            pa.array(ids, pa.int64()),
+            pa.array(dist),
+        ],
+        names=["query_index", "worker", "id", "adc"],
+    )

@@ -35,6 +35,28 @@ def knn_single(spark, sf_dir):
     return found.select("id", F.round("dist", 6).alias("dist"))
 
 
+@query(
+    "knn_statement",
+    """
+    WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    q AS (SELECT v AS qv FROM e ORDER BY id DESC LIMIT 1)
+    SELECT id FROM e, q ORDER BY list_distance(v, qv), id LIMIT 10
+    """,
+)
+def knn_statement(spark, sf_dir):
+    """The search as one SQL statement: distance to a vector literal, ordered, limited, ids only."""
+    register_functions(spark)
+    base = vectors(spark, sf_dir)
+    base.createOrReplaceTempView("suite_vectors")
+    literal = base.orderBy(F.desc("id")).select(vector_literal("embedding").alias("t")).head().t
+    return spark.sql(
+        f"""
+        SELECT id FROM (SELECT id, l2_distance(embedding, vec_parse('{literal}')) AS dist FROM suite_vectors)
+        ORDER BY dist, id LIMIT {K}
+        """
+    )
+
+
 @query("knn_batch", NEIGHBOUR_SQL)
 def knn_batch(spark, sf_dir):
     return neighbours(exact.knn_batch(vectors(spark, sf_dir), all_queries(spark, sf_dir), K))

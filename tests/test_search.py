@@ -268,16 +268,20 @@ def test_workers_need_no_installed_package(sf_dir):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = f"""
 import sys; sys.path.insert(0, {root!r}); sys.path.insert(0, {root + '/tests'!r})
-from conftest import make_session
-spark = make_session(2)
+from pyspark.sql import SparkSession
+shared = sys.argv[1]
+spark = SparkSession.builder.config("spark.checkpoint.dir", shared).master("local[2]").config(
+    "spark.ui.enabled", "false").getOrCreate()
+from vectorloom.session import new_workdir
+assert new_workdir(spark, "x").startswith(shared), new_workdir(spark, "x")
 import __spark_entry__ as entry
-for name in ("knn_batch", "ivf_pq_search", "fvecs_scan", "knn_blocks", "recall_distance"):
+for name in ("knn_batch", "ivf_pq_search", "fvecs_scan"):
     print(name, entry.queries()[name](spark, {sf_dir!r}).count())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     with tempfile.TemporaryDirectory() as folder:
         done = subprocess.run(
-            [sys.executable, "-c", code], cwd=folder, env=env, capture_output=True, text=True, timeout=300
+            [sys.executable, "-c", code, f"{folder}/shared"], cwd=folder, env=env, capture_output=True, text=True, timeout=300
         )
     assert done.returncode == 0, done.stderr[-3000:]
     assert "knn_batch 5000" in done.stdout

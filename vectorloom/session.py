@@ -20,17 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a temporary folder: there driver and
     executors are one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="vectorloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="vectorloom-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def new_workdir(spark: SparkSession, label: str) -> str:

@@ -40,9 +40,8 @@ METADATA_SCHEMA = (
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Raw documents ``(path, document)``; one row per metadata file."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(
-        path
-    ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
 
 
 def current_metadata(documents: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from vectorloom.operators.kernel import (
     dense_matrix,
     nearest_center,
     squared_to_each,
+    sums_by,
 )
 from vectorloom.operators.topk import check_k, top_per_query
 from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB, materialize, new_workdir
@@ -101,9 +102,9 @@ def lloyd_round(sample: DataFrame, centers: np.ndarray, decimals: int) -> np.nda
         sums, counts = np.zeros_like(known), np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             rows = dense_matrix(batch.column(0), known.shape[1])
-            best = nearest_center(rows, known)
-            np.add.at(sums, best, rows)
-            counts += np.bincount(best, minlength=len(known))
+            part, n = sums_by(nearest_center(rows, known), rows, len(known))
+            sums += part
+            counts += n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [
@@ -199,14 +200,16 @@ def write_lists(assigned: DataFrame, index: IvfIndex, count: int) -> None:
 
     A list expected to be large (its share of the training sample times the row count) is
     spread over several writers, so one list may hold any share of the table. The share only
-    sets the number of files; every row is written whatever it says.
+    sets the number of files; every row is written whatever it says. Small lists share tasks.
     """
     dim = index.centroids.shape[1]
     share = index.sample_lists / max(1, index.sample_lists.sum())
     writers = np.maximum(1, np.ceil(share * count * dim * 4 / LIST_FILE_BYTES)).astype(int)
     spread = F.element_at(F.lit(writers.tolist()), F.col("list_id") + 1)
     salted = assigned.withColumn("__salt", F.pmod(F.xxhash64("id"), spread))
-    partitions = int(max(writers.sum(), 1))
+    size = -(-count * dim * 4 // LIST_FILE_BYTES)
+    cores = assigned.sparkSession.sparkContext.defaultParallelism
+    partitions = int(min(writers.sum(), max(size, cores)))
     (
         salted.repartition(partitions, "list_id", "__salt")
         .drop("__salt")

@@ -53,26 +53,61 @@ def squared_to_each(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def nearest_center(rows: np.ndarray, centers: np.ndarray, decimals: int = 9) -> np.ndarray:
-    """Index of the nearest center per row; equal rounded distances go to the lowest index."""
+    """Index of the nearest center per row; equal rounded distances go to the lowest index.
+
+    Identical centers are compared once: where many rows are copies, so are many seeds.
+    """
+    _, first = np.unique(centers, axis=0, return_index=True)
+    first.sort()
+    distinct = centers[first]
+    norms = (distinct * distinct).sum(axis=1)
     out = np.empty(len(rows), dtype=np.int64)
-    norms = (centers * centers).sum(axis=1)
-    step = max(1, SCRATCH // max(1, len(centers)))
+    step = max(1, SCRATCH // 16 // max(1, len(distinct)))
     for start in range(0, len(rows), step):
         block = rows[start : start + step]
-        own = (block * block).sum(axis=1)
-        approx = own[:, None] + norms[None, :] - 2.0 * (block @ centers.T)
-        slack = 2.0 * 10.0**-decimals + rounding_slack(own, norms, rows.shape[1])
-        close = approx <= (approx.min(axis=1) + slack)[:, None]
-        best = approx.argmin(axis=1)
-        for i in np.flatnonzero(close.sum(axis=1) > 1):
-            rivals = np.flatnonzero(close[i])
-            diff = centers[rivals] - block[i]
-            exact = np.round((diff * diff).sum(axis=1), decimals)
-            best[i] = rivals[exact.argmin()]
-        out[start : start + step] = best
+        # The row's own norm is the same for every center, so it is left out of the ranking.
+        score = block @ (-2.0 * distinct.T)
+        score += norms
+        best = score.argmin(axis=1)
+        lowest = score[np.arange(len(block)), best]
+        slack = 2.0 * 10.0**-decimals + rounding_slack((block * block).sum(axis=1), norms, rows.shape[1])
+        close = score <= (lowest + slack)[:, None]
+        unsure = np.flatnonzero(np.count_nonzero(close, axis=1) > 1)
+        if len(unsure):
+            rivals = np.flatnonzero(close[unsure].any(axis=0))
+            exact = np.round(squared_to_each(block[unsure], distinct[rivals]), decimals)
+            best[unsure] = rivals[exact.argmin(axis=1)]
+        out[start : start + step] = first[best]
     return out
 
 
+def sums_by(keys: np.ndarray, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vector sums and row counts per key ``0 .. count-1``."""
+    sums, counts = np.zeros((count, rows.shape[1])), np.bincount(keys, minlength=count)
+    used = np.flatnonzero(counts)
+    if len(used):
+        starts = np.concatenate([[0], np.cumsum(counts[used])[:-1]])
+        sums[used] = np.add.reduceat(rows[np.argsort(keys, kind="stable")], starts, axis=0)
+    return sums, counts
+
+
+def spare_copies(ids: np.ndarray, rows: np.ndarray, norms: np.ndarray, k: int):
+    """Positions that can matter: of identical rows only the ``k`` lowest ids (``None`` = all).
+
+    Copies are equally far from every query, so a higher id can never displace a lower one.
+    """
+    order = np.lexsort((ids, norms))
+    alike = np.diff(norms[order]) == 0
+    if alike.sum() < max(k, len(ids) // 8):
+        return None
+    at = np.flatnonzero(alike)
+    same = np.zeros(len(ids), dtype=bool)
+    same[at + 1] = (rows[order[at]] == rows[order[at + 1]]).all(axis=1)
+    position = np.arange(len(ids))
+    run_start = np.maximum.accumulate(np.where(same, 0, position))
+    return order[position - run_start < k]
+
+
 def rounding_slack(own_norms: np.ndarray, norms: np.ndarray, dim: int) -> np.ndarray:
     """Upper bound of the error the norm expansion can add to a squared distance."""
     largest = float(norms.max()) if len(norms) else 0.0
@@ -97,6 +132,9 @@ class BestPerQuery:
         if which is None:
             which = np.arange(len(self.queries))
         row_norms = (rows * rows).sum(axis=1)
+        kept = spare_copies(ids, rows, row_norms, self.k)
+        if kept is not None:
+            ids, rows, row_norms = ids[kept], rows[kept], row_norms[kept]
         step = max(1, SCRATCH // len(rows))
         for start in range(0, len(which), step):
             self._offer_block(ids, rows, row_norms, which[start : start + step])

@@ -36,6 +36,7 @@ from vectorloom.operators.kernel import (
     BestPerQuery,
     dense_matrix,
     nearest_center,
+    sums_by,
 )
 from vectorloom.operators.topk import cap_per_worker, check_k, fetch_k, top_per_query
 from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB
@@ -104,9 +105,9 @@ def codebook_round(sample: DataFrame, centroids, books, decimals: int) -> np.nda
             rows = dense_matrix(batch.column(0), centers.shape[1])
             residual = residual_parts(rows, nearest_center(rows, centers), centers, parts)
             for m in range(parts):
-                best = nearest_center(residual[:, m], known[m])
-                np.add.at(sums[m], best, residual[:, m])
-                counts[m] += np.bincount(best, minlength=codes)
+                part, n = sums_by(nearest_center(residual[:, m], known[m]), residual[:, m], codes)
+                sums[m] += part
+                counts[m] += n
         m, code = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [

@@ -8,7 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import exact, ivf, pq
-from vectorloom.operators.kernel import BestPerQuery, dense_matrix, nearest_center
+from vectorloom.operators.kernel import (
+    BestPerQuery,
+    dense_matrix,
+    nearest_center,
+    spare_copies,
+    sums_by,
+)
 from vectorloom.plans.gate import PlanError, check_plan, plan_text
 
 DIM = 12
@@ -153,6 +159,29 @@ def test_best_per_query_keeps_ids_on_ties():
     assert best.rows()[1].tolist() == [1, 4]
 
 
+def test_copies_beyond_k_are_spared():
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.normal(size=(30, 3)), np.ones((40, 3)), -np.ones((40, 3))])
+    ids = rng.permutation(len(rows))
+    kept = spare_copies(ids, rows, (rows * rows).sum(axis=1), 4)
+    assert len(kept) == 30 + 4 + 4 and len(set(kept.tolist())) == len(kept)
+    for value in (1.0, -1.0):
+        copies = sorted(ids[(rows == value).all(axis=1)].tolist())[:4]
+        assert sorted(ids[k] for k in kept if (rows[k] == value).all()) == copies
+    few = rng.normal(size=(50, 3))
+    assert spare_copies(np.arange(50), few, (few * few).sum(axis=1), 4) is None
+
+
+def test_nearest_center_with_repeated_centers():
+    rng = np.random.default_rng(4)
+    centers = np.repeat(rng.normal(size=(5, 6)), 3, axis=0)
+    rows = np.concatenate([rng.normal(size=(200, 6)), centers])
+    dist = np.round(((rows[:, None] - centers[None]) ** 2).sum(axis=2), 9)
+    assert nearest_center(rows, centers).tolist() == dist.argmin(axis=1).tolist()
+    sums, counts = sums_by(np.array([2, 0, 2]), rows[:3], 4)
+    assert counts.tolist() == [1, 0, 2, 0] and np.allclose(sums[2], rows[0] + rows[2])
+
+
 def test_dense_matrix_rejects_nulls():
     import pyarrow as pa
 
@@ -271,7 +300,7 @@ import sys; sys.path.insert(0, {root!r}); sys.path.insert(0, {root + '/tests'!r}
 from pyspark.sql import SparkSession
 shared = sys.argv[1]
 spark = SparkSession.builder.config("spark.checkpoint.dir", shared).master("local[2]").config(
-    "spark.ui.enabled", "false").getOrCreate()
+    "spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 from vectorloom.session import new_workdir
 assert new_workdir(spark, "x").startswith(shared), new_workdir(spark, "x")
 import __spark_entry__ as entry

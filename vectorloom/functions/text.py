@@ -49,10 +49,14 @@ def positive_ints(text) -> Column:
 def local_path(location) -> Column:
     """Path of a bare absolute path or ``file:`` URI with escapes decoded, else NULL."""
     raw = _col(location)
-    match = F.regexp_extract(raw, r"^file:(?://(?:localhost)?)?(/(?!/).*)$", 1)
-    escaped = F.try_url_decode(F.replace(match, F.lit("+"), F.lit("%2B")))
-    plain = F.when(F.contains(match, F.lit("%")), escaped).otherwise(match)
-    return F.when(raw.startswith("/"), raw).when(F.length(match) > 0, plain)
+    rest = (
+        F.when(raw.startswith("file:///"), F.substr(raw, F.lit(8)))
+        .when(raw.startswith("file://localhost/"), F.substr(raw, F.lit(17)))
+        .when(raw.startswith("file:/") & ~raw.startswith("file://"), F.substr(raw, F.lit(6)))
+    )
+    escaped = F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B")))
+    plain = F.when(F.contains(raw, F.lit("%")), escaped).otherwise(rest)
+    return F.when(raw.startswith("/"), raw).otherwise(plain)
 
 
 def missing_markers(text, markers: list[str]) -> Column:

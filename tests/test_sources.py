@@ -116,6 +116,9 @@ def test_log_parse(spark, tmp_path):
     assert [r.elapsed_ms for r in times] == [12.5, 8.25]
     missing = text_source.queries_without_time(lines, 3).collect()
     assert [r.query_no for r in missing] == [2]
+    assert text_source.queries_without_time(lines).count() == 0
+    with pytest.raises(ValueError):
+        text_source.queries_without_time(lines, 0)
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 5, 100])

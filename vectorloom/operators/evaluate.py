@@ -14,7 +14,7 @@ from vectorloom.functions.text import scenario_label
 from vectorloom.functions.vector import l2_distance_batch
 from vectorloom.operators.exact import knn_batch
 from vectorloom.operators.percentiles import percentile_table
-from vectorloom.operators.topk import MAX_K
+from vectorloom.operators.topk import MAX_K, top_per_group
 from vectorloom.session import ship_if_small
 
 #: Slack added to the k-th true distance, so that ties count as hits.
@@ -159,6 +159,20 @@ def timed_only(timings: DataFrame, warmup: int, query_count: int) -> DataFrame:
     return timings.where(F.col("statement_no") >= min(warmup, query_count))
 
 
+def without_warmup(timings: DataFrame, run: list[str], order: str, warmup: int) -> DataFrame:
+    """Same for statements that carry no number: drop the first ``warmup`` of every run.
+
+    Only the few warm-up rows are ranked, cut down before the shuffle, so a long run is never
+    sorted in one task.
+    """
+    if warmup < 0:
+        raise ValueError("warmup must not be negative")
+    if warmup == 0:
+        return timings
+    first = top_per_group(timings.select(*run, order), warmup, run, [order]).select(*run, order)
+    return timings.join(first, [*run, order], "left_anti")
+
+
 def latency_summary(timings: DataFrame, group: list[str], value: str = "elapsed_ms", **limits) -> DataFrame:
     """Sum, mean, percentiles, extremes and throughput per group.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectorloom.session import materialize
+from vectorloom.session import materialize, ship_if_small
 
 #: Up to this many input rows the built-in aggregate (one hash map per group) is used.
 BUILTIN_ROWS = 5_000_000
@@ -67,7 +67,7 @@ def ranked_percentiles(df: DataFrame, group: list[str], value: str, percents: li
         F.posexplode(F.array(*[(F.col("rows") - 1) * (p / 100.0) for p in percents])).alias("pos", "at"),
     )
     low, high = F.floor("at"), F.ceil("at")
-    spans = ranked.join(positions, group)
+    spans = ranked.join(ship_if_small(positions, 64), group)
     hit = spans.where((F.col("first") <= high) & (F.col("last") >= low))
     between = hit.groupBy(*group, "pos", "at").agg(
         F.max(F.when((F.col("first") <= low) & (F.col("last") >= low), F.col(value))).alias("lower"),

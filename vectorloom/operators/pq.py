@@ -252,6 +252,7 @@ def rerank(
     """Exact distance of every candidate, best ``k`` per query.
 
     The caller bounds the candidates, so they go to the vectors and not the other way round.
+    A row belongs to one bucket and so to one worker: candidates are distinct already.
     """
     spark = candidates.sparkSession
     queries = spark.createDataFrame(
@@ -262,7 +263,7 @@ def rerank(
             }
         )
     )
-    wanted = candidates.select("query_index", "id").distinct()
+    wanted = candidates.select("query_index", "id")
     hit = vectors.select("id", "embedding").join(F.broadcast(wanted), "id")
     scored = hit.join(F.broadcast(queries), "query_index").select(
         "query_index", "id", l2_distance_batch("embedding", "qvec").alias("dist")

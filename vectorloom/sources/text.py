@@ -16,6 +16,10 @@ from vectorloom.functions.text import (
 )
 
 
+#: Largest query set of one benchmark run.
+MAX_QUERIES = 1_000_000
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, chunk, seq, line)``: line order without numbering the whole file.
 
@@ -99,10 +103,28 @@ def statement_times(lines: DataFrame) -> DataFrame:
     )
 
 
-def queries_without_time(lines: DataFrame, query_count: int) -> DataFrame:
-    """Expected queries that reported no time: ``(file, query_no)``; empty means complete."""
-    files = lines.select("file").distinct()
-    expected = files.select(
-        "file", F.explode(F.expr(f"sequence(0L, {query_count - 1}L)")).alias("query_no")
+def begun_queries(lines: DataFrame) -> DataFrame:
+    """Queries whose begin marker occurs: ``(file, query_no)``."""
+    number = F.regexp_extract(strip("line"), QUERY_BEGIN_PATTERN, 1)
+    return (
+        lines.select("file", number.alias("number"))
+        .where(F.length("number") > 0)
+        .select("file", F.col("number").cast("long").alias("query_no"))
+        .distinct()
     )
+
+
+def queries_without_time(lines: DataFrame, query_count: int | None = None) -> DataFrame:
+    """Queries that reported no time: ``(file, query_no)``; empty means complete.
+
+    Expected are ``0 .. query_count-1`` of every file (a benchmark's bounded query set), or
+    without a count the queries that were begun.
+    """
+    if query_count is None:
+        expected = begun_queries(lines)
+    else:
+        if not 1 <= query_count <= MAX_QUERIES:
+            raise ValueError(f"query_count must lie in 1..{MAX_QUERIES}")
+        numbers = F.explode(F.expr(f"sequence(0L, {query_count - 1}L)")).alias("query_no")
+        expected = lines.select("file").distinct().select("file", numbers)
     return expected.join(statement_times(lines), ["file", "query_no"], "left_anti")

@@ -185,12 +185,8 @@ def percentiles_by_user(spark, sf_dir):
     """,
 )
 def warmup_excluded(spark, sf_dir):
-    """Statements are numbered per run; the first five only warm up."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("user_id").orderBy("event_id")
-    numbered = table(spark, sf_dir, "events").withColumn("statement_no", F.row_number().over(order) - 1)
-    timed = evaluate.timed_only(numbered, 5, 1_000_000)
+    """The first five statements of a run only warm up."""
+    timed = evaluate.without_warmup(table(spark, sf_dir, "events"), ["user_id"], "event_id", 5)
     return timed.groupBy("user_id").agg(
         F.count("*").alias("queries"), F.round(F.avg("value"), 6).alias("mean_ms")
     )

@@ -11,6 +11,7 @@ from vectorloom.operators import exact
 from vectorloom.operators.evaluate import ground_truth, truth_lists, truth_rows
 from vectorloom.operators.topk import cap_per_worker, fetch_k_column
 from vectorloom.functions.bucket import with_bucket
+from vectorloom.session import ship_if_small
 from vectorloom.suite.base import EXACT_CTE, K, all_queries, neighbours, query, table, vectors
 
 NEIGHBOUR_SQL = f"""
@@ -202,7 +203,7 @@ def l2_expressions(spark, sf_dir):
     """Distance of every vector to the first one of its label, as built-in expressions."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
     first = rows.groupBy("label").agg(F.min_by("embedding", "id").alias("center"))
-    joined = rows.join(first, "label")
+    joined = rows.join(ship_if_small(first, 1024), "label")
     return joined.select(
         "id",
         F.round(l2_distance("embedding", "center"), 6).alias("dist"),

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vectorloom.llm import quality
 from vectorloom.llm.codes import read_documents, write_tokens
 from vectorloom.llm.packing import pack
+from vectorloom.llm.transducer import count_tokens
+from vectorloom.session import materialize
 
 LLM_QUERIES = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -34,6 +38,95 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, manifest).drop("file")
 
 
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) v(o) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, lang, len(w) AS n_words,
+         CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+         [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines,
+         coalesce(cov.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (doc_id)),
+f AS (
+  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         [CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END,
+          CASE WHEN len(lines) > 0 THEN (len(lines) - len(list_distinct(lines))) / len(lines) ELSE 0 END,
+          CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END,
+          CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END,
+          CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END] AS v
+  FROM m),
+grid AS (@GRID@),
+good AS (
+  SELECT lang, v FROM f JOIN (
+    SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)),
+n AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+lim AS (
+  SELECT lang, max(CASE WHEN p <= @ERROR@ / (@TESTS@ * (SELECT count(*) FROM n)) THEN k ELSE -1 END) AS allowed
+  FROM (
+    SELECT lang, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(@RATE@)
+             + (n - k) * ln(1 - @RATE@))) OVER (PARTITION BY lang ORDER BY k) AS p
+    FROM (SELECT lang, n, unnest(range(0, CAST(floor(n * @RATE@) AS BIGINT) + 1)) AS k FROM n))
+  GROUP BY lang),
+cut AS (
+  SELECT x.lang, r, min(c) AS c FROM (
+    SELECT good.lang, r, c, count(*) FILTER (WHERE v[r] > c) AS rejected FROM good, grid GROUP BY ALL) x
+  JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang
+  WHERE rejected <= allowed GROUP BY x.lang, r)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (
+         SELECT 1 FROM cut WHERE cut.lang IS NOT DISTINCT FROM f.lang AND f.v[cut.r] > cut.c) AS kept
+FROM f
+"""
+QUALITY_SQL = (
+    QUALITY_SQL.replace(
+        "@GRID@",
+        " UNION ALL ".join(
+            f"SELECT {r} AS r, unnest({list(c)}::DOUBLE[]) AS c" for r, c in enumerate(quality.RULES.values(), 1)
+        ),
+    )
+    .replace("@ERROR@", repr(quality.ERROR))
+    .replace("@TESTS@", str(len(quality.RULES) * 10))
+    .replace("@RATE@", repr(quality.RISK / len(quality.RULES)))
+)
+
+
+@query("op3_quality_rules", QUALITY_SQL)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured, name = quality.measure(docs)
+    # Numbers only: the texts are read once, the measures twice.
+    measured = materialize(measured.drop("text"), "measures")
+    cutoffs = quality.select_cutoffs(measured, table(spark, sf_dir, "labels"), name)
+    m = F.col(name)
+    return measured.select(
+        "doc_id",
+        m["n_words"].alias("n_words"),
+        m["word_chars"].alias("word_chars"),
+        m["n_symbols"].alias("n_symbols"),
+        (m["n_lines"] - m["n_distinct_lines"]).alias("n_dup_lines"),
+        m["n_repeat_words"].alias("n_repeat_words"),
+        quality.base_failed(m).alias("base_failed"),
+        quality.verdicts(measured, cutoffs, name).alias("kept"),
+    )
+
+
 @query("op5_harmonic_packing")
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import quality
+from vectorloom.llm import quality, urls
 from vectorloom.llm.codes import read_documents, write_tokens
+from vectorloom.llm.mixing import mix
 from vectorloom.llm.packing import pack
 from vectorloom.llm.transducer import count_tokens
 from vectorloom.session import materialize
@@ -130,3 +131,65 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_harmonic_packing")
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+  FROM d GROUP BY source),
+c AS (SELECT *, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0.0))
+            / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level
+  FROM c WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size,
+         least(coalesce(first_value(CASE WHEN level * w <= cap THEN level END IGNORE NULLS) OVER (
+           ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w, cap), cap)
+           AS target,
+         CAST('0x' || substr(md5('0:' || coalesce('s' || source, 'null')), 1, 12) AS BIGINT) / 281474976710656.0 AS o
+  FROM l),
+r AS (
+  SELECT doc_id, size, source_size, target, o,
+         CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate,
+         row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * least(floor((k + 1) * rate + o) - floor(k * rate + o), 3) AS BIGINT) AS taken
+FROM r
+"""
+
+
+@query("op8_source_mixing", MIX_SQL)
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+u AS (
+  SELECT row_number() OVER () AS k, page_id,
+         coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM p),
+r(host, path, verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, u.host AS host, u.path AS path, r.host || r.path AS rule, coalesce(r.verdict, 'allow') AS verdict
+FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1
+"""
+
+
+@query("op9_url_filters", URL_SQL)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))

@@ -7,9 +7,11 @@ is the ``t`` for which the capped shares add up to the total, found with one sor
 the sources (a table with a row per source).
 
 A source's documents are laid out in order of size (then id), each as long as its expected
-number of copies, ``target / source size``. One offset, drawn from a digest of seed and source,
-is added, and a document is taken once per integer boundary that it crosses. As neighbours
-are of like size, the words taken differ from the target by little more than one document.
+number of copies, ``target / source size``. One offset is added, and a document is taken once
+per integer boundary that it crosses. As neighbours are of like size, the words taken differ
+from the target by no more than about the largest document. That is much for a source of a few
+dozen documents, so ``DRAWS`` offsets are drawn from digests of seed and source, and the one
+whose taken words come nearest to the target is used.
 
 A source may hold a third of all rows, so ranks come from range partitions of (source, size,
 id): rows are numbered inside their partition, and the counts of the partitions before are
@@ -61,13 +63,22 @@ def targets(sized: DataFrame, weights=WEIGHTS, most_copies: int = MOST_COPIES) -
     )
 
 
-def offset_of(source: Column, seed: int) -> Column:
-    """A number in [0, 1) per source, the same in every run."""
+#: Offsets drawn per source.
+DRAWS = 32
+
+
+def offset_of(source: Column, seed: int, draw: int) -> Column:
+    """A number in [0, 1) per source and draw, the same in every run."""
     name = F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:{draw}:"), name).cast("binary"))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def crossings(rank: Column, rate: Column, offset: Column) -> Column:
+    """Integer boundaries inside ``[rank * rate, (rank + 1) * rate) + offset``."""
+    return F.least(F.floor((rank + 1) * rate + offset) - F.floor(rank * rate + offset), F.lit(MOST_COPIES))
+
+
 def mix(
     docs: DataFrame,
     seed: int = 0,
@@ -104,19 +115,34 @@ def mix(
             F.col("s.source").alias("of"), F.col("part").alias("in_part"), "first", "source_size", "target",
             F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES))))
             .otherwise(F.lit(0.0)).alias("rate"),
-            offset_of(F.col("s.source"), seed).alias("offset"),
         )
     )
     inside = Window.partitionBy("part", "source").orderBy("size", "doc_id")
-    ranked = ranged.withColumn("at", F.row_number().over(inside) - 1)
-    placed = ranked.join(
-        plan, (F.col("part") == F.col("in_part")) & F.col("source").eqNullSafe(F.col("of"))
+
+    def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("at", F.row_number().over(inside) - 1)
+        on_part = (F.col("part") == F.col("in_part")) & F.col("source").eqNullSafe(F.col("of"))
+        return ranked.join(plan, on_part).withColumn("rank", F.col("first") + F.col("at"))
+
+    # Words that each of the offsets would take, added up per source.
+    rank, rate = F.col("rank"), F.col("rate")
+    tried = placed(ranged.select("source", "size", "doc_id", "part"), plan).groupBy("source").agg(
+        F.first("target").alias("target"),
+        *[
+            F.sum(F.col("size") * crossings(rank, rate, offset_of(F.col("source"), seed, d))).alias(f"taken_{d}")
+            for d in range(DRAWS)
+        ],
+    )
+    misses = F.array(*[F.abs(F.col(f"taken_{d}") - F.col("target")) for d in range(DRAWS)])
+    offsets = F.array(*[offset_of(F.col("source"), seed, d) for d in range(DRAWS)])
+    nearest = tried.select(
+        F.col("source").alias("chosen"),
+        F.get(offsets, F.array_position(misses, F.array_min(misses)).cast("int") - 1).alias("offset"),
     )
-    rank = F.col("first") + F.col("at")
-    crossed = F.floor((rank + 1) * F.col("rate") + F.col("offset")) - F.floor(rank * F.col("rate") + F.col("offset"))
-    return placed.select(
+    chosen = plan.join(nearest, F.col("of").eqNullSafe(F.col("chosen")))
+    return placed(ranged, chosen).select(
         "doc_id", "source", "size", "source_size", "target",
-        F.least(crossed, F.lit(MOST_COPIES)).cast("long").alias("copies"),
+        crossings(rank, rate, F.col("offset")).cast("long").alias("copies"),
         *(["row"] if keep else []),
     )
 

@@ -150,17 +150,26 @@ t AS (
   SELECT source, source_size,
          least(coalesce(first_value(CASE WHEN level * w <= cap THEN level END IGNORE NULLS) OVER (
            ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w, cap), cap)
-           AS target,
-         CAST('0x' || substr(md5('0:' || coalesce('s' || source, 'null')), 1, 12) AS BIGINT) / 281474976710656.0 AS o
+           AS target
   FROM l),
+o AS (
+  SELECT source, j,
+         CAST('0x' || substr(md5('0:' || j || ':' || coalesce('s' || source, 'null')), 1, 12) AS BIGINT)
+           / 281474976710656.0 AS o
+  FROM t, range(32) x(j)),
 r AS (
-  SELECT doc_id, size, source_size, target, o,
+  SELECT doc_id, d.source, size, source_size, target,
          CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate,
          row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * least(floor((k + 1) * rate + o) - floor(k * rate + o), 3) AS BIGINT) AS taken
-FROM r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (
+  SELECT r.*, j, size * least(floor((k + 1) * rate + o) - floor(k * rate + o), 3) AS taken
+  FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source),
+b AS (
+  SELECT source, arg_min(j, (miss, j)) AS j
+  FROM (SELECT source, j, abs(sum(taken) - first(target)) AS miss FROM x GROUP BY source, j) GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken
+FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.j = b.j
 """
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import quality, urls
+from vectorloom.llm import licenses, pii, quality, urls
 from vectorloom.llm.codes import read_documents, write_tokens
 from vectorloom.llm.mixing import mix
 from vectorloom.llm.packing import pack
@@ -202,3 +202,110 @@ QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(r.host || r.path) DESC
 @query("op9_url_filters", URL_SQL)
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
+SPAN_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+p(kind, o, pat) AS (VALUES
+  ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
+  ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  ('card', 3, '[0-9]([\x20-]?[0-9])+'),
+  ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]'),
+  ('iban', 5, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b'),
+  ('ssn', 6, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')),
+m AS (
+  SELECT k, t, kind, o, regexp_extract_all(t, pat) AS m, regexp_split_to_array(t, pat) AS g
+  FROM d, p WHERE regexp_matches(t, pat)),
+s AS (
+  SELECT k, t, kind, o, m[i] AS x,
+         CAST(list_sum([length(y) for y in g[1:i]]) + coalesce(list_sum([length(y) for y in m[1:i - 1]]), 0) AS BIGINT) AS b
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+c AS (
+  SELECT *, b + length(x) AS e, regexp_replace(x, '[^0-9]', '', 'g') AS digits,
+         string_split(replace(x, ' ', ''), '') AS a,
+         lower(substr(t, greatest(b - 40, 0) + 1, b - greatest(b - 40, 0)) || ' ' || substr(t, b + length(x) + 1, 20)) AS near
+  FROM s),
+v AS (
+  SELECT k, kind, o, b, e FROM c WHERE CASE kind
+    WHEN 'ip' THEN list_max([CAST(y AS HUGEINT) for y in string_split(x, '.')]) <= 255
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum([
+      CASE WHEN i % 2 = 0 THEN CAST(reverse(digits)[i] AS INT)
+           ELSE CAST(reverse(digits)[i] AS INT) END
+      + CASE WHEN i % 2 = 0 THEN CAST(reverse(digits)[i] AS INT) - CASE WHEN CAST(reverse(digits)[i] AS INT) > 4 THEN 9 ELSE 0 END
+             ELSE 0 END for i in range(1, length(digits) + 1)]) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    WHEN 'iban' THEN len(a) BETWEEN 15 AND 34 AND list_reduce(
+      [CASE WHEN ascii(y) >= 65 THEN ascii(y) - 55 ELSE ascii(y) - 48 END for y in list_concat(a[5:], a[1:4])],
+      lambda r, y: (r * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1
+    WHEN 'ssn' THEN 0.4 + CASE WHEN regexp_matches(near, 'ssn|social security') THEN 0.2 ELSE 0 END
+      - CASE WHEN regexp_matches(near, 'example|test|dummy|version|sample') THEN 0.2 ELSE 0 END >= 0.5
+    ELSE true END)
+SELECT doc_id,
+       count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) FILTER (WHERE o <= 4), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b), '') AS spans
+FROM d LEFT JOIN v USING (k) GROUP BY k, doc_id
+"""
+
+
+@query("op10_personal_data", SPAN_SQL)
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = found.select("doc_id", name)
+
+    def listed(of):
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def kind_is(*kinds):
+        return F.filter(name, lambda s: s["kind"].isin(*kinds))
+
+    return spans.select(
+        "doc_id",
+        *[F.size(kind_is(k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(listed(kind_is(*pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col(name)).alias("spans"),
+    )
+
+
+LICENSE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+i AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+b AS (
+  SELECT k, i - 1 AS i, CASE
+    WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by'
+    WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl'
+    WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label
+  FROM i WHERE label IS NOT NULL),
+n AS (
+  SELECT k, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base
+  FROM b GROUP BY k),
+l AS (
+  SELECT k, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
+  FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d)),
+t(label, words) AS (VALUES @TEMPLATES@),
+m AS (
+  SELECT k, list(DISTINCT label) AS own, max(share) AS best FROM (
+    SELECT k, label, len(list_intersect(l.words, t.words)) / len(t.words) AS share,
+           len(list_intersect(l.words, t.words)) >= ceil(@THRESHOLD@ * len(t.words) - 1e-9) AS met
+    FROM l, t) WHERE met GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(base, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base, own))), ','), '') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN n USING (k) LEFT JOIN m USING (k)
+"""
+LICENSE_SQL = LICENSE_SQL.replace(
+    "@TEMPLATES@",
+    ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in licenses.TEMPLATES.items()),
+).replace("@THRESHOLD@", repr(licenses.THRESHOLD))
+
+
+@query("op6_license_scan", LICENSE_SQL)
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(joined)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm import licenses, pii, quality, urls
 from vectorloom.llm.codes import read_documents, write_tokens
+from vectorloom.llm.minhash import near_duplicates
 from vectorloom.llm.mixing import mix
 from vectorloom.llm.packing import pack
 from vectorloom.llm.transducer import count_tokens
@@ -309,3 +310,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
     return found.withColumns(joined)
+
+
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -11,6 +11,7 @@ from vectorloom.llm.codes import read_documents, write_tokens
 from vectorloom.llm.minhash import near_duplicates
 from vectorloom.llm.mixing import mix
 from vectorloom.llm.packing import pack
+from vectorloom.llm.pivots import top_inner_products
 from vectorloom.llm.transducer import count_tokens
 from vectorloom.session import materialize
 
@@ -315,3 +316,20 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+PIVOT_SQL = """
+WITH e AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(q.v, b.v) AS BIGINT) AS score
+  FROM e q, e b WHERE q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@query("op4_pivot_search", PIVOT_SQL)
+def op4_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"))

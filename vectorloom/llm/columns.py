@@ -34,3 +34,10 @@ def positions_to(last: Column) -> Column:
     """0 … ``last``; empty when ``last`` is negative."""
     none = F.array().cast("array<int>")
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(none)
+
+
+def row_key(df: DataFrame) -> Column:
+    """A 128-bit digest of all columns: rows with the same key are alike in every column."""
+    parts = [F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("0")) for c in df.columns]
+    marked = [F.concat(F.length(part).cast("string"), part) for part in parts]
+    return F.unhex(F.md5(F.concat(*marked).cast("binary")))

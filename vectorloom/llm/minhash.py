@@ -31,10 +31,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.columns import col
+from vectorloom.llm.columns import col, fresh, row_key
 from vectorloom.llm.graph import components
 from vectorloom.session import materialize
 
@@ -148,16 +148,16 @@ def multipliers(hashes: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-SIGNED = "doc_id long, digest binary, n_grams long, bands array<long>, signature binary"
+SIGNED = "doc_id long, digest binary, key binary, n_grams long, bands array<long>, signature binary"
 
 
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Digest, band hashes and signature (16 bits per value) of every row of (doc_id, text)."""
+    """Digest, band hashes and signature (16 bits per value) of every row of (doc_id, digest, key, text)."""
 
     def work(batches):
         factors = multipliers(bands * rows)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for part in text_groups(texts):
                 prints, counts = grams(texts[part])
                 has = counts > 0
@@ -172,16 +172,15 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         band_values[at], short[at] = key, sig.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[part.start : part.stop],
-                        batch.column(1)[part.start : part.stop],
+                        *[batch.column(c)[part.start : part.stop] for c in range(3)],
                         pa.array(counts),
                         pa.array(band_values, pa.list_(pa.int64())),
                         pa.array(short, pa.binary()),
                     ],
-                    names=["doc_id", "digest", "n_grams", "bands", "signature"],
+                    names=["doc_id", "digest", "key", "n_grams", "bands", "signature"],
                 )
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(work, SIGNED)
+    return docs.select("doc_id", "digest", "key", "text").mapInArrow(work, SIGNED)
 
 
 # --- cells ----------------------------------------------------------------------------------
@@ -346,14 +345,19 @@ def near_duplicates(
     recall: float = RECALL,
     id_col: str = "doc_id",
     text_col: str = "text",
+    key_col: str | None = None,
 ) -> DataFrame:
-    """``(doc_id, class_id, n_links, n_copies)`` of every row: the smallest doc_id of its class,
-    the number of different texts linked to its own, and of rows with its very text.
+    """``(doc_id, key, class_id, n_links, n_copies, root)`` of every row: the smallest doc_id of its
+    class, the number of different texts linked to its own, of rows with its very text, and the
+    digest that names the class (null without n-grams). ``key`` is the binary column ``key_col``.
     """
     bands, rows = choose_bands(threshold, recall)
     text = F.coalesce(col(text_col), F.lit(""))
     named = docs.select(
-        col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text")
+        col(id_col).cast("long").alias("doc_id"),
+        F.unhex(F.md5(text.cast("binary"))).alias("digest"),
+        (col(key_col) if key_col else F.lit(None).cast("binary")).alias("key"),
+        text.alias("text"),
     )
     signed = materialize(sign(named, bands, rows), "signed")
     texts = materialize(
@@ -406,12 +410,31 @@ def near_duplicates(
     )
     first = about.groupBy(F.col("root").alias("of")).agg(F.min("first_id").alias("class_id"))
     classes = about.join(first, F.col("root") == F.col("of")).select(
-        F.col("digest").alias("d"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"
+        F.col("digest").alias("d"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "root"
     )
     own = F.col("n_grams") == 0
     return signed.join(classes, (F.col("digest") == F.col("d")) & ~own, "left").select(
         "doc_id",
+        "key",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "root",
     )
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: the one of the smallest id (null last).
+
+    Rows without n-grams all stay. Of rows alike in every column one is taken.
+    """
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    classes = near_duplicates(keyed, id_col=id_col, text_col=text_col, key_col=key, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("key").alias("chosen"))
+    first = classes.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("first"))
+    chosen = first.select("first.chosen", F.lit(False).alias("all_rows"))
+    blank = classes.where(F.col("root").isNull()).select(F.col("key").alias("chosen"), F.lit(True).alias("all_rows"))
+    kept = keyed.join(chosen.unionByName(blank.distinct()), col(key) == F.col("chosen"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return kept.withColumn("chosen", number).where((F.col("chosen") == 1) | F.col("all_rows")).select(*map(col, docs.columns))

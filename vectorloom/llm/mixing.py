@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.columns import col, fresh, word_count
+from vectorloom.llm.columns import col, fresh, row_key, word_count
 from vectorloom.session import materialize
 
 #: Fixed values of the mix.
@@ -148,7 +148,17 @@ def mix(
 
 
 def take(docs: DataFrame, seed: int = 0, **columns: str) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken, with the columns of ``docs``."""
-    copies = mix(docs, seed, keep=docs.columns, **columns).where(F.col("copies") > 0)
-    repeated = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """The mixed corpus: each document as often as it is taken, with the columns of ``docs``.
+
+    Copies are counted without the texts and joined to them by a digest of the row. Rows alike
+    in every column are one row here, taken as often as all of them together.
+    """
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    copies = mix(keyed, seed, keep=[key], **columns).groupBy(F.col("row")[key].alias("taken")).agg(
+        F.sum("copies").cast("int").alias("n")
+    )
+    joined = keyed.join(copies.where(F.col("n") > 0), col(key) == F.col("taken"))
+    first = joined.withColumn("taken", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("taken = 1")
+    repeated = first.withColumn("taken", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return repeated.select(*map(col, docs.columns))

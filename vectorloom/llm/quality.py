@@ -27,7 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.columns import col, fresh, positions_to, word_count, words_of
+from vectorloom.llm.columns import col, fresh, positions_to, words_of
+from vectorloom.session import materialize
 
 #: Fixed values of the base rules.
 SYMBOLS = r"[#*$%&|<>]"
@@ -228,3 +229,11 @@ def verdicts(measured: DataFrame, cutoffs: DataFrame, name: str, stratum_col: st
         cutoff = F.try_element_at(table, F.struct(stratum.alias("stratum"), F.lit(rule).alias("rule")))
         passes = passes & F.coalesce(value <= cutoff, F.lit(True))
     return passes
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and the cutoffs of their stratum."""
+    measured, name = measure(docs)
+    measured = materialize(measured, "measured")
+    cutoffs = select_cutoffs(measured, labels, name, stratum_col, **options)
+    return measured.where(verdicts(measured, cutoffs, name, stratum_col)).select(*map(col, docs.columns))

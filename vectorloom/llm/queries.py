@@ -315,7 +315,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")
 
 
 PIVOT_SQL = """

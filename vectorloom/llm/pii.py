@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.columns import col, fresh, positions_to
+from vectorloom.llm.columns import col, fresh
 
 #: Base kinds in their order, and those that the method adds after them.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -108,22 +108,24 @@ def score(kind: str, text: Column, start: Column, end: Column) -> Column:
 def spans_of_kind(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind, by start."""
     hint, pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    # One array of (gap, match after it), so that neither is computed again per match.
+    steps = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")
+    )
 
-    def place(acc, i):
-        start = acc["at"] + F.length(gaps[i])
-        end = start + F.length(matches[i])
-        span = F.struct(start.alias("start"), end.alias("end"), matches[i].alias("text"))
+    def place(acc, step):
+        start = acc["at"] + F.length(step["gap"])
+        end = start + F.coalesce(F.length(step["match"]), F.lit(0))
+        span = F.struct(start.alias("start"), end.alias("end"), step["match"].alias("text"))
+        good = step["match"].isNotNull() & confirmed(kind, step["match"])
         return F.struct(
-            end.alias("at"),
-            F.when(confirmed(kind, matches[i]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
+            end.alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")
         )
 
     begin = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")
     )
-    placed = F.aggregate(positions_to(F.size(matches) - 1), begin, place, lambda acc: acc["out"])
+    placed = F.aggregate(steps, begin, place, lambda acc: acc["out"])
     scored = F.transform(
         placed,
         lambda s: F.struct(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import evaluate, layout, quality, registry
-from vectorloom.operators.percentiles import percentile_table, ranked_percentiles
+from vectorloom.operators.percentiles import percentile_table
 from vectorloom.plans.matrix import Dataset, run_matrix
 from vectorloom.streaming import ingest as streaming
 from vectorloom.suite.index import ivf_index, pq_index
@@ -24,23 +24,41 @@ def vectors(spark, count, dim=4):
 def test_percentile_known_values(spark):
     one = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
     two = spark.createDataFrame([(1.0,), (3.0,)], "v double")
-    for rows in (0, 100):
-        assert percentile_table(one, [], "v", [50], rows).head().p50 == 2.0
-        assert percentile_table(two, [], "v", [95], rows).head().p95 == pytest.approx(2.9)
+    assert percentile_table(one, [], "v", [50]).head().p50 == 2.0
+    assert percentile_table(two, [], "v", [95]).head().p95 == pytest.approx(2.9)
 
 
-def test_ranked_percentiles_equal_builtin_with_a_hot_group_and_value(spark):
+def test_percentiles_with_a_hot_group_and_value(spark):
     pick = random.Random(3)
     rows = [("hot", pick.choice([1.5, pick.random()])) for _ in range(4000)]
     rows += [(f"g{i}", pick.random()) for i in range(40) for _ in range(pick.randrange(1, 6))]
+    rows += [("none", None), ("none", None), (None, 2.0), (None, 4.0), (None, None)]
     frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    a = {r.g: tuple(r)[1:] for r in percentile_table(frame, ["g"], "v", [50, 95, 99, 0, 100]).collect()}
-    b = {r.g: tuple(r)[1:] for r in ranked_percentiles(frame, ["g"], "v", [50, 95, 99, 0, 100]).collect()}
-    assert a.keys() == b.keys()
-    for key in a:
+    cuts = [50, 95, 99, 0, 100]
+    builtin = F.percentile("v", F.array(*[F.lit(p / 100) for p in cuts]))
+    a = {r.g: r.c for r in frame.groupBy("g").agg(builtin.alias("c")).collect()}
+    b = {r.g: tuple(r)[1:] for r in percentile_table(frame, ["g"], "v", cuts).collect()}
+    assert a.keys() == b.keys() and b[None][0] == 3.0 and b.pop("none") == (None,) * 5
+    for key in b:
         assert b[key] == pytest.approx(a[key], abs=1e-12)
 
 
+def test_latency_keeps_null_and_empty_groups(spark):
+    rows = [("a", 1.0), ("b", None), (None, 3.0)]
+    frame = spark.createDataFrame(rows, "s string, elapsed_ms double")
+    got = {r.s: (r.queries, r.p50) for r in evaluate.latency_summary(frame, ["s"]).collect()}
+    assert got == {"a": (1, 1.0), "b": (0, None), None: (1, 3.0)}
+
+
+def test_warmup_drops_exactly_its_rows_on_ties(spark):
+    rows = [("r", 1, "x"), ("r", 1, "y"), ("r", 1, "y"), ("r", 2, "z"), (None, None, "n"), (None, 5, "m"), ("s", 9, "q")]
+    frame = spark.createDataFrame(rows, "run string, at int, v string")
+    for warmup, left in ((0, 7), (1, 4), (2, 2), (3, 1), (4, 0)):
+        kept = evaluate.without_warmup(frame, ["run"], "at", warmup).collect()
+        assert len(kept) == left
+    assert {r.v for r in evaluate.without_warmup(frame, ["run"], "at", 1).collect()} == {"y", "z", "m"}
+
+
 def test_latency_summary(spark):
     times = [12.5, 8.25, 100.0, 3.0]
     frame = spark.createDataFrame([("s", t) for t in times], "s string, elapsed_ms double")
@@ -241,7 +259,7 @@ def registry_rows(spark, path="/wh/t/indices/default/builtin.ivf_pq_v1_segment",
 
 def problems(spark, rows, name="idx_pq", files=(("/wh/t/indices/default/builtin.ivf_pq_v1_segment", 2),), **expected):
     listing = spark.createDataFrame(list(files), "path string, length long")
-    found = registry.active_index_violations(rows, listing, name, "ivf_pq", "u", **expected)
+    found = registry.active_index_violations(rows, listing, name, "t", "ns", "ivf_pq", "u", **expected)
     return sorted(r.problem for r in found.collect())
 
 
@@ -265,8 +283,13 @@ def test_orphans_and_removal(spark):
     assert [r.path for r in registry.orphans(listing, rows).collect()] == ["/wh/t/indices/old"]
     with pytest.raises(ValueError, match="still holds"):
         registry.removable(listing, rows)
-    dropped = registry.drop_index(rows, "idx_pq")
-    assert registry.entries_named(dropped, "idx_pq").head().entries == 0
+    namesake = rows.withColumn("table_name", F.lit("t2"))
+    left = registry.drop_index(rows.unionByName(namesake), "idx_pq", "t", "ns")
+    assert [r.table_name for r in left.collect()] == ["t2"]
+    states = registry.activate(rows.unionByName(namesake).withColumn("state", F.lit("failed")), "idx_pq", "t2", "ns")
+    assert {(r.table_name, r.state) for r in states.collect()} == {("t", "failed"), ("t2", "active")}
+    dropped = registry.drop_index(rows, "idx_pq", "t", "ns")
+    assert registry.entries_named(dropped, "idx_pq", "t", "ns").head().entries == 0
     assert registry.removable(listing, dropped).count() == 2
     assert registry.orphans(listing, dropped).count() == 2
 

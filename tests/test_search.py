@@ -73,6 +73,35 @@ def test_blocks_equal_brute_force(data):
     same(rows_of(exact.knn_blocks(frame, qframe, 9, pack=7, blocks=5)), brute(base, queries, 9))
 
 
+def test_paths_agree_on_doubles_and_ties(spark):
+    rng = np.random.default_rng(8)
+    rows = np.repeat(rng.normal(size=(40, 160)), 3, axis=0)
+    frame = spark.createDataFrame([(3 * i + 1, r.tolist()) for i, r in enumerate(rows)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows[::9] + 0.01)], "query_index long, qvec array<double>")
+    whole = rows_of(exact.knn_batch(frame, asked, 7))
+    assert rows_of(exact.knn_blocks(frame, asked, 7, pack=5, blocks=3)) == whole
+    within = sorted(map(tuple, exact.radius_search(frame, asked, 10.0).collect()))
+    assert sorted(map(tuple, exact.radius_blocks(frame, asked, 10.0, pack=5, blocks=3).collect())) == within
+    built = ivf.build_ivf(frame, ivf.IvfParams(4, 100, 3))
+    assert len(built.centroids) == 4
+    assert rows_of(ivf.search_ivf_join(built, asked, 7, 4, pack=5)) == whole
+    single = exact.knn_single(frame, rows[0] + 0.01, 7).collect()
+    assert [(r.id, r.dist) for r in single] == [(i, d) for q, _, i, d in whole if q == 0]
+
+
+def test_training_counts_ids_with_gaps(spark):
+    base, _ = make(spark, 300)
+    rows = [(100 + 3 * i, [float(x) for x in r]) for i, r in enumerate(base)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(6)
+    sample = ivf.training_sample(frame, 300, ivf.IvfParams(16, 100, 1))
+    assert sorted(r.pos for r in sample.collect()) == list(range(100))
+    ordinals = ivf.id_ordinals(frame).collect()
+    assert sorted((r.id, r.ordinal) for r in ordinals) == [(100 + 3 * i, i) for i in range(300)]
+    twice = frame.union(frame)
+    with pytest.raises(ValueError, match="ids unique"):
+        ivf.build_ivf(twice, ivf.IvfParams(16, 600, 1))
+
+
 def test_blocks_with_tiny_state(data, monkeypatch):
     base, frame, queries, qframe = data
     monkeypatch.setattr(exact, "STATE_LIMIT_BYTES", 4096)
@@ -113,7 +142,7 @@ def test_wrong_dimension_fails(spark, data):
     _, short = make(spark, 10, dim=5)
     with pytest.raises(Exception, match="dimensions"):
         exact.knn_batch(short, qframe, 2).collect()
-    with pytest.raises(Exception, match="vector size"):
+    with pytest.raises(Exception, match="dimensions"):
         exact.knn_single(short, [0.0] * 6, 2).collect()
 
 

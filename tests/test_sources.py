@@ -21,27 +21,31 @@ def put(path, *chunks):
     return str(path)
 
 
-def test_two_aligned_records(spark, tmp_path):
-    queries = put(tmp_path / "q.fvecs", fvec(range(128)), fvec(range(1000, 1128)))
-    truth = put(tmp_path / "t.ivecs", ivec(range(100)), ivec(range(1000, 1100)))
-    rows = records.read_fvecs(spark, queries, 128, id_base=1).orderBy("id").collect()
-    assert [r.id for r in rows] == [1, 2]
-    assert rows[0].embedding[127] == 127.0 and rows[1].embedding[0] == 1000.0
-    near = records.read_ivecs(spark, truth, 100, k=10, id_base=1).orderBy("query_index").collect()
-    assert near[0].neighbors == list(range(1, 11)) and near[1].neighbors == list(range(1001, 1011))
+def test_vectors_and_neighbours_share_their_numbers(spark, tmp_path):
+    vectors = [[0.5 * q - d for d in range(6)] for q in range(7)]
+    nearest = [[(3 * q + r) % 7 for r in range(5)] for q in range(7)]
+    queries = put(tmp_path / "asked.fvecs", *map(fvec, vectors))
+    truth = put(tmp_path / "found.ivecs", *map(ivec, nearest))
+    rows = records.read_fvecs(spark, queries, 6, id_base=10).orderBy("id").collect()
+    assert [(r.id, list(r.embedding)) for r in rows] == [(10 + q, v) for q, v in enumerate(vectors)]
+    for k in (1, 3, 5):
+        near = records.read_ivecs(spark, truth, 5, k=k, id_base=10).orderBy("query_index").collect()
+        assert [list(r.neighbors) for r in near] == [[10 + i for i in n[:k]] for n in nearest]
 
 
-def test_wide_record(spark, tmp_path):
-    path = put(tmp_path / "g.fvecs", fvec(range(960)))
-    assert records.read_fvecs(spark, path, 960).head().embedding[-1] == 959.0
+def test_record_wider_than_a_split(spark, tmp_path):
+    path = put(tmp_path / "wide.fvecs", *[fvec([float(q)] * 1500) for q in range(3)])
+    rows = records.read_fvecs(spark, path, 1500, id_base=0, split_bytes=1000).collect()
+    assert sorted((r.id, r.embedding[1499]) for r in rows) == [(0, 0.0), (1, 1.0), (2, 2.0)]
 
 
-def test_sparse_ordinals(spark, tmp_path):
-    path = put(tmp_path / "q.fvecs", *[fvec([float(i)] * 8) for i in range(4)])
-    rows = records.read_fvecs_at(spark, path, [3, 0, 3], 8).orderBy("position").collect()
-    assert [(r.ordinal, r.embedding[0]) for r in rows] == [(3, 3.0), (0, 0.0), (3, 3.0)]
-    with pytest.raises(ValueError, match="no record 4"):
-        records.read_fvecs_at(spark, path, [4], 8)
+def test_repeated_and_last_ordinals(spark, tmp_path):
+    path = put(tmp_path / "eleven.fvecs", *[fvec([i * 0.25, -i]) for i in range(11)])
+    wanted = [10, 2, 10, 7, 2, 10]
+    rows = records.read_fvecs_at(spark, path, wanted, 2).orderBy("position").collect()
+    assert [(r.ordinal, r.embedding[1]) for r in rows] == [(i, -i) for i in wanted]
+    with pytest.raises(ValueError, match="no record 11"):
+        records.read_fvecs_at(spark, path, [0, 11], 2)
 
 
 def test_ids_follow_position_across_files_and_splits(spark, tmp_path):
@@ -92,18 +96,23 @@ def test_write_and_read_back(spark, tmp_path, sf_dir):
     assert both.where("embedding = e").count() == base.count() == read.count()
 
 
-LOG = """noise 12
-__MVP_QUERY_BEGIN_0__
-3
-7
-Time: 12.5 ms
-__MVP_QUERY_END_0__
-99
-__MVP_QUERY_BEGIN_1__
-4
-not a number
-Time: 8.25 ms
-__MVP_QUERY_END_1__
+# A banner, ids with blanks, text inside and outside of queries, gaps in the numbers, and a query
+# without time.
+LOG = """== session 31 ==
+__MVP_QUERY_BEGIN_4__
+  210
+x 5
+18
+Time: 0.75 ms
+__MVP_QUERY_END_4__
+640
+Time: 77 ms
+__MVP_QUERY_BEGIN_6__
+__MVP_QUERY_END_6__
+__MVP_QUERY_BEGIN_5__
+6
+Time: 301.0 ms
+__MVP_QUERY_END_5__
 """
 
 
@@ -111,12 +120,12 @@ def test_log_parse(spark, tmp_path):
     (tmp_path / "run.log").write_text(LOG)
     lines = text_source.read_lines(spark, str(tmp_path))
     ids = text_source.returned_ids(lines).orderBy("query_no", "rk").collect()
-    assert [(r.query_no, r.rk, r.id) for r in ids] == [(0, 1, 3), (0, 2, 7), (1, 1, 4)]
+    assert [(r.query_no, r.rk, r.id) for r in ids] == [(4, 1, 210), (4, 2, 18), (5, 1, 6)]
     times = text_source.statement_times(lines).orderBy("query_no").collect()
-    assert [r.elapsed_ms for r in times] == [12.5, 8.25]
-    missing = text_source.queries_without_time(lines, 3).collect()
-    assert [r.query_no for r in missing] == [2]
-    assert text_source.queries_without_time(lines).count() == 0
+    assert [(r.query_no, r.elapsed_ms) for r in times] == [(4, 0.75), (5, 301.0)]
+    missing = text_source.queries_without_time(lines, 8).collect()
+    assert sorted(r.query_no for r in missing) == [0, 1, 2, 3, 6, 7]
+    assert [r.query_no for r in text_source.queries_without_time(lines).collect()] == [6]
     with pytest.raises(ValueError):
         text_source.queries_without_time(lines, 0)
 
@@ -128,7 +137,7 @@ def test_open_query_crosses_chunks(spark, width):
         "file string, chunk long, seq long, line string",
     )
     ids = text_source.returned_ids(lines).orderBy("query_no", "rk").collect()
-    assert [(r.query_no, r.id) for r in ids] == [(0, 3), (0, 7), (1, 4)]
+    assert [(r.query_no, r.id) for r in ids] == [(4, 210), (4, 18), (5, 6)]
 
 
 def test_large_log_keeps_line_order_over_splits(spark, tmp_path):

@@ -8,14 +8,15 @@ Inputs are long tables: results ``(query_index, rk, id, dist)``, truth
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectorloom.functions.text import scenario_label
 from vectorloom.functions.vector import l2_distance_batch
 from vectorloom.operators.exact import knn_batch
+from vectorloom.operators.joins import join_null_safe
 from vectorloom.operators.percentiles import percentile_table
-from vectorloom.operators.topk import MAX_K, top_per_group
-from vectorloom.session import ship_if_small
+from vectorloom.operators.topk import MAX_K
 
 #: Slack added to the k-th true distance, so that ties count as hits.
 DISTANCE_SLACK = 1e-3
@@ -55,12 +56,9 @@ def id_hits(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def vectors_of(ids: DataFrame, base: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Base vectors for the ``id`` column of ``ids``; ids outside the base drop out.
-
-    The id side is a per-query table, shipped to the base scan once its size is checked.
-    """
+    """Base vectors for the ``id`` column of ``ids``; ids outside the base drop out."""
     rows = base.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-    return rows.join(ship_if_small(ids, 64), "id")
+    return rows.join(ids, "id")
 
 
 def unknown_ids(ids: DataFrame, id_base: int, rows: int) -> DataFrame:
@@ -72,7 +70,7 @@ def recompute_distances(results: DataFrame, queries: DataFrame, base: DataFrame,
     """Distances of returned ids, computed from the stored vectors."""
     ids = results.select("query_index", "rk", "id")
     found = vectors_of(ids, base, **columns).join(
-        ship_if_small(queries.select("query_index", "qvec"), 8192), "query_index"
+        queries.select("query_index", "qvec"), "query_index"
     )
     return found.select(
         "query_index", "rk", "id", l2_distance_batch("embedding", "qvec").alias("dist")
@@ -162,18 +160,30 @@ def timed_only(timings: DataFrame, warmup: int, query_count: int) -> DataFrame:
 def without_warmup(timings: DataFrame, run: list[str], order: str, warmup: int) -> DataFrame:
     """Same for statements that carry no number: drop the first ``warmup`` of every run.
 
-    Only the few warm-up rows are ranked, cut down before the shuffle, so a long run is never
-    sorted in one task.
+    Exactly ``warmup`` rows of a run go, also where order values are tied or NULL (NULL first).
+    The last order value that goes and the number of its rows that go are found from counts
+    per value; only rows tied with it are numbered.
     """
     if warmup < 0:
         raise ValueError("warmup must not be negative")
     if warmup == 0:
         return timings
-    first = top_per_group(timings.select(*run, order), warmup, run, [order]).select(*run, order)
-    return timings.join(first, [*run, order], "left_anti")
-
-
-def latency_summary(timings: DataFrame, group: list[str], value: str = "elapsed_ms", **limits) -> DataFrame:
+    # At most ``warmup`` order values per run can matter; the rest is cut before the shuffle.
+    counts = timings.groupBy(*run, order).agg(F.count("*").alias("__n"))
+    rank = W.partitionBy(*run).orderBy(F.col(order).asc_nulls_first())
+    first = counts.withColumn("__rk", F.row_number().over(rank)).where(F.col("__rk") <= warmup)
+    upto = F.sum("__n").over(rank.rowsBetween(W.unboundedPreceding, 0))
+    cut = first.withColumn("__left", F.lit(warmup) - (upto - F.col("__n"))).where(F.col("__left") > 0)
+    marked = join_null_safe(timings, cut.select(*run, order, "__n", "__left"), [*run, order], "left")
+    whole = F.col("__left") >= F.col("__n")
+    kept = marked.where(F.col("__left").isNull()).select(*timings.columns)
+    tied = marked.where(~whole)
+    number = F.row_number().over(W.partitionBy(*run, order).orderBy(*tied.columns))
+    some = tied.withColumn("__at", number).where(F.col("__at") > F.col("__left"))
+    return kept.unionByName(some.select(*timings.columns))
+
+
+def latency_summary(timings: DataFrame, group: list[str], value: str = "elapsed_ms") -> DataFrame:
     """Sum, mean, percentiles, extremes and throughput per group.
 
     Throughput is queries per second of summed statement time.
@@ -185,9 +195,9 @@ def latency_summary(timings: DataFrame, group: list[str], value: str = "elapsed_
         F.min(value).alias("min_ms"),
         F.max(value).alias("max_ms"),
     )
-    cuts = percentile_table(timings, group, value, LATENCY_PERCENTS, **limits)
+    cuts = percentile_table(timings, group, value, LATENCY_PERCENTS)
     rate = F.col("queries") / (F.col("sum_ms") / 1000.0)
-    return basics.join(cuts, group).withColumn("qps", rate)
+    return join_null_safe(basics, cuts, group).withColumn("qps", rate)
 
 
 def scenario_grid(

@@ -8,7 +8,6 @@ packed into blocks that meet through an ordinary equi-join instead.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,6 @@ CANDIDATES = "query_index long, id long, dist double"
 STATE_LIMIT_BYTES = 64 * MIB
 #: Most scans of the base worth paying before the block join takes over.
 MAX_SCANS = 4
-#: Shuffled candidates above this size are first cut by a distance ceiling.
-CEILING_ABOVE_BYTES = 64 * 1024 * MIB
 
 
 @dataclass
@@ -94,20 +91,13 @@ def local_best(base: DataFrame, block: QueryBlock, k: int) -> DataFrame:
     return base.mapInArrow(score, CANDIDATES)
 
 
-def with_ceiling(base: DataFrame, block: QueryBlock, k: int, probe: DataFrame | None):
+def with_ceiling(block: QueryBlock, k: int, probe: DataFrame):
     """Give every query an upper bound of its k-th distance.
 
     The k-th nearest row of any subset is at least as far as the k-th nearest of the whole
     table, so tasks may drop farther rows without changing the result. ``probe`` names the
-    subset (one bucket, an index sample); without it a hash share of the ids is used, and
-    only where the unpruned shuffle would be large.
+    subset (one bucket, an index sample).
     """
-    if probe is None:
-        splits = split_count(base)
-        if splits * len(block) * k * 24 <= CEILING_ABOVE_BYTES:
-            return block
-        share = max(2, int(np.sqrt(splits)))
-        probe = base.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     kth = (
         top_per_query(local_best(probe, block, k), k)
         .where(F.col("rk") == k)
@@ -135,9 +125,8 @@ def knn_batch(
     per_scan = max(1, STATE_LIMIT_BYTES // (16 * k))
     if block is None or len(block) > per_scan * MAX_SCANS:
         return knn_blocks(base, queries, k, id_col, vec_col)
-    if len(block):
-        probe = columns_of(probe, id_col, vec_col) if probe is not None else None
-        block = with_ceiling(rows, block, k, probe)
+    if len(block) and probe is not None:
+        block = with_ceiling(block, k, columns_of(probe, id_col, vec_col))
     found = None
     for start in range(0, max(1, len(block)), per_scan):
         part = local_best(rows, block.part(slice(start, start + per_scan)), k)
@@ -145,18 +134,6 @@ def knn_batch(
     return top_per_query(found, k).select("query_index", "rk", "id", "dist")
 
 
-#: Widest vector whose distance is spelled out term by term (one generated Java method).
-UNROLL_LIMIT = 128
-
-
-def distance_to(vec_col: str, query: np.ndarray) -> Column:
-    """Distance to one constant vector, unrolled so that it stays in generated code."""
-    element = [F.col(vec_col)[i].cast("double") - F.lit(float(v)) for i, v in enumerate(query)]
-    total = reduce(lambda a, b: a + b, [x * x for x in element])
-    wrong = F.raise_error(F.concat(F.lit("vector size "), F.size(vec_col).cast("string")))
-    return F.when(F.size(vec_col) == len(query), F.sqrt(total)).otherwise(wrong.cast("double"))
-
-
 def knn_single(
     base: DataFrame, query, k: int, id_col: str = "id", vec_col: str = "embedding"
 ) -> DataFrame:
@@ -164,11 +141,8 @@ def knn_single(
     check_k(k)
     query = np.asarray(query, dtype=np.float64)
     rows = columns_of(base, id_col, vec_col)
-    if len(query) <= UNROLL_LIMIT:
-        found = rows.select("id", distance_to("embedding", query).alias("dist"))
-    else:
-        block = QueryBlock(np.zeros(1, dtype=np.int64), query[None, :])
-        found = local_best(rows, block, k).select("id", "dist")
+    block = QueryBlock(np.zeros(1, dtype=np.int64), query[None, :])
+    found = local_best(rows, block, k).select("id", "dist")
     return found.orderBy("dist", "id").limit(k)
 
 
@@ -223,17 +197,20 @@ PACKS = "pack long, ids binary, vectors binary"
 
 
 def pack_rows(df: DataFrame, rows_per_pack: int) -> DataFrame:
-    """One row per block of vectors; ``df`` has columns ``(id, embedding)`` in that order."""
+    """One row per block of vectors; ``df`` has columns ``(id, embedding)`` in that order.
+
+    The vectors keep the type of the column; the first byte of a block is its item size.
+    """
 
     def pack(batches):
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(), dense_matrix(batch.column(1))
+            kind = "<f4" if pa.types.is_float32(batch.column(1).type.value_type) else "<f8"
             out = []
             for start in range(0, len(ids), rows_per_pack):
                 part = slice(start, start + rows_per_pack)
-                out.append(
-                    (int(ids[start]), ids[part].tobytes(), vectors[part].astype("<f4").tobytes())
-                )
+                blob = kind[-1].encode() + vectors[part].astype(kind).tobytes()
+                out.append((int(ids[start]), ids[part].tobytes(), blob))
             if out:
                 yield pa.RecordBatch.from_pylist(
                     [{"pack": p, "ids": i, "vectors": v} for p, i, v in out],
@@ -270,7 +247,8 @@ def paired_packs(base, queries, id_col, vec_col, pack, blocks) -> DataFrame:
 
 def unpack(ids: bytes, vectors: bytes):
     numbers = np.frombuffer(ids, dtype="<i8")
-    return numbers, np.frombuffer(vectors, dtype="<f4").reshape(len(numbers), -1).astype(float)
+    kind = f"<f{vectors[:1].decode()}"
+    return numbers, np.frombuffer(vectors, dtype=kind, offset=1).reshape(len(numbers), -1).astype(float)
 
 
 def knn_blocks(

@@ -7,7 +7,9 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from vectorloom.functions.sampling import equidistant_position
 from vectorloom.operators.exact import (
@@ -42,7 +44,6 @@ class IvfParams:
     num_clusters: int = 256
     sample_rows: int = 100_000
     rounds: int = 10
-    id_base: int = 0
     decimals: int = 6
 
     def check(self) -> None:
@@ -73,12 +74,33 @@ def total_rows(base: DataFrame) -> int:
     return base.count()
 
 
+def id_ordinals(base: DataFrame) -> DataFrame:
+    """``(id, ordinal)``: the rank of every id from 0, without sorting all ids in one task.
+
+    Ids are numbered inside range partitions, after the counts of the partitions before.
+    """
+    ranged = materialize(
+        base.select("id").repartitionByRange("id").withColumn("slice", F.spark_partition_id()), "ids"
+    )
+    before = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    offsets = ranged.groupBy("slice").count().select(
+        "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")
+    )
+    inside = F.row_number().over(W.partitionBy("slice").orderBy("id")) - 1
+    numbered = ranged.withColumn("at", inside).join(offsets, "slice")
+    return numbered.select("id", (F.col("first") + F.col("at")).alias("ordinal"))
+
+
 def training_sample(base: DataFrame, rows: int, params: IvfParams) -> DataFrame:
-    """Equidistant rows ``(pos, embedding)``, written once so that rounds rescan only them."""
+    """Equidistant rows ``(pos, embedding)``, written once so that rounds rescan only them.
+
+    Positions count the ids in order, whatever gaps they have and wherever they start.
+    """
     params.check()
     wanted = min(rows, params.sample_rows)
-    pos = equidistant_position(F.col("id") - F.lit(params.id_base), rows, wanted)
-    sample = base.select(pos.alias("pos"), "embedding").where(F.col("pos").isNotNull())
+    pos = equidistant_position("ordinal", rows, wanted)
+    chosen = id_ordinals(base).select("id", pos.alias("pos")).where(F.col("pos").isNotNull())
+    sample = base.select("id", "embedding").join(chosen, "id").select("pos", "embedding")
     dim = base.select(F.size("embedding").alias("dim")).head().dim
     tasks = max(1, -(-wanted * dim * 4 // TRAIN_TASK_BYTES))
     return materialize(sample.repartition(tasks, "pos"), "sample")
@@ -90,7 +112,10 @@ def seed_rows(sample: DataFrame, sample_count: int, count: int) -> np.ndarray:
         raise ValueError(f"{count} centers need at least as many training rows, got {sample_count}")
     seed = equidistant_position("pos", sample_count, count)
     rows = sample.withColumn("seed", seed).where(F.col("seed").isNotNull())
-    return dense_matrix(rows.orderBy("seed").toArrow().column("embedding"))
+    seeds = dense_matrix(rows.orderBy("seed").toArrow().column("embedding"))
+    if len(seeds) != count:
+        raise ValueError(f"{len(seeds)} training rows instead of {count}; are the ids unique?")
+    return seeds
 
 
 def lloyd_round(sample: DataFrame, centers: np.ndarray, decimals: int) -> np.ndarray:
@@ -323,8 +348,10 @@ LIST_PACKS = "list_id int, pack long, ids binary, payload binary"
 def pack_lists(rows: DataFrame, rows_per_pack: int, layout: str) -> DataFrame:
     """Blocks of rows that share a list; ``rows`` has ``(list_id, id, values)`` in that order.
 
-    ``layout`` is the NumPy type the values are kept in (``<f4`` vectors, ``u1`` codes).
+    ``layout`` is the NumPy type the values are kept in (``<f4`` vectors, ``u1`` codes). As in
+    :func:`~vectorloom.operators.exact.pack_rows` a block of vectors starts with its item size.
     """
+    mark = layout[-1].encode() if layout.startswith("<f") else b""
 
     def pack(batches):
         for batch in batches:
@@ -339,7 +366,7 @@ def pack_lists(rows: DataFrame, rows_per_pack: int, layout: str) -> DataFrame:
                             "list_id": list_id,
                             "pack": int(ids[part[0]]),
                             "ids": ids[part].tobytes(),
-                            "payload": values[part].tobytes(),
+                            "payload": mark + values[part].tobytes(),
                         }
                     )
             if out:
@@ -372,7 +399,7 @@ def paired_list_packs(
     spread = F.pmod(F.xxhash64("query_index"), blocks).alias("part")
     placed = asked.select("list_id", "query_index", "qvec", spread)
     placed = placed.repartition("list_id", "part").select("list_id", "query_index", "qvec")
-    right = pack_lists(placed, pack, "<f4").select(
+    right = pack_lists(placed, pack, "<f8").select(
         "list_id",
         F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"),
         F.col("pack").alias("query_pack"),
@@ -388,7 +415,8 @@ def search_ivf_join(
     """:func:`search_ivf` for query sets too large to ship: lists and probes meet in a join."""
     check_k(k)
     rows = index.lists(queries.sparkSession).select("list_id", "id", "embedding")
-    pairs = paired_list_packs(index, rows, "<f4", queries, nprobe, pack).select(
+    single = rows.schema["embedding"].dataType.elementType == FloatType()
+    pairs = paired_list_packs(index, rows, "<f4" if single else "<f8", queries, nprobe, pack).select(
         "ids", "payload", "query_pack", "query_ids", "query_vectors"
     )
     return top_per_query(best_of_pairs(pairs, k), k).select("query_index", "rk", "id", "dist")

@@ -41,7 +41,9 @@ def check_identifier(value: str, what: str = "identifier") -> str:
 
 
 def check_compression(codec: str, provider: str = "spark") -> str:
-    if codec not in COMPRESSIONS.get(provider, COMPRESSIONS["pyiceberg"]):
+    if provider not in COMPRESSIONS:
+        raise ValueError(f"unknown provider {provider!r}")
+    if codec not in COMPRESSIONS[provider]:
         raise ValueError(f"{provider} cannot write {codec!r}")
     return codec
 

@@ -6,78 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectorloom.session import materialize, ship_if_small
+from vectorloom.operators.joins import join_null_safe
+from vectorloom.session import materialize
 
-#: Up to this many input rows the built-in aggregate (one hash map per group) is used.
-BUILTIN_ROWS = 5_000_000
 
-
-def percentile_table(
-    df: DataFrame, group: list[str], value: str, percents: list[float], builtin_rows: int = BUILTIN_ROWS
-) -> DataFrame:
+def percentile_table(df: DataFrame, group: list[str], value: str, percents: list[float]) -> DataFrame:
     """``(group…, p50, p95, …)``; position ``(n-1)*p/100`` between the neighbours in order.
 
-    The built-in ``percentile`` keeps all distinct values of a group in one task. Above
-    ``builtin_rows`` the ranks are found in value order over range partitions instead.
+    One way for every size, without ever holding a group in one task. Equal values collapse to
+    a count first, so a hot value is one row. Range partitions cut a large group into slices; a
+    slice's starting rank comes from the totals of those before it. A NULL group is a group, and
+    one without values has NULL percentiles.
     """
     if not group:
         keyed = df.withColumn("__all", F.lit(0))
-        return percentile_table(keyed, ["__all"], value, percents, builtin_rows).drop("__all")
-    names = [f"p{p:g}" for p in percents]
-    if df.limit(builtin_rows + 1).count() <= builtin_rows:
-        cuts = F.percentile(value, F.array(*[F.lit(p / 100.0) for p in percents]))
-        table = df.groupBy(*group).agg(cuts.alias("cuts"))
-        return table.select(*group, *[F.col("cuts")[i].alias(n) for i, n in enumerate(names)])
-    return ranked_percentiles(df, group, value, percents)
-
-
-def ranked_percentiles(df: DataFrame, group: list[str], value: str, percents: list[float]) -> DataFrame:
-    """Same result without ever holding a group in one task.
-
-    Equal values collapse to a count first, so a hot value is one row. Range partitions cut a
-    large group into slices; a slice's starting rank comes from the totals of those before it.
-    """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count("*").alias("n"))
-        .repartitionByRange(*group, value)
-        .withColumn("slice", F.spark_partition_id())
-    )
-    counted = materialize(counted, "ranks")
-    totals = counted.groupBy(*group, "slice").agg(F.sum("n").alias("slice_rows"))
+        return percentile_table(keyed, ["__all"], value, percents).drop("__all")
+    counted = df.groupBy(*group, value).agg(F.count("*").alias("n"))
+    ranged = counted.repartitionByRange(*group, value).withColumn("slice", F.spark_partition_id())
+    ranged = materialize(ranged, "ranks")
+    valued = ranged.where(F.col(value).isNotNull())
+    totals = valued.groupBy(*group, "slice").agg(F.sum("n").alias("slice_rows"))
+    # One row per group and slice.
     before = W.partitionBy(*group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *group, "slice", F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("offset")
+        *group,
+        "slice",
+        F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("offset"),
+        F.sum("slice_rows").over(W.partitionBy(*group)).alias("rows"),
     )
-    sizes = totals.groupBy(*group).agg(F.sum("slice_rows").alias("rows"))
     inside = W.partitionBy(*group, "slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        counted.withColumn("upto", F.sum("n").over(inside))
-        .join(offsets, [*group, "slice"])
-        .select(
-            *group,
-            value,
-            (F.col("offset") + F.col("upto") - F.col("n")).alias("first"),
-            (F.col("offset") + F.col("upto") - 1).alias("last"),
-        )
-    )
-    positions = sizes.select(
+    ranked = join_null_safe(
+        valued.withColumn("upto", F.sum("n").over(inside)), offsets, [*group, "slice"]
+    ).select(
         *group,
-        F.posexplode(F.array(*[(F.col("rows") - 1) * (p / 100.0) for p in percents])).alias("pos", "at"),
-    )
-    low, high = F.floor("at"), F.ceil("at")
-    spans = ranked.join(ship_if_small(positions, 64), group)
-    hit = spans.where((F.col("first") <= high) & (F.col("last") >= low))
-    between = hit.groupBy(*group, "pos", "at").agg(
-        F.max(F.when((F.col("first") <= low) & (F.col("last") >= low), F.col(value))).alias("lower"),
-        F.max(F.when((F.col("first") <= high) & (F.col("last") >= high), F.col(value))).alias("upper"),
-    )
-    result = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("at") - low)
-    cells = between.select(*group, "pos", result.alias("result"))
-    return cells.groupBy(*group).agg(
-        *[
-            F.max(F.when(F.col("pos") == i, F.col("result"))).alias(f"p{p:g}")
-            for i, p in enumerate(percents)
-        ]
+        F.col(value).alias("__value"),
+        "rows",
+        (F.col("offset") + F.col("upto") - F.col("n")).alias("first"),
+        (F.col("offset") + F.col("upto") - 1).alias("last"),
     )
+    cuts = []
+    for p in percents:
+        at = (F.col("rows") - 1) * (p / 100.0)
+        low, high = F.floor(at), F.ceil(at)
+
+        def value_at(rank):
+            return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("__value")))
+
+        share = F.max(at - low)
+        cuts.append((value_at(low) + (value_at(high) - value_at(low)) * share).alias(f"p{p:g}"))
+    found = ranked.groupBy(*group).agg(*cuts)
+    return join_null_safe(ranged.select(*group).distinct(), found, group, "left")

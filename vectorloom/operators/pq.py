@@ -332,7 +332,7 @@ def search_pq_join(
                 ids = np.frombuffer(ids, dtype="<i8")
                 values = np.frombuffer(values, dtype="<i2").reshape(len(ids), -1).astype(np.int64)
                 asking = np.frombuffer(query_ids, dtype="<i8")
-                vectors = np.frombuffer(query_vectors, dtype="<f4").reshape(len(asking), -1)
+                vectors = np.frombuffer(query_vectors, dtype="<f8", offset=1).reshape(len(asking), -1)
                 for start in range(0, len(asking), 128):
                     part = slice(start, start + 128)
                     tables = lookup_tables(vectors[part].astype(float), centers[list_id], books)

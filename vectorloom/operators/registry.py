@@ -7,6 +7,8 @@ where ``partitions`` nests segments, their artifact files and algorithm details.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +101,18 @@ def artifact_violations(registry: DataFrame, listing: DataFrame) -> DataFrame:
     return filed.select("name", "path", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
+def is_index(name: str, table_name: str, namespace: str) -> Column:
+    """An index is known by its table and name; the name alone may occur on several tables."""
+    key = {"namespace": namespace, "table_name": table_name, "name": name}
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in key.items()])
+
+
 def active_index_violations(
     registry: DataFrame,
     listing: DataFrame,
     name: str,
+    table_name: str,
+    namespace: str,
     index_type: str,
     table_uuid: str | None = None,
     **expected: int,
@@ -112,7 +122,7 @@ def active_index_violations(
     ``expected`` may state ``dimension``, ``num_clusters``, ``num_sub_quantizers``, ``nbits``.
     """
     spark = registry.sparkSession
-    mine = registry.where(F.col("name") == name)
+    mine = registry.where(is_index(name, table_name, namespace))
     one = mine.agg(F.count("*").alias("n"), F.first("name").alias("name"))
 
     def rows(frame: DataFrame, problem: Column) -> DataFrame:
@@ -157,20 +167,20 @@ def removable(listing: DataFrame, registry: DataFrame) -> DataFrame:
     return listing
 
 
-def drop_index(registry: DataFrame, name: str) -> DataFrame:
-    """Registry without one index."""
-    return registry.where(F.col("name") != name)
+def drop_index(registry: DataFrame, name: str, table_name: str, namespace: str) -> DataFrame:
+    """Registry without one index of one table."""
+    return registry.where(~is_index(name, table_name, namespace))
 
 
-def activate(registry: DataFrame, name: str) -> DataFrame:
-    """Registry with one index set active."""
-    state = F.when(F.col("name") == name, F.lit("active")).otherwise(F.col("state"))
+def activate(registry: DataFrame, name: str, table_name: str, namespace: str) -> DataFrame:
+    """Registry with one index of one table set active."""
+    state = F.when(is_index(name, table_name, namespace), F.lit("active")).otherwise(F.col("state"))
     return registry.withColumn("state", state)
 
 
-def entries_named(registry: DataFrame, name: str) -> DataFrame:
+def entries_named(registry: DataFrame, name: str, table_name: str, namespace: str) -> DataFrame:
     """Residual check after a drop: the count must be 0 (or 1 before it)."""
-    return registry.where(F.col("name") == name).agg(F.count("*").alias("entries"))
+    return registry.where(is_index(name, table_name, namespace)).agg(F.count("*").alias("entries"))
 
 
 def head_violations(heads: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
 
@@ -54,9 +53,3 @@ def fetch_bounded(df: DataFrame, max_rows: int):
 def split_count(df: DataFrame) -> int:
     """Number of input tasks the physical plan of ``df`` would start."""
     return df.rdd.getNumPartitions()
-
-
-def ship_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast hint for ``df`` only after counting that it stays below the limit."""
-    most = max(1, BROADCAST_LIMIT_BYTES // row_bytes)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.operators import evaluate
 from vectorloom.operators.exact import knn_batch
-from vectorloom.operators.percentiles import ranked_percentiles
+from vectorloom.operators.percentiles import percentile_table
 from vectorloom.suite.base import EXACT_CTE, K, all_queries, query, table, vectors
 from vectorloom.suite.index import IVF_CTE, ivf_index, ivf_search_cte
 from vectorloom.operators.ivf import search_ivf
@@ -161,7 +161,7 @@ def latency_summary(spark, sf_dir):
 @query("latency_summary_ranked", LATENCY_SQL)
 def latency_summary_ranked(spark, sf_dir):
     """Same summary on the path for groups too large for one task."""
-    summary = evaluate.latency_summary(timings(spark, sf_dir), ["event_type"], builtin_rows=0)
+    summary = evaluate.latency_summary(timings(spark, sf_dir), ["event_type"])
     return rounded_latency(summary)
 
 
@@ -173,7 +173,7 @@ def latency_summary_ranked(spark, sf_dir):
     """,
 )
 def percentiles_by_user(spark, sf_dir):
-    cuts = ranked_percentiles(table(spark, sf_dir, "events"), ["user_id"], "value", [50, 99])
+    cuts = percentile_table(table(spark, sf_dir, "events"), ["user_id"], "value", [50, 99])
     return cuts.select("user_id", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 

@@ -169,10 +169,10 @@ def setting_lines(spark, sf_dir):
     """Each event is one line of its user's settings file."""
     kind, number = F.col("event_type"), F.col("event_id").cast("string")
     line = (
-        F.when(kind == "view", F.concat(F.lit("export MVP_K="), number))
-        .when(kind == "click", F.concat(F.lit("  export MVP_NPROBE = '"), number, F.lit("' ")))
-        .when(kind == "signup", F.concat(F.lit("MVP_LABEL=run="), number))
-        .when(kind == "purchase", F.concat(F.lit("# MVP_K="), number))
+        F.when(kind == "view", F.concat(F.lit("export TOP_K="), number))
+        .when(kind == "click", F.concat(F.lit("  export LISTS_READ = '"), number, F.lit("' ")))
+        .when(kind == "signup", F.concat(F.lit("RUN_NAME=run="), number))
+        .when(kind == "purchase", F.concat(F.lit("# TOP_K="), number))
         .otherwise(F.concat(F.lit("noise "), number))
     )
     return table(spark, sf_dir, "events").select(
@@ -186,10 +186,10 @@ def setting_lines(spark, sf_dir):
 SETTINGS_CTE = """
 WITH l AS (
   SELECT concat('user-', user_id) AS file, event_id,
-    CASE event_type WHEN 'view' THEN concat('export MVP_K=', event_id)
-      WHEN 'click' THEN concat('  export MVP_NPROBE = ''', event_id, ''' ')
-      WHEN 'signup' THEN concat('MVP_LABEL=run=', event_id)
-      WHEN 'purchase' THEN concat('# MVP_K=', event_id)
+    CASE event_type WHEN 'view' THEN concat('export TOP_K=', event_id)
+      WHEN 'click' THEN concat('  export LISTS_READ = ''', event_id, ''' ')
+      WHEN 'signup' THEN concat('RUN_NAME=run=', event_id)
+      WHEN 'purchase' THEN concat('# TOP_K=', event_id)
       ELSE concat('noise ', event_id) END AS raw FROM events),
 t AS (SELECT file, event_id, regexp_replace(trim(raw), '^export ', '') AS body FROM l
       WHERE trim(raw) NOT LIKE '#%' AND contains(raw, '=')),
@@ -210,16 +210,16 @@ def settings_last_wins(spark, sf_dir):
     + """
     SELECT f.file, coalesce(k.value, '10') AS k, coalesce(d.value, '1') AS dop
     FROM (SELECT DISTINCT file FROM s) f
-    LEFT JOIN s k ON k.file = f.file AND k.key = 'MVP_K'
-    LEFT JOIN s d ON d.file = f.file AND d.key = 'MVP_DOP'
+    LEFT JOIN s k ON k.file = f.file AND k.key = 'TOP_K'
+    LEFT JOIN s d ON d.file = f.file AND d.key = 'PARALLEL'
     """,
 )
 def settings_defaults(spark, sf_dir):
     maps = settings_maps(setting_lines(spark, sf_dir))
     return maps.select(
         "file",
-        text.setting_or("settings", "MVP_K", "10").alias("k"),
-        text.setting_or("settings", "MVP_DOP", "1").alias("dop"),
+        text.setting_or("settings", "TOP_K", "10").alias("k"),
+        text.setting_or("settings", "PARALLEL", "1").alias("dop"),
     )
 
 

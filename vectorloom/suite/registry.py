@@ -128,7 +128,7 @@ def order_registry(spark, sf_dir):
     )
     return joined.select(
         F.lit("bench").alias("namespace"),
-        F.lit("t").alias("table_name"),
+        F.when(F.col("l_linenumber") % 2 == 0, "t2").otherwise("t").alias("table_name"),
         F.lit("u-1").alias("table_uuid"),
         F.concat(F.lit("idx_"), F.col("o_orderkey").cast("string")).alias("name"),
         *index_kind(),
@@ -147,7 +147,7 @@ def stored_files(spark, sf_dir):
 REGISTRY_CTE = f"""
 WITH r AS (
   SELECT concat('idx_', o_orderkey) AS name, o_orderstatus, {KIND_SQL}, {ARTIFACT_SQL} AS path,
-         l_partkey AS size_bytes, l_linenumber
+         l_partkey AS size_bytes, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 't2' ELSE 't' END AS table_name
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 f AS (SELECT {ARTIFACT_SQL} AS path, CASE WHEN l_tax = 0 THEN l_partkey + 1 ELSE l_partkey END AS length
       FROM lineitem WHERE l_discount > 0)
@@ -197,17 +197,18 @@ def distinct_details(spark, sf_dir):
 
 @query(
     "drop_index",
-    REGISTRY_CTE + "SELECT name, count(*) AS entries FROM r WHERE name <> 'idx_1' GROUP BY name",
+    REGISTRY_CTE
+    + "SELECT table_name, name, count(*) AS entries FROM r WHERE name <> 'idx_1' OR table_name <> 't' GROUP BY ALL",
 )
 def drop_index(spark, sf_dir):
-    """Registry entries left after dropping one index."""
-    left = registry.drop_index(order_registry(spark, sf_dir), "idx_1")
-    return left.groupBy("name").agg(F.count("*").alias("entries"))
+    """Registry entries left after dropping one index; its namesake on another table stays."""
+    left = registry.drop_index(order_registry(spark, sf_dir), "idx_1", "t", "bench")
+    return left.groupBy("table_name", "name").agg(F.count("*").alias("entries"))
 
 
-@query("index_entries", REGISTRY_CTE + "SELECT count(*) AS entries FROM r WHERE name = 'idx_1'")
+@query("index_entries", REGISTRY_CTE + "SELECT count(*) AS entries FROM r WHERE name = 'idx_1' AND table_name = 't'")
 def index_entries(spark, sf_dir):
-    return registry.entries_named(order_registry(spark, sf_dir), "idx_1")
+    return registry.entries_named(order_registry(spark, sf_dir), "idx_1", "t", "bench")
 
 
 @query(
@@ -291,7 +292,7 @@ def built_index_active(spark, sf_dir):
     listing = file_listing(spark, f"{ivf_index(spark, sf_dir).path}/codes")
     local = listing.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     found = registry.active_index_violations(
-        entries, local, "idx_pq", "ivf_pq", "u-1",
+        entries, local, "idx_pq", "vectors", "bench", "ivf_pq", "u-1",
         dimension=64, num_clusters=IVF.num_clusters, num_sub_quantizers=PQ.num_sub_quantizers, nbits=8,
     )
     return found.select("problem").distinct().groupBy("problem").agg(F.count("*").alias("n"))

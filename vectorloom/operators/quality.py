@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructType
 
@@ -110,20 +110,21 @@ def id_gaps(rows: DataFrame, id_col: str = "id") -> DataFrame:
     return stats.where((F.col("rows") != F.col("distinct_ids")) | (F.col("span") != F.col("distinct_ids")))
 
 
-def vector_violations(rows: DataFrame, dim: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Rows with a wrong dimension, a null vector or a null element."""
-    size = F.size(vec_col)
-    has_null = F.exists(vec_col, lambda x: x.isNull())
-    reason = (
+def vector_problem(dim: int, vec_col: str = "embedding") -> Column:
+    """What is wrong with a vector; NULL when nothing is."""
+    return (
         F.when(F.col(vec_col).isNull(), "null vector")
-        .when(size != dim, "wrong dimension")
-        .when(has_null, "null element")
-    )
-    return rows.select(F.col(id_col).alias("id"), reason.alias("reason")).where(
-        F.col("reason").isNotNull()
+        .when(F.size(vec_col) != dim, "wrong dimension")
+        .when(F.exists(vec_col, lambda x: x.isNull()), "null element")
     )
 
 
+def vector_violations(rows: DataFrame, dim: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """Rows with a wrong dimension, a null vector or a null element."""
+    found = rows.select(F.col(id_col).alias("id"), vector_problem(dim, vec_col).alias("reason"))
+    return found.where(F.col("reason").isNotNull())
+
+
 def schema_violations(schema: StructType, dim: int | None = None) -> list[str]:
     """Contract of a vector table: ``id long``, ``embedding list<float>``, dimension metadata."""
     found = {field.name: field for field in schema.fields}

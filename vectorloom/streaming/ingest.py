@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vectorloom.functions.bucket import with_bucket
 from vectorloom.operators.ivf import IvfIndex, nearest_list
 from vectorloom.operators.pq import PqIndex, encode
-from vectorloom.operators.quality import vector_violations
+from vectorloom.operators.quality import vector_problem
 
 VECTOR_STREAM = "id long, embedding array<float>"
 
@@ -29,25 +30,27 @@ def vector_stream(
 def ingest(
     stream: DataFrame, table: str, rejects: str, checkpoint: str, dim: int, buckets: int
 ) -> StreamingQuery:
-    """Append good vectors to the bucketed table, the others to ``rejects``.
+    """Append good vectors to the bucketed table, the others with a ``reason`` to ``rejects``.
 
-    Every micro-batch owns the folders ``batch=N`` and overwrites them when it is replayed, so
+    A micro-batch is read once and kept on the executors' disks for its two writes. Every micro-batch owns the folders ``batch=N`` and overwrites them when it is replayed, so
     a batch that is retried after a failure leaves no duplicates.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        bad = vector_violations(batch, dim)
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-        good = batch.where(
-            (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull())
-        )
-        placed = with_bucket(good, "id", buckets)
-        (
-            placed.repartition(buckets, "id_bucket")
-            .write.mode("overwrite")
-            .partitionBy("id_bucket")
-            .parquet(f"{table}/batch={number}")
-        )
+        checked = batch.withColumn("reason", vector_problem(dim)).persist(StorageLevel.DISK_ONLY)
+        try:
+            bad = checked.where(F.col("reason").isNotNull())
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+            good = checked.where(F.col("reason").isNull()).drop("reason")
+            placed = with_bucket(good, "id", buckets)
+            (
+                placed.repartition(buckets, "id_bucket")
+                .write.mode("overwrite")
+                .partitionBy("id_bucket")
+                .parquet(f"{table}/batch={number}")
+            )
+        finally:
+            checked.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -28,6 +28,35 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{root}/table").select("id", "id_bucket", vector_total())
 
 
+@query(
+    "stream_rejects",
+    """
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 'null vector' WHEN vec_id % 5 = 0 THEN 'wrong dimension'
+      ELSE 'null element' END AS reason,
+      CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 63 ELSE 64 END AS size
+    FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 3 = 0
+    """,
+)
+def stream_rejects(spark, sf_dir):
+    """Damaged vectors among the arriving ones are set aside whole, with the reason."""
+    root, arrived, key = new_workdir(spark, "stream"), new_workdir(spark, "arriving"), F.col("id")
+    none = F.lit(None).cast("float")
+    damaged = (
+        F.when(key % 7 == 0, F.lit(None).cast("array<float>"))
+        .when(key % 5 == 0, F.slice("embedding", 1, DIM - 1))
+        .when(key % 3 == 0, F.concat(F.slice("embedding", 1, DIM - 1), F.array(none)))
+        .otherwise(F.col("embedding"))
+    )
+    rows = vectors(spark, sf_dir).withColumn("embedding", damaged)
+    rows.repartitionByRange(4, "id").write.parquet(arrived)
+    stream = streaming.vector_stream(spark, arrived, files_per_batch=2)
+    streaming.ingest(
+        stream, f"{root}/table", f"{root}/rejects", f"{root}/checkpoint", DIM, 32
+    ).awaitTermination()
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    return spark.read.parquet(f"{root}/rejects").select("id", "reason", size.alias("size"))
+
+
 @query(
     "stream_assign",
     f"WITH {_E_CTE}, {IVF_CTE} SELECT id, CAST(list_id AS INT) AS list_id FROM assigned",

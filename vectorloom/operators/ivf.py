@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -148,15 +149,23 @@ def lloyd_round(sample: DataFrame, centers: np.ndarray, decimals: int) -> np.nda
 
 
 def mean_vectors(parts: DataFrame, keys: list[str], decimals: int) -> DataFrame:
-    """Rounded mean vector per key from partial ``(n, sums)`` rows."""
-    return (
-        parts.select(*keys, "n", F.posexplode("sums").alias("pos", "s"))
-        .groupBy(*keys, "pos")
-        .agg(F.round(F.sum("s") / F.sum("n"), decimals).alias("value"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
-        .select(*keys, F.col("cells.value").alias("center"))
-    )
+    """Rounded mean vector per key from partial ``(n, sums)`` rows, one per key and task.
+
+    Vectors are added whole. The exact sum of each component makes the result independent of
+    how the rows were partitioned.
+    """
+    kinds = ", ".join(f"{k} long" for k in keys)
+
+    def merge(group: pa.Table) -> pa.Table:
+        sums = dense_matrix(group.column("sums"))
+        count = sum(group.column("n").to_pylist())
+        center = [round(math.fsum(column) / count, decimals) for column in sums.T.tolist()]
+        first = {k: [group.column(k)[0].as_py()] for k in keys}
+        return pa.table(
+            {**{k: pa.array(v, pa.int64()) for k, v in first.items()}, "center": pa.array([center], pa.list_(pa.float64()))}
+        )
+
+    return parts.groupBy(*keys).applyInArrow(merge, f"{kinds}, center array<double>")
 
 
 def train_centroids(sample: DataFrame, sample_count: int, params: IvfParams) -> np.ndarray:

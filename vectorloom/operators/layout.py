@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, Struc
 
 from vectorloom.functions.bucket import check_buckets, with_bucket
 from vectorloom.functions.text import IDENTIFIER_PATTERN
+from vectorloom.session import materialize
 from vectorloom.sources.records import file_listing
 
 # Codecs a producer may write.
@@ -159,10 +160,16 @@ def batch_ranges(spark: SparkSession, total: int, batch_rows: int = DEFAULT_BATC
 def append_in_batches(
     rows: DataFrame, path: str, total: int, id_base: int, batch_rows: int, buckets: int
 ) -> int:
-    """Append id ranges one after another; each append is a new version of the table."""
+    """Append id ranges one after another; each append is a new version of the table.
+
+    The input is read once and dealt to one folder per batch; an append reads its folder only.
+    """
+    number = F.floor((F.col("id") - id_base) / batch_rows).alias("batch_no")
+    wanted = rows.where(F.col("id").between(id_base, id_base + total - 1)).select("*", number)
+    staged = materialize(wanted.repartition("batch_no"), "batches", "batch_no")
     batches = 0
-    for first in range(0, total, batch_rows):
-        part = rows.where(F.col("id").between(id_base + first, id_base + first + batch_rows - 1))
+    for batch in range(-(-total // batch_rows)):
+        part = staged.where(F.col("batch_no") == batch).drop("batch_no")
         if buckets:
             write_bucketed(part, path, buckets, mode="append")
         else:

@@ -31,15 +31,24 @@ def components(edges: DataFrame) -> DataFrame:
     return hung.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def dealt_anew(smallest: DataFrame) -> DataFrame:
+    """The small table, no longer partitioned by node.
+
+    Else the join would run on the partitions of the aggregate, where adaptive execution cannot
+    split a node with very many neighbours.
+    """
+    return smallest.repartition(max(1, smallest.sparkSession.sparkContext.defaultParallelism))
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     smallest = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    joined = both.join(smallest, both["a"] == smallest["node"]).where(F.col("b") > F.col("a"))
+    joined = both.join(dealt_anew(smallest), both["a"] == F.col("node")).where(F.col("b") > F.col("a"))
     return joined.select(F.col("b").alias("a"), F.col("root").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     smallest = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    joined = edges.join(smallest, edges["a"] == smallest["node"])
+    joined = edges.join(dealt_anew(smallest), edges["a"] == F.col("node"))
     hung = joined.select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b")
     return hung.unionByName(smallest.select(F.col("node").alias("a"), F.col("root").alias("b"))).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm.columns import col, fresh, row_key, word_count
-from vectorloom.session import materialize
+from vectorloom.session import materialize, split_count
 
 #: Fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -96,7 +96,8 @@ def mix(
         F.coalesce(word_count(col(text_col)), F.lit(0)).cast("long").alias("size"),
         *([F.struct(*map(col, keep)).alias("row")] if keep else []),
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the input has splits, so that no range outgrows a task.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), split_count(rows))
     ranged = materialize(
         rows.repartitionByRange(parts, "source", "size", "doc_id").withColumn("part", F.spark_partition_id()),
         "ranged",

@@ -13,6 +13,7 @@ from oracle import connect, differences
 from vectorloom.llm import minhash, mixing, pii, pivots, quality
 from vectorloom.llm.graph import components
 from vectorloom.llm.queries import LLM_ORACLES, LLM_QUERIES
+from vectorloom.session import materialize
 
 
 @pytest.mark.parametrize("copies", [False, True])
@@ -190,25 +191,25 @@ def test_pipeline_stages(spark, sf_dir):
     first, second, third, fourth, fifth = [stage for _, stage in corpus_pipeline.STAGES]
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
 
-    kept = first(spark, docs, sf_dir)
+    kept = materialize(first(spark, docs, sf_dir), "kept")
     measured, name = quality.measure(docs)
     cutoffs = quality.select_cutoffs(measured, labels, name)
     good = measured.where(quality.verdicts(measured, cutoffs, name)).select("doc_id")
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in good.collect())
 
-    single = second(spark, kept, sf_dir)
+    single = materialize(second(spark, kept, sf_dir), "single")
     texts = [(r.doc_id, r.text) for r in kept.collect()]
     assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, c, _, _ in joined(texts)})
 
-    clean = third(spark, single, sf_dir)
+    clean = materialize(third(spark, single, sf_dir), "clean")
     assert clean.columns == docs.columns and clean.where("n_chars <> length(text)").count() == 0
     assert sum(map(len, (r.spans for r in pii.find(clean)[0].where("size(spans) > 0").collect()))) == 0
 
-    mixed = fourth(spark, clean, sf_dir)
+    mixed = materialize(fourth(spark, clean, sf_dir), "mixed")
     copies = {r.doc_id: r.copies for r in mixing.mix(clean).collect() if r.copies}
     assert Counter(r.doc_id for r in mixed.collect()) == copies
 
-    packed = fifth(spark, mixed, sf_dir)
+    packed = materialize(fifth(spark, mixed, sf_dir), "packed")
     tokens = packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert {r.doc_id: r["sum(length)"] // r["max(doc_tokens)"] for r in tokens} == copies
 

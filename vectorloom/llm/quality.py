@@ -51,7 +51,8 @@ ERROR = 0.05
 def measure(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with a struct of measures; returns its name as well.
 
-    Steps are separate projections, so that Catalyst computes each costly array once.
+    Steps are separate projections, so that Catalyst computes each costly array once. Write the
+    result down before filtering by it: a filter pushed below them would compute them again.
     """
     kept = docs.columns
     words, grams, places, name = (fresh(docs, n) for n in ("words", "grams", "places", "measures"))

@@ -232,6 +232,29 @@ def test_checksums_and_context(spark):
     assert {r.text: [s.kind for s in r[name]] for r in found.collect()} == texts
 
 
+def test_ibans_before_and_after_other_words(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = {
+        f"IBAN {iban} BIC COBADEFFXXX": [iban],
+        "DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+        "GB82 WEST 1234 5698 7654 32 USD 500": ["GB82 WEST 1234 5698 7654 32"],
+        f"BE12 {iban} {iban} 17": [iban, iban],  # BE12 3704 ... has the length of a Belgian one
+        f"é😀 AB12 {iban}\nGB82WEST12345698765432 X": [iban, "GB82WEST12345698765432"],
+        "DE89370400440532013000BIC": [],
+        "DE88 3704 0044 0532 0130 00 BIC": [],
+    }
+    found, name = pii.find(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = found.collect()
+    assert {r.text: [s.text for s in r[name] if s.kind == "iban"] for r in rows} == texts
+    assert all(s.text == r.text[s.start : s.end] for r in rows for s in r[name])
+
+
+def test_doubtful_words_are_whole_words(spark):
+    texts = {"the latest ssn 123-45-6789": ["ssn"], "a test ssn 123-45-6789": []}
+    found, name = pii.find(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r.text: [s.kind for s in r[name]] for r in found.collect()} == texts
+
+
 def test_redact(spark):
     docs = odd_docs(spark)
     clean = pii.redact(docs)

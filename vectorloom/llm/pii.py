@@ -8,7 +8,10 @@ patterns unchanged. Kinds whose cheap precondition fails cost one scan.
 
 All kinds are confirmed: e-mail by its form, IP addresses by their parts, cards by the Luhn sum
 of 16 to 19 digits, phones by 8 to 15 digits, IBANs by mod 97, social security numbers
-by a context word. A failing match is dropped, its text is not tried again.
+by a context word. A failing match is dropped, its text is not tried again. IBANs are the
+exception: every place where one can begin is tried, first with the length of its country, so that
+neither following words (a BIC, an amount) nor a failing match before it hide one; then, as for
+countries without a known length, as far as upper-case letters and digits go on.
 
 Built-in column functions only; nothing is shuffled. Defined cases: a null or empty text has no
 spans (and stays null in :func:`redact`); rows are handled one by one, so repeated rows, null
@@ -26,13 +29,28 @@ from vectorloom.llm.columns import col, fresh
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 
-#: kind -> (cheap precondition, pattern).
+#: Length of an IBAN without blanks -> its countries.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+OWN_LENGTH = "|".join(
+    f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}" for length, names in IBAN_COUNTRIES.items()
+)
+
+#: kind -> (cheap precondition, pattern). That of IBANs has no width; its groups are the longest
+#: candidate that begins there and the one with the length of its country (may be empty).
 PATTERNS = {
     "email": ("@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": (r"[0-9](?:[ -]?[0-9]){15}", r"(?<![0-9])[0-9](?:[ -]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
-    "iban": (r"[A-Z]{2}[0-9]{2}", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
+    "iban": (
+        r"[A-Z]{2}[0-9]{2}",
+        rf"\b(?=([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}\b))(?=(?:({OWN_LENGTH})\b)?)",
+    ),
     "ssn": (r"[0-9]{3}-[0-9]{2}-", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
 }
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -48,7 +66,7 @@ SCORES = {
     "ssn": (0.4, "ssn|social security"),
 }
 RAISE, LOWER = 0.2, 0.2
-DOUBTFUL = "example|test|dummy|version|sample"
+DOUBTFUL = r"\b(?:example|test|dummy|version|sample)\b"
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 40, 20
 #: Spans of the method's own kinds need this score; base spans always stay.
@@ -105,9 +123,41 @@ def score(kind: str, text: Column, start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(base) + raised - lowered))
 
 
-def spans_of_kind(kind: str, text: Column) -> Column:
-    """Confirmed spans of one kind, by start."""
-    hint, pattern = PATTERNS[kind]
+PLACES = "array<struct<start:int,end:int,text:string>>"
+
+
+def placed_ibans(text: Column) -> Column:
+    """Confirmed IBANs by start; of overlapping ones the first stays."""
+    pattern = PATTERNS["iban"][1]
+    longest, own = (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) for group in (1, 2))
+    gaps = F.split(text, pattern, -1)
+    # A split drops the empty gap before a match without width at the very start.
+    steps = F.arrays_zip(
+        F.when(F.size(gaps) == F.size(longest), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps).alias("gap"),
+        longest.alias("longest"), own.alias("own"),
+    )
+
+    def place(acc, step):
+        start = acc["at"] + F.length(step["gap"])
+        match = F.when(confirmed("iban", step["own"]), step["own"]).when(
+            confirmed("iban", step["longest"]), step["longest"]
+        )
+        end = start + F.length(match)
+        good = match.isNotNull() & (start >= acc["done"])
+        span = F.struct(start.alias("start"), end.alias("end"), match.alias("text"))
+        return F.struct(
+            start.alias("at"),
+            F.when(good, end).otherwise(acc["done"]).alias("done"),
+            F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("done"), F.array().cast(PLACES).alias("out"))
+    return F.aggregate(steps, begin, place, lambda acc: acc["out"])
+
+
+def placed_spans(kind: str, text: Column) -> Column:
+    """Confirmed matches of a kind by start; a failing match is not tried again."""
+    pattern = PATTERNS[kind][1]
     # One array of (gap, match after it), so that neither is computed again per match.
     steps = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")
@@ -122,10 +172,14 @@ def spans_of_kind(kind: str, text: Column) -> Column:
             end.alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")
         )
 
-    begin = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")
-    )
-    placed = F.aggregate(steps, begin, place, lambda acc: acc["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+    return F.aggregate(steps, begin, place, lambda acc: acc["out"])
+
+
+def spans_of_kind(kind: str, text: Column) -> Column:
+    """Confirmed spans of one kind, by start."""
+    hint = PATTERNS[kind][0]
+    placed = placed_ibans(text) if kind == "iban" else placed_spans(kind, text)
     scored = F.transform(
         placed,
         lambda s: F.struct(

@@ -86,6 +86,37 @@ def test_keep_good_edges(spark):
     assert quality.keep_good(docs, none).count() == len(good)
 
 
+def numbered(spark, shouting: dict, n: dict):
+    """``n`` documents of each language, every ``shouting``-th of them in capitals."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: F.concat(F.lit("w"), i))
+    docs = None
+    for k, (lang, count) in enumerate(n.items()):
+        loud = (F.col("id") % shouting[lang] == 0) if shouting.get(lang) else F.lit(False)
+        text = F.array_join(F.when(loud, F.transform(words, F.upper)).otherwise(words), " ")
+        part = spark.range(count).select((F.col("id") + k * 100_000).alias("doc_id"), text.alias("text"), F.lit(lang).alias("lang"))
+        docs = part if docs is None else docs.union(part)
+    return docs
+
+
+def test_joint_cutoffs_need_few_labels(spark):
+    # When shouted, 80 of the 231 characters of w1 ... w80 are upper-case letters (0.35).
+    docs = numbered(spark, {"fr": 100, "xx": 20}, {"de": 230, "es": 200, "fr": 3000, "xx": 3000})
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    measured, name = quality.measure(docs)
+    got = {}
+    for r in quality.joint_cutoffs(measured, labels, name).collect():
+        got.setdefault(r.stratum.s, {})[r.rule] = (r.cutoff, r.rejected)
+    strictest = {r: c[-1] for r, c in quality.RULES.items()}
+    assert {r: c for r, (c, _) in got["de"].items()} == strictest and "es" not in got
+    # 1 % of the good documents may go (30 of 3000); 5 % may not, and only that rule stops there.
+    assert {r: c for r, (c, _) in got["fr"].items()} == strictest and got["fr"]["upper_share"][1] == 30
+    assert {r: c for r, (c, _) in got["xx"].items()} == {**strictest, "upper_share": 0.4}
+    assert native(quality.joint_cutoffs(measured, labels, name))
+    junk = spark.createDataFrame([(-1, " ".join(f"#{i}" for i in range(80)), lang) for lang in ("de", "es")], docs.schema)
+    kept = quality.keep_good(docs.union(junk), labels)
+    assert [r.lang for r in kept.where("doc_id = -1").collect()] == ["es"]
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 

@@ -339,6 +339,22 @@ def test_licenses(spark):
     assert licenses.scan(no_docs(spark)).count() == 0
 
 
+def test_wrapped_notices(spark):
+    bsd = "Copyright\n\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    texts = {bsd: (["bsd-grant"], 1.0)}
+    for label, notice in licenses.TEMPLATES.items():
+        words = notice.split()
+        texts["x\n" + "\n\n".join(words)] = ([label], 1.0)
+        texts["\n".join(["a b", " ".join(words[:3]), " ".join(words[3:9]), " ".join(words[9:]) + " y"])] = ([label], 1.0)
+    texts["license\nmit the\nunder\nreleased"] = ([], 0.0)
+    data = [(i, t) for i, t in enumerate(texts)]
+    found = licenses.scan(spark.createDataFrame(data, "doc_id long, text string"))
+    for r in found.collect():
+        labels, score = texts[data[r.doc_id][1]]
+        assert set(labels) <= set(r.labels) and r.score == score, data[r.doc_id]
+    assert native(found)
+
+
 def test_row_key_tells_rows_apart(spark):
     data = [("a", None), (None, "a"), ("a=", "1"), ("a", "=1"), ("", None), (None, None), ("a", None)]
     df = spark.createDataFrame(data, "x string, y string")

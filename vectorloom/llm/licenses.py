@@ -14,6 +14,11 @@ vocabulary cannot match, so a block is kept as the set of its vocabulary words.
 the texts; its result, small rows, is written down, the word frequencies are counted from it (one
 row per template word, which bounds what comes to the driver), and the join runs on it.
 
+A notice that wraps has too few words on each of its lines. So at every line break the words
+around it, one less than the longest template on each side, are searched for templates that stand in
+place: ``need`` distinct words of the template, each at its distance from the others, whatever
+stands between. Windows that lack ``need`` words of a template are not searched.
+
 Base phrases are found where their words stand consecutively, over the words of the whole text.
 
 Built-in functions only. Defined cases: a null or empty text has no words, places or labels; an
@@ -70,6 +75,40 @@ def phrase_places(words: Column, joined: Column, phrase: tuple[str, ...]) -> Col
     return F.when(joined.contains(" ".join(phrase)), places).otherwise(F.array().cast("array<int>"))
 
 
+def wrapped(line_words: Column, words: Column, templates: dict[str, list[str]], need: dict[str, int]) -> Column:
+    """``(label, share)`` of the templates that stand in place across line breaks."""
+    reach = max(map(len, templates.values())) - 1
+    ends = F.aggregate(
+        line_words,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, line: F.struct(
+            (acc["at"] + F.size(line)).alias("at"), F.array_append(acc["out"], acc["at"] + F.size(line)).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+    breaks = F.filter(F.array_distinct(ends), lambda at: (at > 0) & (at < F.size(words)))
+    windows = F.transform(
+        breaks, lambda at: F.slice(words, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)) + reach)
+    )
+
+    def hits(label, text):
+        size = len(set(text))
+        template = F.array(*map(F.lit, text))
+        enough = F.filter(windows, lambda x: F.size(F.array_intersect(x, template)) >= need[label])
+
+        def common(x, i):
+            stands = F.filter(template, lambda word, k: F.get(x, i + k) == word)
+            return F.size(F.array_distinct(stands))
+
+        best = F.array_max(
+            F.flatten(F.transform(enough, lambda x: F.transform(positions_to(F.size(x) - 1), lambda i: common(x, i))))
+        )
+        return F.when(best >= need[label], F.struct(F.lit(label).alias("label"), (best / size).alias("share")))
+
+    found = F.array(*[hits(label, text) for label, text in templates.items()])
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def scan(
     docs: DataFrame,
     templates: dict[str, str] = TEMPLATES,
@@ -92,15 +131,19 @@ def scan(
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), lowered.alias("t")
     )
-    rows = rows.select("row", "doc_id", "t", words_of(F.col("t")).alias("w"))
-    rows = rows.select("row", "doc_id", "t", "w", F.array_join("w", " ").alias("joined"))
-    blocks = F.transform(F.split("t", "\n", -1), lambda line: F.array_intersect(words_of(line), vocabulary_col))
+    rows = rows.select("row", "doc_id", F.transform(F.split("t", "\n", -1), words_of).alias("lines"))
+    # No word holds a line break, so the words of the lines are those of the text.
+    rows = rows.select("row", "doc_id", "lines", F.flatten("lines").alias("w"))
+    rows = rows.select("row", "doc_id", "lines", "w", F.array_join("w", " ").alias("joined"))
+    blocks = F.transform("lines", lambda line: F.array_intersect(line, vocabulary_col))
+    in_order = {label: text.split() for label, text in templates.items()}
     least = min(need.values())
     places = {label: phrase_places(F.col("w"), F.col("joined"), p) for label, p in PHRASES.items()}
     read = rows.select(
         "row", "doc_id", F.size("w").cast("long").alias("n_words"),
         F.struct(*[p.alias(label) for label, p in places.items()]).alias("places"),
         F.filter(blocks, lambda b: F.size(b) >= least).alias("blocks"),
+        wrapped(F.col("lines"), F.col("w"), in_order, need).alias("wrapped"),
     )
     read = materialize(read, "license-blocks")
 
@@ -136,7 +179,8 @@ def scan(
     base = F.filter(
         F.array(*[F.when(F.size(F.col("places")[label]) > 0, F.lit(label)) for label in PHRASES]), lambda x: x.isNotNull()
     )
-    own = F.coalesce("own", F.array().cast("array<string>"))
+    own = F.array_union(F.coalesce("own", F.array().cast("array<string>")), F.transform("wrapped", lambda x: x["label"]))
+    best = F.greatest("best", F.array_max(F.transform("wrapped", lambda x: x["share"])), F.lit(0.0))
     return read.join(found, "row", "left").select(
         "doc_id",
         "n_words",
@@ -145,5 +189,5 @@ def scan(
         F.array_max(everywhere).cast("long").alias("last_word"),
         F.sort_array(base).alias("base_labels"),
         F.sort_array(F.array_union(base, own)).alias("labels"),
-        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(best).alias("score"),
     )

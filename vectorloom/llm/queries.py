@@ -6,33 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import licenses, pii, quality, urls
+from vectorloom.llm import licenses, pii, quality, repair_queries, urls
 from vectorloom.llm.codes import read_documents, write_tokens
 from vectorloom.llm.minhash import near_duplicates
 from vectorloom.llm.mixing import mix
 from vectorloom.llm.packing import pack
 from vectorloom.llm.pivots import top_inner_products
+from vectorloom.llm.registered import LLM_ORACLES, LLM_QUERIES, query, table
 from vectorloom.llm.transducer import count_tokens
 from vectorloom.session import materialize
 
-LLM_QUERIES = {}
-LLM_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        LLM_QUERIES[name] = fn
-        if sql is not None:
-            LLM_ORACLES[name] = sql
-        return fn
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query("op1_token_codes")
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_tokens(
@@ -333,3 +316,6 @@ FROM s QUALIFY rank <= 20
 @query("op4_pivot_search", PIVOT_SQL)
 def op4_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+__all__ = ["LLM_ORACLES", "LLM_QUERIES", "repair_queries"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vectorloom.llm import spelling
+from vectorloom.llm import secret_scan, spelling
 from vectorloom.llm.registered import query, table
 
 
@@ -51,3 +52,90 @@ SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
 @query("op11_spelling_variants", SPELLING_SQL)
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+SECRET_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+p(kind, o, pat) AS (VALUES
+  ('assign', 1, '@ASSIGN@'), ('access', 2, 'AKIA[A-Z0-9]+'), ('hex', 3, '[0-9a-f]+'), ('random', 4, '[A-Za-z0-9+/_-]+')),
+m AS (
+  SELECT k, kind, o, regexp_extract_all(t, pat) AS m, regexp_split_to_array(t, pat) AS g
+  FROM d, p WHERE regexp_matches(t, pat)),
+pos AS (
+  SELECT k, kind, o, x, CAST(coalesce(sum(length(y) + length(x)) OVER w, 0) + first_length AS BIGINT) AS b
+  FROM (
+    SELECT k, kind, o, length(g[1]) AS first_length, unnest(m) AS x, unnest(g[2:]) AS y, unnest(range(len(m))) AS i FROM m)
+  WINDOW w AS (PARTITION BY k, o ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (
+  SELECT k, kind, o, x, b, b + length(x) AS e FROM pos WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(x, '@ASSIGN@', 2)) >= 8
+    WHEN 'access' THEN length(x) >= 16 WHEN 'hex' THEN length(x) >= 32 ELSE length(x) >= 20 END),
+base AS (SELECT * FROM a WHERE o < 4),
+cand AS (
+  SELECT * FROM a WHERE o = 4 AND NOT EXISTS (SELECT 1 FROM base WHERE base.k = a.k AND base.b < a.e AND base.e > a.b)),
+ch AS (
+  SELECT k, i, CASE WHEN regexp_matches(c, '[A-Za-z0-9+/_-]') THEN c ELSE '' END AS c
+  FROM (SELECT k, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i FROM d)),
+masked AS (
+  SELECT k, i, CASE WHEN EXISTS (SELECT 1 FROM base WHERE base.k = ch.k AND base.b <= i AND i < base.e) THEN '' ELSE c END AS c
+  FROM ch),
+rs AS (
+  SELECT row_number() OVER () AS k, x FROM (
+    SELECT x FROM base WHERE o > 1
+    UNION ALL SELECT sha256(t) FROM d
+    UNION ALL SELECT replace(base64(unhex(sha256(t))), '=', '') FROM d)),
+pairs AS (
+  SELECT 0 AS secret, coalesce(lag(c) OVER (PARTITION BY k ORDER BY i), '') AS p, c FROM masked
+  UNION ALL
+  SELECT 1, coalesce(lag(c) OVER (PARTITION BY k ORDER BY i), ''), c
+  FROM (SELECT k, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS i FROM rs)),
+n AS (SELECT secret, p, c, count(*) AS n FROM pairs WHERE c <> '' GROUP BY ALL),
+tot AS (SELECT secret, p, sum(n) AS total FROM n GROUP BY ALL),
+sym AS (SELECT unnest(string_split('@ALPHABET@', '')) AS c),
+steps AS (
+  SELECT p.c AS p, sym.c AS c,
+         round(1000 * ln((coalesce(r.n, 0) + 1) / (coalesce(rt.total, 0) + 66)))
+         - round(1000 * ln((coalesce(o.n, 0) + 1) / (coalesce(ot.total, 0) + 66))) AS v
+  FROM (SELECT c FROM sym UNION ALL SELECT '') p CROSS JOIN sym
+  LEFT JOIN n r ON r.secret = 1 AND r.p = p.c AND r.c = sym.c LEFT JOIN n o ON o.secret = 0 AND o.p = p.c AND o.c = sym.c
+  LEFT JOIN tot rt ON rt.secret = 1 AND rt.p = p.c LEFT JOIN tot ot ON ot.secret = 0 AND ot.p = p.c),
+scored AS (
+  SELECT k, b, e FROM (
+    SELECT k, b, e, coalesce(lag(c) OVER (PARTITION BY k, b ORDER BY i), '') AS p, c
+    FROM (SELECT k, b, e, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS i FROM cand))
+  JOIN steps USING (p, c) GROUP BY k, b, e HAVING sum(v) >= @THRESHOLD@),
+f AS (SELECT k, kind, o, b, e FROM base UNION ALL SELECT k, 'random', 4, b, e FROM scored)
+SELECT doc_id, count(*) FILTER (WHERE o = 1) AS n_assign, count(*) FILTER (WHERE o = 2) AS n_access,
+       count(*) FILTER (WHERE o = 3) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) FILTER (WHERE o < 4), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o), '') AS spans
+FROM d LEFT JOIN f USING (k) GROUP BY k, doc_id
+"""
+# The letters of an assignment's name in either case, spelled out: the engines fold case differently.
+ASSIGN_SQL = (
+    "("
+    + "|".join(
+        "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+        for word in ("password", "passwd", "secret", "token", "api_?key")
+    )
+    + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+SECRET_SQL = (
+    SECRET_SQL.replace("@ASSIGN@", ASSIGN_SQL)
+    .replace("@ALPHABET@", secret_scan.ALPHABET)
+    .replace("@THRESHOLD@", str(secret_scan.THRESHOLD))
+)
+
+
+@query("op12_secret_scan", SECRET_SQL)
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col(name)
+    counts = [secret_scan.number_of(spans, kind).alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS]
+    base = secret_scan.marked(spans, *secret_scan.BASE_KINDS)
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.marked(spans, *secret_scan.KINDS).alias("spans"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import secret_scan, spelling
+from vectorloom.llm import conversations, secret_scan, spelling
 from vectorloom.llm.registered import query, table
 
 
@@ -139,3 +139,67 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         secret_scan.marked(spans, *secret_scan.KINDS).alias("spans"),
     )
+
+
+CONVERSATION_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, @CRC@ % 20 AS kind
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+        FROM conversations)),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (
+  SELECT ids.c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c JOIN ids ON c.conv_id IS NOT DISTINCT FROM ids.conv_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending
+  FROM r),
+f AS (
+  SELECT c, i, turn, role, text, role[1:1] AS ini,
+         CASE WHEN ending = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated'
+              ELSE '' END AS fault,
+         lag(role[1:1]) OVER (PARTITION BY c ORDER BY i) AS before
+  FROM o),
+n AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY c),
+ins(st, added, state, lines) AS (VALUES
+  ('-', '', '-', ''), ('-', 'I', 'u', '@user:'), ('-', 'II', 'a', '@user:@assistant:'),
+  ('s', '', 's', ''), ('s', 'I', 'u', '@user:'), ('s', 'II', 'a', '@user:@assistant:'),
+  ('u', '', 'u', ''), ('u', 'I', 'a', '@assistant:'), ('u', 'II', 'u', '@assistant:@user:'),
+  ('a', '', 'a', ''), ('a', 'I', 'u', '@user:'), ('a', 'II', 'a', '@user:@assistant:')),
+best AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, '-' AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS lines FROM ids
+  UNION ALL
+  SELECT c, i, st, cost, audit, lines FROM (
+    SELECT p.c, f.i,
+           CASE e.edit WHEN 'D' THEN ins.state WHEN 'K' THEN f.ini WHEN 'R' THEN if(ins.state = 'u', 'a', 'u') END AS st,
+           p.cost + 3 * length(ins.added) + CASE e.edit WHEN 'D' THEN 4 ELSE if(e.edit = 'R', 3, 0) + if(fault = 'truncated', 3, 0) END AS cost,
+           p.audit || ins.added || e.edit AS audit,
+           p.lines || replace(ins.lines, '@', chr(10)) || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text
+             ELSE chr(10) || if(ins.state = 'u', 'assistant', 'user') || ':' || text END AS lines
+    FROM best p JOIN f ON f.c = p.c AND f.i = p.i + 1 JOIN ins ON ins.st = p.st
+    JOIN (VALUES ('D'), ('K'), ('R')) e(edit) ON e.edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R'
+      OR (ini = 's' AND ins.state = '-') OR (ini = 'u' AND ins.state <> 'u') OR (ini = 'a' AND ins.state = 'u'))))
+  QUALIFY row_number() OVER (PARTITION BY c, i, st ORDER BY cost, audit) = 1),
+done AS (
+  SELECT c, cost + 3 * length(added) AS cost, audit || added AS audit, best.lines || replace(ins.lines, '@', chr(10)) AS lines
+  FROM best JOIN ins USING (st)
+  WHERE ins.state IN ('-', 'a') AND i = (SELECT count(*) FROM f WHERE f.c = best.c)
+  QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost + 3 * length(added), audit || added) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(lines[2:]) AS repaired_sha256
+FROM ids JOIN done USING (c) LEFT JOIN n USING (c)
+""".replace("@CRC@", crc32_sql("k"))
+
+
+@query("op13_conversation_repair", CONVERSATION_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+    return repaired.withColumnRenamed("digest", "repaired_sha256")

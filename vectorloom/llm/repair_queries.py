@@ -84,9 +84,13 @@ rs AS (
     SELECT x FROM base WHERE o > 1
     UNION ALL SELECT sha256(t) FROM d
     UNION ALL SELECT replace(base64(unhex(sha256(t))), '=', '') FROM d)),
+ns AS (SELECT k, CAST(CAST('0x' || substr(sha256(t), 1, @DIGITS@) AS BIGINT) AS VARCHAR) AS x FROM d),
 pairs AS (
   SELECT 0 AS secret, coalesce(lag(c) OVER (PARTITION BY k ORDER BY i), '') AS p, c FROM masked
   UNION ALL
+  SELECT 0, coalesce(lag(c) OVER (PARTITION BY k ORDER BY i), ''), c
+  FROM (SELECT k, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS i FROM ns)
+  UNION ALL
   SELECT 1, coalesce(lag(c) OVER (PARTITION BY k ORDER BY i), ''), c
   FROM (SELECT k, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS i FROM rs)),
 n AS (SELECT secret, p, c, count(*) AS n FROM pairs WHERE c <> '' GROUP BY ALL),
@@ -124,6 +128,7 @@ SECRET_SQL = (
     SECRET_SQL.replace("@ASSIGN@", ASSIGN_SQL)
     .replace("@ALPHABET@", secret_scan.ALPHABET)
     .replace("@THRESHOLD@", str(secret_scan.THRESHOLD))
+    .replace("@DIGITS@", str(secret_scan.NUMBER_DIGITS))
 )
 
 

@@ -8,7 +8,7 @@ one of ordinary identifiers and words. A run of at least :data:`LEAST_RUN` chara
 The samples are labelled by the corpus itself: random are the long hexadecimal runs and access keys
 that the patterns confirm, and of every text its SHA-256 digest in hexadecimal and in base 64, so that
 both alphabets are known even where no text holds a secret; ordinary is every run outside confirmed
-spans. Further labelled strings may be given. Counts cover all texts: tasks send one row per pair of
+spans, and of every text the start of its digest as a decimal number: plain numbers are no secrets. Further labelled strings may be given. Counts cover all texts: tasks send one row per pair of
 characters, so what is gathered is bounded by the square of the alphabet, and only the table of
 log-likelihood ratios goes to the tasks. Ratios are whole thousandths: scores do not depend on order.
 
@@ -49,6 +49,9 @@ LEAST_RUN = 20
 #: Least log-likelihood ratio of a secret, in thousandths (20: odds of about 5e8 to 1).
 THRESHOLD = 20_000
 
+#: Hexadecimal digits of a digest that become a number.
+NUMBER_DIGITS = 15
+
 #: Bytes counted at a time.
 BLOCK = 1 << 20
 SIZE = len(ALPHABET) + 1  # class 0: the start of a run
@@ -138,6 +141,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found, _ = patterns.spans(text)
                 pairs.add(0, text, [(start, end) for start, _, end in found])
                 digest = hashlib.sha256(text).digest()
+                pairs.add(0, str(int(digest.hex()[:NUMBER_DIGITS], 16)).encode())
                 random = [text[start:end] for start, kind, end in found if kind > 0]
                 pairs.add(1, b" ".join([*random, digest.hex().encode(), base64.b64encode(digest)]))
         yield pairs.batch()
@@ -188,7 +192,8 @@ def find(docs: DataFrame, text_col: str = "text", ratios: np.ndarray | None = No
     if ratios is None:
         ratios = likelihood_ratios(corpus_counts(docs, text_col))
     name = fresh(docs, "spans")
-    given = docs.select(*[col(c) for c in docs.columns], col(text_col).alias(name))
+    # Columns travel by place: a name may hold a dot.
+    given = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], col(text_col).alias("text"))
     schema = docs.withColumn(name, F.lit(None).cast(SPANS)).schema
 
     def scan(batches):
@@ -226,7 +231,7 @@ def find(docs: DataFrame, text_col: str = "text", ratios: np.ndarray | None = No
                     ]
                 )
             columns = [*batch.columns[:-1], pa.array(rows, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return given.mapInArrow(scan, schema), name
 

@@ -355,9 +355,18 @@ def test_one_long_conversation_is_cut_into_pieces(spark, monkeypatch):
     table += [(8, 0, "user", "Q?"), (8, 1, "assistant", "A."), (7, 1, "user", "Turn 5."), (7, 2990, "user", "Turn 5.")]
     df = talk_frame(spark, table)
     given = df.withColumn("copies", F.lit(1).cast("long"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows are one range
+    spark.conf.set(coalesce, "false")
+    try:
+        check_pieces(given)
+        assert found_repairs(df, damage=False) == repaired_by_hand(table, damage=False)
+    finally:
+        spark.conf.unset(coalesce)
+
+
+def check_pieces(given):
     pieces = conversations.cut(conversations.judged(given)).where("conv_id = 7").collect()
     assert len(pieces) >= 60 and len({p.part for p in pieces}) > 1 and max(len(p.codes) for p in pieces) <= 50
-    assert found_repairs(df, damage=False) == repaired_by_hand(table, damage=False)
 
 
 def test_crossings_in_the_middle_keep_the_first_audit():

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.operators import exact, ivf, pq
+from vectorloom.operators import cells, exact, ivf, pq
 from vectorloom.operators.kernel import (
     BestPerQuery,
     dense_matrix,
@@ -104,7 +104,7 @@ def test_training_counts_ids_with_gaps(spark):
 
 def test_blocks_with_tiny_state(data, monkeypatch):
     base, frame, queries, qframe = data
-    monkeypatch.setattr(exact, "STATE_LIMIT_BYTES", 4096)
+    monkeypatch.setattr(cells, "QUERY_CELL_BYTES", 4096)
     same(rows_of(exact.knn_blocks(frame, qframe, 9, pack=7, blocks=2)), brute(base, queries, 9))
 
 
@@ -277,9 +277,8 @@ def test_index_search_reads_only_probed_lists(spark, data, index):
     one = qframe.where("query_index = 0")
     plan = check_plan(ivf.search_ivf(index.ivf, one, 3, 2), "index")
     assert "list_id" in plan.split("PartitionFilters")[1][:80]
-    block = exact.fetch_queries(one)
-    probes = ivf.select_probes(block, index.ivf.centroids, 2)
-    codes = pq.pq_candidates(index, spark, block, probes, 5, 1)
+    (block,) = ivf.probed_blocks(one, index.ivf, 2, 100, "scan")
+    codes = pq.pq_candidates(index, spark, block, 5, 1)
     assert "embedding" not in plan_text(codes)
 
 

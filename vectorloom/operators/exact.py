@@ -2,7 +2,7 @@
 
 Base rows never move: each scan task scores its own rows against the query block and ships
 only its local best. When the queries are too many to ship to every task, both sides are
-packed into blocks that meet through an ordinary equi-join instead.
+packed and meet in the cells of a grid instead (:mod:`~vectorloom.operators.cells`).
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.operators import cells
+from vectorloom.operators.cells import CANDIDATES, candidate_batch
 from vectorloom.operators.kernel import BestPerQuery, dense_matrix, pair_distances
 from vectorloom.operators.kernel import rounding_slack
 from vectorloom.operators.topk import check_k, top_per_query
-from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB, fetch_bounded, split_count
-
-CANDIDATES = "query_index long, id long, dist double"
+from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB, fetch_bounded, materialize, split_count
 
 #: Memory one task may spend on running bests.
 STATE_LIMIT_BYTES = 64 * MIB
@@ -62,13 +62,6 @@ def fetch_queries(queries: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES):
     return QueryBlock(index[order], vectors[order])
 
 
-def candidate_batch(index, ids, dist) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(index, pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())],
-        names=["query_index", "id", "dist"],
-    )
-
-
 def columns_of(base: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
     return base.select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"), *more
@@ -110,6 +103,11 @@ def with_ceiling(block: QueryBlock, k: int, probe: DataFrame):
     return QueryBlock(block.index, block.vectors, ceiling)
 
 
+def check_path(path: str, other: str) -> None:
+    if path not in ("auto", "scan", other):
+        raise ValueError(f"unknown path {path!r}; use auto, scan or {other}")
+
+
 def knn_batch(
     base: DataFrame,
     queries: DataFrame,
@@ -117,13 +115,21 @@ def knn_batch(
     id_col: str = "id",
     vec_col: str = "embedding",
     probe: DataFrame | None = None,
+    path: str = "auto",
 ) -> DataFrame:
-    """Exact top-``k`` per query: ``(query_index, rk, id, dist)``."""
+    """Exact top-``k`` per query: ``(query_index, rk, id, dist)``.
+
+    ``path``: ``scan`` ships the queries to the base, ``grid`` lets both sides meet in cells, ``auto``
+    scans while few scans with shipped queries do. The rows are the same.
+    """
     check_k(k)
+    check_path(path, "grid")
     rows = columns_of(base, id_col, vec_col)
-    block = fetch_queries(queries)
+    block = None if path == "grid" else fetch_queries(queries)
     per_scan = max(1, STATE_LIMIT_BYTES // (16 * k))
-    if block is None or len(block) > per_scan * MAX_SCANS:
+    if path == "scan" and block is None:
+        raise ValueError("too many queries to ship; use the grid")
+    if block is None or (path == "auto" and len(block) > per_scan * MAX_SCANS):
         return knn_blocks(base, queries, k, id_col, vec_col)
     if len(block) and probe is not None:
         block = with_ceiling(block, k, columns_of(probe, id_col, vec_col))
@@ -193,62 +199,50 @@ def within_radius(block: QueryBlock, ids, rows, radius):
 
 # --- both sides large -------------------------------------------------------------------
 
-PACKS = "pack long, ids binary, vectors binary"
-
 
-def pack_rows(df: DataFrame, rows_per_pack: int) -> DataFrame:
-    """One row per block of vectors; ``df`` has columns ``(id, embedding)`` in that order.
+@dataclass(frozen=True)
+class GridPlan:
+    """Sizes of a search of a whole table: one list, ``row_groups x query_groups`` cells."""
 
-    The vectors keep the type of the column; the first byte of a block is its item size.
-    """
+    row_groups: int
+    query_groups: int
+    pack: int
 
-    def pack(batches):
-        for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(), dense_matrix(batch.column(1))
-            kind = "<f4" if pa.types.is_float32(batch.column(1).type.value_type) else "<f8"
-            out = []
-            for start in range(0, len(ids), rows_per_pack):
-                part = slice(start, start + rows_per_pack)
-                blob = kind[-1].encode() + vectors[part].astype(kind).tobytes()
-                out.append((int(ids[start]), ids[part].tobytes(), blob))
-            if out:
-                yield pa.RecordBatch.from_pylist(
-                    [{"pack": p, "ids": i, "vectors": v} for p, i, v in out],
-                    schema=pa.schema(
-                        [("pack", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())]
-                    ),
-                )
-
-    return df.mapInArrow(pack, PACKS)
-
-
-def paired_packs(base, queries, id_col, vec_col, pack, blocks) -> DataFrame:
-    """Every base pack next to every query pack, spread evenly over ``blocks`` keys.
-
-    A base pack gets one key from a hash of its name, never from the data; the smaller query
-    side is repeated once per key. Base vectors are shuffled once, whatever the query count.
-    """
-    spark: SparkSession = base.sparkSession
-    blocks = blocks or max(spark.sparkContext.defaultParallelism, split_count(base))
-    key = F.pmod(F.xxhash64("pack"), F.lit(blocks))
-    left = pack_rows(columns_of(base, id_col, vec_col), pack).withColumn("block", key)
-    right = pack_rows(
-        queries.select(F.col("query_index").alias("id"), F.col("qvec").alias("embedding")), pack
-    ).select(
-        F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"),
-        F.col("pack").alias("query_pack"),
-        F.col("ids").alias("query_ids"),
-        F.col("vectors").alias("query_vectors"),
-    )
-    return left.join(right, "block").select(
-        "ids", "vectors", "query_pack", "query_ids", "query_vectors"
-    )
+    @property
+    def cells(self):
+        number = F.col("row_group") * self.query_groups + F.col("query_group")
+        return self.row_groups * self.query_groups, number.cast("int")
 
 
-def unpack(ids: bytes, vectors: bytes):
-    numbers = np.frombuffer(ids, dtype="<i8")
-    kind = f"<f{vectors[:1].decode()}"
-    return numbers, np.frombuffer(vectors, dtype=kind, offset=1).reshape(len(numbers), -1).astype(float)
+def plan_grid(rows: DataFrame, queries: DataFrame, state_bytes: int, pack: int, tasks: int | None) -> GridPlan:
+    """Grid of ``rows(id, embedding)`` and ``queries(query_index, qvec)``; ``state_bytes`` a query keeps."""
+    head = queries.select(F.size("qvec").alias("dim")).head()
+    dim = head.dim if head else 1
+    n, m = rows.count(), queries.count()
+    if tasks is None:
+        context = rows.sparkSession.sparkContext
+        work = n * m * dim / cells.CELL_WORK
+        tasks = max(context.defaultParallelism, split_count(rows), int(work) + 1)
+    size = 8 * dim
+    return GridPlan(*cells.grid_shape(n, size, m, size, size + state_bytes, tasks), pack)
+
+
+def grid_sides(rows: DataFrame, queries: DataFrame, plan: GridPlan) -> tuple[DataFrame, DataFrame]:
+    """Packs of both sides, one copy per cell they belong to; queries may carry a ``ceiling``."""
+    nowhere = F.lit(0).cast("long")
+    row_groups, query_groups = F.lit(plan.row_groups).cast("long"), F.lit(plan.query_groups).cast("long")
+    left = rows.select(nowhere.alias("list_id"), nowhere.alias("part"), "id", "embedding")
+    group = F.pmod(F.xxhash64("query_index"), query_groups).alias("part")
+    limits = ["ceiling"] if "ceiling" in queries.columns else []
+    right = queries.select(nowhere.alias("list_id"), group, "query_index", "qvec", *limits)
+    return (
+        cells.row_packs(
+            cells.pack_groups(left, plan.pack, cells.layout_of(rows.schema["embedding"].dataType)), row_groups, query_groups
+        ),
+        cells.query_packs(
+            cells.pack_groups(right, plan.pack, cells.layout_of(queries.schema["qvec"].dataType)), row_groups
+        ),
+    )
 
 
 def knn_blocks(
@@ -259,58 +253,58 @@ def knn_blocks(
     vec_col: str = "embedding",
     pack: int = 2048,
     blocks: int | None = None,
+    first_round: int | None = None,
 ) -> DataFrame:
-    """Exact top-``k`` when neither side fits a broadcast: ``(query_index, rk, id, dist)``."""
+    """Exact top-``k`` when neither side fits a broadcast: ``(query_index, rk, id, dist)``.
+
+    ``blocks`` is the least number of cells. Every row group would ship ``k`` rows a query; a first
+    round over one row in ``first_round`` bounds the k-th distance of each query, and only rows within it
+    are shipped then. By default it is run when there are many row groups; 0 leaves it out. The bound
+    never drops a row of the result.
+    """
     check_k(k)
-    pairs = paired_packs(base, queries, id_col, vec_col, pack, blocks)
-    return top_per_query(best_of_pairs(pairs, k), k).select("query_index", "rk", "id", "dist")
+    rows = columns_of(base, id_col, vec_col)
+    queries = queries.select("query_index", "qvec")
+    plan = plan_grid(rows, queries, 16 * k, pack, blocks)
+    if first_round is None:
+        first_round = round(plan.row_groups**0.5) if plan.row_groups >= 16 else 0
+    if first_round:
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(first_round)) == 0)
+        small = GridPlan(max(1, plan.row_groups // first_round), plan.query_groups, pack)
+        kth = top_per_query(in_cells(part, queries, small, k), k).where(F.col("rk") == k)
+        bounds = materialize(kth.select("query_index", F.col("dist").alias("bound")), "bounds")
+        ceiling = F.coalesce("bound", F.lit(float("inf"))).alias("ceiling")
+        queries = queries.join(bounds, "query_index", "left").select("query_index", "qvec", ceiling)
+    return top_per_query(in_cells(rows, queries, plan, k), k).select("query_index", "rk", "id", "dist")
 
 
-def best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """``k`` best per query over the pack pairs a task sees; state is drained when it grows."""
-    state_limit = STATE_LIMIT_BYTES
+def in_cells(rows: DataFrame, queries: DataFrame, plan: GridPlan, k: int) -> DataFrame:
+    """``k`` best rows per query and row group."""
+    sides = grid_sides(rows, queries, plan)
+    return cells.meet(*sides, lambda: cells.Nearest(k), CANDIDATES, plan.cells)
 
-    def score(batches):
-        open_packs: dict[tuple, tuple[np.ndarray, BestPerQuery]] = {}
 
-        def drain():
-            for index, best in open_packs.values():
-                position, ids, dist = best.rows()
-                yield candidate_batch(index[position], ids, dist)
-            open_packs.clear()
+class Within:
+    """Visitor: all pairs of the cell within a radius."""
 
-        spent = 0
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, vectors, name, query_ids, query_vectors = (
-                    batch.column(c)[row].as_py() for c in range(5)
-                )
-                key = (name, query_ids)
-                if key not in open_packs:
-                    index, matrix = unpack(query_ids, query_vectors)
-                    if spent + matrix.nbytes + 16 * k * len(index) > state_limit:
-                        yield from drain()
-                        spent = 0
-                    open_packs[key] = (index, BestPerQuery(matrix, k))
-                    spent += matrix.nbytes + 16 * k * len(index)
-                open_packs[key][1].offer(*unpack(ids, vectors))
-        yield from drain()
-
-    return pairs.mapInArrow(score, CANDIDATES)
+    def __init__(self, radius: float):
+        self.radius = radius
 
+    def open(self, list_id: int, packs: list) -> None:
+        index, vectors, _ = cells.joined_packs(packs)
+        self.block = QueryBlock(index, vectors)
 
-def radius_blocks(base, queries, radius, id_col="id", vec_col="embedding", pack=2048, blocks=None):
-    """Radius search over paired packs; see :func:`knn_blocks`."""
-    pairs = paired_packs(base, queries, id_col, vec_col, pack, blocks)
+    def offer(self, ids: bytes, payload: bytes):
+        numbers, rows = cells.unpack(ids, payload)
+        yield from within_radius(self.block, numbers, rows.astype(np.float64), self.radius)
 
-    def score(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, vectors, _, query_ids, query_vectors = (
-                    batch.column(c)[row].as_py() for c in range(5)
-                )
-                yield from within_radius(
-                    QueryBlock(*unpack(query_ids, query_vectors)), *unpack(ids, vectors), radius
-                )
-
-    return pairs.mapInArrow(score, CANDIDATES)
+    def close(self):
+        return ()
+
+
+def radius_blocks(base, queries, radius, id_col="id", vec_col="embedding", pack=2048, blocks=None):
+    """Radius search in cells; see :func:`knn_blocks`."""
+    rows = columns_of(base, id_col, vec_col)
+    queries = queries.select("query_index", "qvec")
+    plan = plan_grid(rows, queries, 0, pack, blocks)
+    return cells.meet(*grid_sides(rows, queries, plan), lambda: Within(radius), CANDIDATES, plan.cells)

@@ -16,32 +16,39 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.bucket import with_bucket
 from vectorloom.functions.vector import l2_distance_batch
+from vectorloom.operators import cells
 from vectorloom.operators.exact import QueryBlock
 from vectorloom.operators.ivf import (
     IvfIndex,
     IvfParams,
+    ProbedBlock,
+    assigned,
     build_ivf,
     check_shipped,
     groups_of,
+    list_cells,
     mean_vectors,
-    paired_list_packs,
+    probed_blocks,
     probed_lists,
-    queries_by_list,
-    query_chunks,
-    seed_rows,
-    select_probes,
     training_sample,
 )
 from vectorloom.operators.kernel import (
+    SCRATCH,
     BestPerQuery,
     dense_matrix,
     nearest_center,
     sums_by,
 )
+from vectorloom.functions.sampling import equidistant_position
 from vectorloom.operators.topk import cap_per_worker, check_k, fetch_k, top_per_query
-from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB
+from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB, materialize
 
-CANDIDATES = "query_index long, worker int, id long, adc double"
+CANDIDATES = "query_index long, worker int, list_id int, id long, adc double"
+
+#: Memory for the lookup tables and running pools of the queries one task scores at a time.
+TABLE_BYTES = 64 * MIB
+#: Bits of the filter of candidate ids: eight per candidate, at most this many (16 MiB).
+FILTER_BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -75,35 +82,52 @@ class PqIndex:
         return spark.read.parquet(f"{self.ivf.path}/codes")
 
 
-def residual_parts(rows: np.ndarray, lists: np.ndarray, centroids: np.ndarray, parts: int):
-    """Residuals cut to ``rows x parts x width``."""
-    return (rows - centroids[lists]).reshape(len(rows), parts, -1)
+def with_residual(rows: DataFrame, ivf: IvfIndex, vec_col: str, name: str) -> DataFrame:
+    """``rows`` of a list with ``name``: the vector less the centroid of its ``list_id``, as doubles.
+
+    Centroids that fit are shipped, those of a tree are joined.
+    """
+    if ivf.centroids is None:
+        joined = rows.join(ivf.centroid_rows(rows.sparkSession).withColumnRenamed("centroid", "__centroid"), "list_id")
+        less = F.zip_with(vec_col, "__centroid", lambda x, c: x.cast("double") - c)
+        return joined.withColumn(name, less).drop("__centroid")
+    centers = check_shipped(ivf.centroids, "centroids")
+
+    @F.arrow_udf("array<double>")
+    def less_centroid(vectors: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = dense_matrix(vectors, centers.shape[1]) - centers[lists.to_numpy(zero_copy_only=False)]
+        return pa.array(list(rows), pa.list_(pa.float64()))
+
+    return rows.withColumn(name, less_centroid(F.col(vec_col), F.col("list_id")))
 
 
 def train_codebooks(sample: DataFrame, sample_count: int, ivf: IvfIndex, params: PqParams):
     """Lloyd per sub-vector over training residuals, all sub-vectors in each pass."""
-    params.check(ivf.centroids.shape[1])
+    params.check(ivf.dim)
     parts = params.num_sub_quantizers
-    seeds = seed_rows(sample, sample_count, params.codes)
-    lists = nearest_center(seeds, ivf.centroids)
-    books = residual_parts(seeds, lists, ivf.centroids, parts).transpose(1, 0, 2)
-    books = np.round(books, params.decimals)
+    placed = assigned(sample.select(F.col("pos").alias("id"), "embedding"), ivf)
+    residuals = with_residual(placed, ivf, "embedding", "residual").select(F.col("id").alias("pos"), "residual")
+    residuals = materialize(residuals, "residuals")
+    if params.codes > sample_count:
+        raise ValueError(f"{params.codes} codes need at least as many training rows, got {sample_count}")
+    seed = equidistant_position("pos", sample_count, params.codes)
+    chosen = residuals.withColumn("seed", seed).where(F.col("seed").isNotNull()).orderBy("seed")
+    seeds = dense_matrix(chosen.select("residual").toArrow().column("residual"))  # one row per code
+    books = np.round(seeds.reshape(params.codes, parts, -1).transpose(1, 0, 2), params.decimals)
     for _ in range(params.rounds):
-        books = codebook_round(sample, ivf.centroids, books, params.decimals)
+        books = codebook_round(residuals, books, params.decimals)
     return books
 
 
-def codebook_round(sample: DataFrame, centroids, books, decimals: int) -> np.ndarray:
+def codebook_round(residuals: DataFrame, books, decimals: int) -> np.ndarray:
     parts, codes, width = books.shape
-    context = sample.sparkSession.sparkContext
-    shipped = context.broadcast((centroids, check_shipped(books, "codebooks")))
+    shipped = residuals.sparkSession.sparkContext.broadcast(check_shipped(books, "codebooks"))
 
     def partial(batches):
-        centers, known = shipped.value
+        known = shipped.value
         sums, counts = np.zeros_like(known), np.zeros((parts, codes), dtype=np.int64)
         for batch in batches:
-            rows = dense_matrix(batch.column(0), centers.shape[1])
-            residual = residual_parts(rows, nearest_center(rows, centers), centers, parts)
+            residual = dense_matrix(batch.column(0), parts * width).reshape(-1, parts, width)
             for m in range(parts):
                 part, n = sums_by(nearest_center(residual[:, m], known[m]), residual[:, m], codes)
                 sums[m] += part
@@ -119,7 +143,7 @@ def codebook_round(sample: DataFrame, centroids, books, decimals: int) -> np.nda
             names=["m", "code", "n", "sums"],
         )
 
-    sums = sample.select("embedding").mapInArrow(
+    sums = residuals.select("residual").mapInArrow(
         partial, "m long, code long, n long, sums array<double>"
     )
     means = mean_vectors(sums, ["m", "code"], decimals).toArrow()
@@ -129,20 +153,23 @@ def codebook_round(sample: DataFrame, centroids, books, decimals: int) -> np.nda
     return out
 
 
-def encode(ivf: IvfIndex, books: np.ndarray, vec_col: str = "embedding", list_col: str = "list_id") -> Column:
-    """Column ``array<short>``: nearest codeword of every residual slice."""
-    centers, known = ivf.centroids, check_shipped(books, "codebooks")
+def code_column(books: np.ndarray, residual: str) -> Column:
+    """Column ``array<short>``: nearest codeword of every slice of a residual."""
+    known = check_shipped(books, "codebooks")
 
     @F.arrow_udf("array<short>")
-    def encode_batch(vectors: pa.Array, lists: pa.Array) -> pa.Array:
-        rows = dense_matrix(vectors, centers.shape[1])
-        residual = residual_parts(rows, lists.to_numpy(zero_copy_only=False), centers, len(known))
-        codes = np.stack(
-            [nearest_center(residual[:, m], known[m]) for m in range(len(known))], axis=1
-        )
+    def encode_batch(vectors: pa.Array) -> pa.Array:
+        slices = dense_matrix(vectors, known.shape[0] * known.shape[2]).reshape(-1, known.shape[0], known.shape[2])
+        codes = np.stack([nearest_center(slices[:, m], known[m]) for m in range(len(known))], axis=1)
         return pa.array(list(codes.astype(np.int16)), pa.list_(pa.int16()))
 
-    return encode_batch(F.col(vec_col), F.col(list_col))
+    return encode_batch(F.col(residual))
+
+
+def encoded(rows: DataFrame, ivf: IvfIndex, books: np.ndarray, vec_col: str = "embedding") -> DataFrame:
+    """``rows`` with ``codes``; works on batch and, with shipped centroids, on streaming frames."""
+    named = with_residual(rows, ivf, vec_col, "__residual")
+    return named.withColumn("codes", code_column(books, "__residual")).drop("__residual")
 
 
 def build_pq(
@@ -161,7 +188,7 @@ def build_pq(
     count = lists.count()
     sample = training_sample(lists, count, ivf_params)
     books = train_codebooks(sample, min(count, ivf_params.sample_rows), ivf, params)
-    coded = lists.withColumn("codes", encode(ivf, books)).select("list_id", "id", "codes")
+    coded = encoded(lists, ivf, books).select("list_id", "id", "codes")
     with_bucket(coded, "id", params.buckets).write.partitionBy("list_id").parquet(
         f"{ivf.path}/codes"
     )
@@ -186,11 +213,15 @@ def load_pq(spark: SparkSession, ivf: IvfIndex, params: PqParams) -> PqIndex:
     return PqIndex(ivf, params, words.reshape(parts, len(words) // parts, -1))
 
 
-def lookup_tables(queries: np.ndarray, centroid: np.ndarray, books: np.ndarray) -> np.ndarray:
+def lookup_tables(residuals: np.ndarray, books: np.ndarray) -> np.ndarray:
     """``query x sub-quantizer x code``: squared distance of residual slice to codeword."""
-    residual = (queries - centroid).reshape(len(queries), books.shape[0], 1, books.shape[2])
-    diff = residual - books[None]
-    return (diff * diff).sum(axis=3)
+    residual = residuals.reshape(len(residuals), books.shape[0], 1, books.shape[2])
+    out = np.empty((len(residuals), books.shape[0], books.shape[1]))
+    step = max(1, SCRATCH // books.size)
+    for start in range(0, len(residuals), step):
+        diff = residual[start : start + step] - books[None]
+        out[start : start + step] = (diff * diff).sum(axis=3)
+    return out
 
 
 def adc_distances(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -201,74 +232,171 @@ def adc_distances(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.round(total, 9)
 
 
-def pq_candidates(
-    index: PqIndex, spark: SparkSession, block: QueryBlock, probes, pool: int, dop: int
-) -> DataFrame:
-    """At most ``pool`` rows per query and worker by asymmetric distance.
+def query_bytes(index: PqIndex, pool: int, dop: int) -> int:
+    """Memory a task keeps per query of a list: its lookup table and its running pools."""
+    return 8 * index.codebooks.shape[0] * index.codebooks.shape[1] + 16 * pool * dop + 8 * index.ivf.dim
 
-    Bucket ownership models the parallel degree: worker ``id_bucket mod dop`` answers for its
-    buckets alone, so the candidate pool, and with it recall, may grow with ``dop``.
+
+class CodeScores:
+    """Best rows by codes for a bounded group of queries on one list; tables are made once and kept."""
+
+    def __init__(self, residuals: np.ndarray, books: np.ndarray, pool: int, dop: int):
+        self.tables, self.dop = lookup_tables(residuals, books), dop
+        self.best = BestPerQuery(np.zeros((len(residuals) * dop, 1)), pool)
+        self.slots = np.arange(len(residuals)) * dop
+
+    def offer(self, ids: np.ndarray, workers: np.ndarray, codes: np.ndarray) -> None:
+        step = max(1, SCRATCH // max(1, len(self.tables)))
+        for worker, rows in groups_of(workers):
+            for start in range(0, len(rows), step):
+                at = rows[start : start + step]
+                self.best.offer_scored(ids[at], adc_distances(self.tables, codes[at]), self.slots + worker)
+
+
+def candidate_rows(index: np.ndarray, list_id: int, dop: int, best: BestPerQuery) -> pa.RecordBatch:
+    """Kept rows of slots numbered ``query * dop + worker``."""
+    position, ids, dist = best.rows()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(index[position // dop], pa.int64()),
+            pa.array((position % dop).astype(np.int32)),
+            pa.array(np.full(len(ids), list_id, dtype=np.int32)),
+            pa.array(ids, pa.int64()),
+            pa.array(dist),
+        ],
+        names=["query_index", "worker", "list_id", "id", "adc"],
+    )
+
+
+def pq_candidates(index: PqIndex, spark: SparkSession, asked: ProbedBlock, pool: int, dop: int) -> DataFrame:
+    """At most ``pool`` rows per query and pool by asymmetric distance.
+
+    With ``dop`` pools, pool ``id_bucket mod dop`` holds the best rows of its buckets alone, so the
+    candidates, and with them recall, may grow with ``dop``. The caller bounds the queries by the size of
+    their tables; a task works through one list at a time and keeps its tables between batches.
     """
     books, centroids = index.codebooks, index.ivf.centroids
-    shipped = spark.sparkContext.broadcast(
-        (block.plain(), queries_by_list(probes), centroids, books)
-    )
-    cache_limit = 64 * MIB
+    shipped = spark.sparkContext.broadcast((asked.block.plain(), asked.wanted(), centroids, books))
 
     def score(batches):
         plain, wanted, centers, books = shipped.value
         queries = QueryBlock(*plain)
-        slots = np.repeat(queries.vectors, dop, axis=0)
-        best = BestPerQuery(slots, pool)
-        tables: dict[int, np.ndarray] = {}
+        current, scores = None, None
         for batch in batches:
-            ids, codes = batch.column(0).to_numpy(), dense_matrix(batch.column(1), len(books))
-            codes = codes.astype(np.int64)
-            workers = batch.column(2).to_numpy() % dop
-            lists = batch.column(3).to_numpy()
-            for list_id, in_list in groups_of(lists):
+            ids, codes = batch.column(0).to_numpy(), dense_matrix(batch.column(1), len(books)).astype(np.int64)
+            workers, lists = batch.column(2).to_numpy() % dop, batch.column(3).to_numpy()
+            for list_id, at in groups_of(lists):
                 if list_id not in wanted:
                     continue
-                asking = wanted[list_id]
-                if list_id not in tables:
-                    if sum(t.nbytes for t in tables.values()) > cache_limit:
-                        tables.clear()
-                    tables[list_id] = lookup_tables(
-                        queries.vectors[asking], centers[list_id], books
-                    )
-                for worker, rows in groups_of(workers[in_list]):
-                    at = in_list[rows]
-                    dist = adc_distances(tables[list_id], codes[at])
-                    best.offer_scored(ids[at], dist, asking * dop + worker)
-        yield candidate_rows(queries.index, dop, best)
-
-    rows = probed_lists(index.codes(spark), probes).select("id", "codes", "id_bucket", "list_id")
+                if list_id != current:
+                    if scores is not None:
+                        yield candidate_rows(queries.index[wanted[current]], current, dop, scores.best)
+                    residuals = queries.vectors[wanted[list_id]] - centers[list_id]
+                    current, scores = list_id, CodeScores(residuals, books, pool, dop)
+                scores.offer(ids[at], workers[at], codes[at])
+        if scores is not None:
+            yield candidate_rows(queries.index[wanted[current]], current, dop, scores.best)
+
+    rows = probed_lists(index.codes(spark), asked.lists).select("id", "codes", "id_bucket", "list_id")
     return cap_per_worker(rows.mapInArrow(score, CANDIDATES), pool)
 
 
-def rerank(
-    candidates: DataFrame, vectors: DataFrame, block: QueryBlock, k: int
+class CodeCells:
+    """Visitor of cells of codes: the payload of a row is its pool, then its codes."""
+
+    def __init__(self, books: np.ndarray, pool: int, dop: int):
+        self.books, self.pool, self.dop = books, pool, dop
+
+    def open(self, list_id: int, packs: list) -> None:
+        self.list_id = list_id
+        self.index, residuals, _ = cells.joined_packs(packs)
+        self.scores = CodeScores(residuals, self.books, self.pool, self.dop)
+
+    def offer(self, ids: bytes, payload: bytes):
+        numbers, values = cells.unpack(ids, payload, "<i")
+        self.scores.offer(numbers, values[:, 0].astype(np.int64), values[:, 1:].astype(np.int64))
+        return ()
+
+    def close(self):
+        yield candidate_rows(self.index, self.list_id, self.dop, self.scores.best)
+
+
+def candidates_by_join(
+    index: PqIndex, queries: DataFrame, nprobe: int, dop: int, pool: int, pack: int = 2048
 ) -> DataFrame:
-    """Exact distance of every candidate, best ``k`` per query.
+    """:func:`pq_candidates` for query sets too large to ship: codes and query residuals meet in cells."""
+    spark = queries.sparkSession
+    owner = F.pmod("id_bucket", F.lit(dop)).cast("short")
+    coded = index.codes(spark).select("list_id", "id", F.concat(F.array(owner), F.col("codes")).alias("values"))
+    row_bytes = 2 * (1 + index.params.num_sub_quantizers)
+    sides = list_cells(
+        index.ivf, coded, "<i2", queries, nprobe, pack, row_bytes, query_bytes(index, pool, dop),
+        lambda asked: with_residual(asked, index.ivf, "qvec", "qvec"),
+    )
+    books = check_shipped(index.codebooks, "codebooks")
+    return cap_per_worker(cells.meet(*sides, lambda: CodeCells(books, pool, dop), CANDIDATES), pool)
+
+
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of ``ids(id)`` with two hashes, as words of 64 bits; ``bits`` is bounded."""
+    places = F.explode(F.array(*[hashed(F.col("id"), seed, bits) for seed in (0, 1)])).alias("place")
+    words = (
+        ids.select(places)
+        .groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63L as int))")).alias("set"))
+        .toArrow()
+    )
+    out = np.zeros(-(-bits // 64), dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return out.view(np.uint64)
+
 
-    The caller bounds the candidates, so they go to the vectors and not the other way round.
-    A row belongs to one bucket and so to one worker: candidates are distinct already.
+def hashed(value: Column, seed: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(bits).cast("long"))
+
+
+def may_be_in(spark: SparkSession, words: np.ndarray, bits: int, value: Column) -> Column:
+    """Whether a value may be in the filter; of others one in some twenty passes."""
+    shipped = spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def test(first: pa.Array, second: pa.Array) -> pa.Array:
+        known, hit = shipped.value, True
+        for places in (first.to_numpy(), second.to_numpy()):
+            hit = hit & ((known[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        return pa.array(hit)
+
+    return test(hashed(value, 0, bits), hashed(value, 1, bits))
+
+
+def rerank(candidates: DataFrame, ivf: IvfIndex, queries: DataFrame, k: int, path: str = "auto") -> DataFrame:
+    """Exact distance of every candidate, best ``k`` per query: ``(query_index, rk, id, dist)``.
+
+    Only lists that hold a candidate are read (their partitions are known at run time). On the ``scan``
+    path candidates go to the vectors; on the ``join`` path a filter of their ids drops the other vectors
+    before both sides are shuffled. ``auto`` decides by the counted candidates.
     """
     spark = candidates.sparkSession
-    queries = spark.createDataFrame(
-        pa.table(
-            {
-                "query_index": pa.array(block.index, pa.int64()),
-                "qvec": pa.array(list(block.vectors.astype(np.float32)), pa.list_(pa.float32())),
-            }
-        )
-    )
-    wanted = candidates.select("query_index", "id")
-    hit = vectors.select("id", "embedding").join(F.broadcast(wanted), "id")
-    scored = hit.join(F.broadcast(queries), "query_index").select(
+    wanted = materialize(candidates.select("query_index", "list_id", "id"), "candidates")
+    count = wanted.count()
+    vectors = pruned_vectors(wanted, ivf, spark)
+    if path == "scan" or (path == "auto" and 24 * count <= BROADCAST_LIMIT_BYTES):
+        hit = vectors.join(F.broadcast(wanted), ["list_id", "id"])
+    else:
+        bits = int(min(FILTER_BITS, max(64, 8 * count)))
+        passing = vectors.where(may_be_in(spark, id_filter(wanted, bits), bits, F.col("id")))
+        hit = passing.join(wanted, ["list_id", "id"])
+    scored = hit.join(queries.select("query_index", "qvec"), "query_index").select(
         "query_index", "id", l2_distance_batch("embedding", "qvec").alias("dist")
     )
-    return top_per_query(scored, k)
+    return top_per_query(scored, k).select("query_index", "rk", "id", "dist")
+
+
+def pruned_vectors(wanted: DataFrame, ivf: IvfIndex, spark: SparkSession) -> DataFrame:
+    """``(list_id, id, embedding)`` of the lists named in ``wanted``, pruned by partition at run time."""
+    lists = wanted.select("list_id").distinct().where("list_id >= 0")
+    lists = F.broadcast(lists) if 8 * ivf.num_lists <= BROADCAST_LIMIT_BYTES else lists
+    return ivf.lists(spark).select("list_id", "id", "embedding").join(lists, "list_id", "left_semi")
 
 
 def search_pq(
@@ -278,28 +406,29 @@ def search_pq(
     nprobe: int = 10,
     dop: int = 1,
     pool: int | None = None,
+    path: str = "auto",
 ) -> DataFrame:
-    """Probe, rank by codes, keep a pool per worker, re-rank exactly."""
+    """Probe, rank by codes, keep a pool (or ``dop`` pools by bucket), re-rank exactly.
+
+    ``path`` as in :func:`~vectorloom.operators.ivf.search_ivf`; distances keep the type of the queries on both.
+    """
     check_k(k)
     if dop < 1:
         raise ValueError("dop must be positive")
-    spark = queries.sparkSession
     pool = pool or fetch_k(k)
-    blocks = query_chunks(queries, max(1, BROADCAST_LIMIT_BYTES // (24 * pool * dop)))
+    per_scan = max(1, TABLE_BYTES // query_bytes(index, pool, dop))
+    shipped = index.ivf.centroids is not None
+    blocks = probed_blocks(queries, index.ivf, nprobe, per_scan, path if shipped or path == "scan" else "join")
     if blocks is None:
         return search_pq_join(index, queries, k, nprobe, dop, pool)
-    found = None
-    for block in blocks:
-        if not len(block):
-            continue
-        probes = select_probes(block, index.ivf.centroids, nprobe)
-        candidates = pq_candidates(index, spark, block, probes, pool, dop)
-        vectors = probed_lists(index.ivf.lists(spark), probes)
-        part = rerank(candidates, vectors, block, k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_index long, rk int, id long, dist double")
-    return found.select("query_index", "rk", "id", "dist")
+    if not shipped:
+        raise ValueError("the centroids of a tree are not shipped; use the join")
+    spark = queries.sparkSession
+    found = spark.createDataFrame([], CANDIDATES)
+    for number, block in enumerate(blocks):
+        part = pq_candidates(index, spark, block, pool, dop).select("query_index", "worker", "list_id", "id", "adc")
+        found = part if number == 0 else found.unionByName(part)
+    return rerank(found, index.ivf, queries, k)
 
 
 def search_pq_join(
@@ -310,60 +439,7 @@ def search_pq_join(
     dop: int,
     pool: int,
     pack: int = 2048,
+    path: str = "auto",
 ) -> DataFrame:
     """:func:`search_pq` for query sets too large to ship: every step is a join."""
-    spark = queries.sparkSession
-    owner = F.pmod("id_bucket", F.lit(dop)).cast("short")
-    coded = index.codes(spark).select(
-        "list_id", "id", F.concat(F.array(owner), F.col("codes")).alias("values")
-    )
-    pairs = paired_list_packs(index.ivf, coded, "<i2", queries, nprobe, pack).select(
-        "list_id", "ids", "payload", "query_ids", "query_vectors"
-    )
-    shipped = spark.sparkContext.broadcast((index.ivf.centroids, index.codebooks))
-
-    def score(batches):
-        centers, books = shipped.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                list_id, ids, values, query_ids, query_vectors = (
-                    batch.column(c)[row].as_py() for c in range(5)
-                )
-                ids = np.frombuffer(ids, dtype="<i8")
-                values = np.frombuffer(values, dtype="<i2").reshape(len(ids), -1).astype(np.int64)
-                asking = np.frombuffer(query_ids, dtype="<i8")
-                vectors = np.frombuffer(query_vectors, dtype="<f8", offset=1).reshape(len(asking), -1)
-                for start in range(0, len(asking), 128):
-                    part = slice(start, start + 128)
-                    tables = lookup_tables(vectors[part].astype(float), centers[list_id], books)
-                    best = BestPerQuery(np.repeat(vectors[part].astype(float), dop, axis=0), pool)
-                    slots = np.arange(len(tables)) * dop
-                    for worker, rows in groups_of(values[:, 0]):
-                        best.offer_scored(
-                            ids[rows], adc_distances(tables, values[rows, 1:]), slots + worker
-                        )
-                    yield candidate_rows(asking[part], dop, best)
-
-    candidates = cap_per_worker(pairs.mapInArrow(score, CANDIDATES), pool)
-    vectors = index.ivf.lists(spark).select("id", "embedding")
-    wanted = candidates.select("query_index", "id").join(
-        queries.select("query_index", "qvec"), "query_index"
-    )
-    scored = vectors.join(wanted, "id").select(
-        "query_index", "id", l2_distance_batch("embedding", "qvec").alias("dist")
-    )
-    return top_per_query(scored, k).select("query_index", "rk", "id", "dist")
-
-
-def candidate_rows(index: np.ndarray, dop: int, best: BestPerQuery) -> pa.RecordBatch:
-    """Kept rows of slots numbered ``query * dop + worker``."""
-    position, ids, dist = best.rows()
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(index[position // dop], pa.int64()),
-            pa.array((position % dop).astype(np.int32)),
-            pa.array(ids, pa.int64()),
-            pa.array(dist),
-        ],
-        names=["query_index", "worker", "id", "adc"],
-    )
+    return rerank(candidates_by_join(index, queries, nprobe, dop, pool, pack), index.ivf, queries, k, path)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vectorloom.functions.bucket import with_bucket
 from vectorloom.operators.ivf import IvfIndex, nearest_list
-from vectorloom.operators.pq import PqIndex, encode
+from vectorloom.operators.pq import PqIndex, encoded
 from vectorloom.operators.quality import vector_problem
 
 VECTOR_STREAM = "id long, embedding array<float>"
@@ -68,7 +68,7 @@ def assigned_stream(stream: DataFrame, index: IvfIndex) -> DataFrame:
 def encoded_stream(stream: DataFrame, index: PqIndex) -> DataFrame:
     """List and product-quantization codes of every arriving vector."""
     listed = assigned_stream(stream, index.ivf)
-    coded = listed.withColumn("codes", encode(index.ivf, index.codebooks))
+    coded = encoded(listed, index.ivf, index.codebooks)
     return with_bucket(coded.select("id", "list_id", "codes"), "id", index.params.buckets)
 
 

@@ -188,16 +188,11 @@ def latency_summary(timings: DataFrame, group: list[str], value: str = "elapsed_
 
     Throughput is queries per second of summed statement time.
     """
-    basics = timings.groupBy(*group).agg(
-        F.count(value).alias("queries"),
-        F.sum(value).alias("sum_ms"),
-        F.avg(value).alias("mean_ms"),
-        F.min(value).alias("min_ms"),
-        F.max(value).alias("max_ms"),
-    )
-    cuts = percentile_table(timings, group, value, LATENCY_PERCENTS)
-    rate = F.col("queries") / (F.col("sum_ms") / 1000.0)
-    return join_null_safe(basics, cuts, group).withColumn("qps", rate)
+    basics = {
+        "queries": "count(v)", "sum_ms": "sum(v)", "mean_ms": "avg(v)", "min_ms": "min(v)", "max_ms": "max(v)",
+    }
+    summary = percentile_table(timings, group, value, LATENCY_PERCENTS, basics)
+    return summary.withColumn("qps", F.col("queries") / (F.col("sum_ms") / 1000.0))
 
 
 def scenario_grid(

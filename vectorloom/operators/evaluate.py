@@ -107,23 +107,43 @@ def recall_by_k(
     Thresholds are ``(query_index, k, threshold)``. Hits are divided by ``query_count * k``.
     Beyond the width of the ground truth the metrics are NULL.
     """
+    named = results.withColumn("engine", F.lit("one"))
+    return recall_by_engine(named, truth, thresholds, ["one"], ks, query_count, gt_width).drop("engine")
+
+
+def recall_by_engine(
+    results: DataFrame,
+    truth: DataFrame,
+    thresholds: DataFrame,
+    engines: list[str],
+    ks: list[int],
+    query_count: int,
+    gt_width: int | None = None,
+) -> DataFrame:
+    """:func:`recall_by_k` of several engines, told apart by the column ``engine`` of ``results``.
+
+    All engines and all ``k`` come from one pass: ground truth and thresholds are joined once to the union
+    of the results. An engine of ``engines`` without results has no hits.
+    """
     spark = results.sparkSession
     if any(not 1 <= k <= MAX_K for k in ks):
         raise ValueError(f"every k must lie in 1..{MAX_K}")
     axis = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-    returned = results.select("query_index", "rk", "id", "dist", axis).where(F.col("rk") <= F.col("k"))
+    returned = results.select("engine", "query_index", "rk", "id", "dist", axis).where(F.col("rk") <= F.col("k"))
     expected = truth.select("query_index", F.col("rk").alias("true_rk"), "id")
     scored = (
         returned.join(expected, ["query_index", "id"], "left")
         .join(thresholds, ["query_index", "k"], "left")
-        .groupBy("k")
+        .groupBy("engine", "k")
         .agg(
             F.count_if(F.col("true_rk") <= F.col("k")).alias("id_hits"),
             F.count_if(F.col("dist") <= F.col("threshold")).alias("distance_hits"),
         )
     )
-    grid = spark.createDataFrame([(k, query_count * k) for k in ks], "k int, possible_hits long")
-    joined = grid.join(scored, "k", "left")
+    grid = spark.createDataFrame(
+        [(e, k, query_count * k) for e in engines for k in ks], "engine string, k int, possible_hits long"
+    )
+    joined = grid.join(scored, ["engine", "k"], "left")
     width = gt_width if gt_width is not None else max(ks)
 
     def known(column: Column) -> Column:
@@ -132,6 +152,7 @@ def recall_by_k(
     hits, near = known(F.col("id_hits")), known(F.col("distance_hits"))
     possible = F.when(F.col("k") <= width, F.col("possible_hits"))
     return joined.select(
+        "engine",
         "k",
         hits.alias("id_hits"),
         near.alias("distance_hits"),

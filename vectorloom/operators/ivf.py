@@ -39,6 +39,8 @@ from vectorloom.operators.kernel import (
 from vectorloom.operators.topk import check_k, top_per_query
 from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB, materialize, new_workdir
 
+#: Folder of the lists below an index; its prefix is the one the registry asks of list artifacts.
+LISTS = "builtin.ivf_flat_v2_lists"
 #: Bytes of vectors one written file of an inverted list should hold.
 LIST_FILE_BYTES = 256 * MIB
 #: Bytes of training vectors one task scans per round.
@@ -84,7 +86,7 @@ class IvfIndex:
         return spark.read.parquet(f"{self.path}/centroids").select("list_id", "centroid")
 
     def lists(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/lists")
+        return spark.read.parquet(f"{self.path}/{LISTS}")
 
 
 def check_shipped(array: np.ndarray, what: str) -> np.ndarray:
@@ -339,7 +341,7 @@ def write_lists(placed: DataFrame, index: IvfIndex, count: int) -> None:
         .drop("__salt", "__writers")
         .write.partitionBy("list_id")
         .option("maxRecordsPerFile", max(1, LIST_FILE_BYTES // (dim * 4)))
-        .parquet(f"{index.path}/lists")
+        .parquet(f"{index.path}/{LISTS}")
     )
 
 

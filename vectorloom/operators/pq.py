@@ -45,6 +45,8 @@ from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB, materialize
 
 CANDIDATES = "query_index long, worker int, list_id int, id long, adc double"
 
+#: Folder of the codes below an index; its prefix is the one the registry asks of code artifacts.
+CODES = "builtin.ivf_pq_v1_codes"
 #: Memory for the lookup tables and running pools of the queries one task scores at a time.
 TABLE_BYTES = 64 * MIB
 #: Bits of the filter of candidate ids: eight per candidate, at most this many (16 MiB).
@@ -79,7 +81,7 @@ class PqIndex:
     codebooks: np.ndarray  # sub-quantizer x code x width
 
     def codes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.ivf.path}/codes")
+        return spark.read.parquet(f"{self.ivf.path}/{CODES}")
 
 
 def with_residual(rows: DataFrame, ivf: IvfIndex, vec_col: str, name: str) -> DataFrame:
@@ -190,7 +192,7 @@ def build_pq(
     books = train_codebooks(sample, min(count, ivf_params.sample_rows), ivf, params)
     coded = encoded(lists, ivf, books).select("list_id", "id", "codes")
     with_bucket(coded, "id", params.buckets).write.partitionBy("list_id").parquet(
-        f"{ivf.path}/codes"
+        f"{ivf.path}/{CODES}"
     )
     index = PqIndex(ivf, params, books)
     codebook_table(spark, index).write.parquet(f"{ivf.path}/codebooks")

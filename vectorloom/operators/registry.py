@@ -2,7 +2,9 @@
 
 A registry is a table with one row per index:
 ``namespace, table_name, table_uuid, name, index_type, implementation, state, partitions``
-where ``partitions`` nests segments, their artifact files and algorithm details.
+where ``partitions`` nests segments, their artifact files and algorithm details. An index may be spread over
+several such rows: built indexes have one per artifact file, so that no row grows with the index.
+Artifacts and files on storage meet on a digest of their path.
 """
 
 from __future__ import annotations
@@ -78,27 +80,37 @@ def artifacts(registry: DataFrame) -> DataFrame:
         segments(registry)
         .select("*", F.explode("artifact_files").alias("file"))
         .drop("artifact_files")
-        .withColumn("path", local_path("file.uri"))
+        .withColumn("path", F.coalesce(local_path("file.uri"), "file.uri"))
         .withColumn("size_bytes", F.col("file.size_bytes"))
         .drop("file")
     )
 
 
-def artifact_violations(registry: DataFrame, listing: DataFrame) -> DataFrame:
+def digest(path) -> Column:
+    """Key of a path: 16 bytes, whatever its length."""
+    return F.unhex(F.md5(F.col(path) if isinstance(path, str) else path))
+
+
+def artifact_violations(registry: DataFrame, listing: DataFrame, root: str | None = None) -> DataFrame:
     """Active vector indexes against the files on storage: ``(name, path, problem)``.
 
-    ``listing`` is ``(path, length)``. Both sides meet on the unique path.
+    ``listing`` is ``(path, length)``. A file, or a folder it lies in, must bear the prefix of its index's
+    contract. With ``root`` every artifact must lie below that folder; a path that climbs does not.
     """
     active = resolve_contracts(registry.where(F.col("state") == "active"))
     vector = active.where(F.col("artifact_prefix").isNotNull())
-    filed = artifacts(vector).join(listing.select("path", "length"), "path", "left")
-    file_name = F.element_at(F.split("path", "/"), -1)
+    filed = artifacts(vector).select("name", "path", "size_bytes", "artifact_prefix", digest("path").alias("key"))
+    stored = listing.select(digest("path").alias("key"), "length")
+    climbs = F.col("path").rlike(r"/\.\.?(/|$)")
+    outside = climbs if root is None else climbs | ~F.col("path").startswith(root.rstrip("/") + "/")
     problem = (
-        F.when(~file_name.startswith(F.col("artifact_prefix")), "prefix")
+        F.when(outside, "outside")
+        .when(~F.contains(F.col("path"), F.concat(F.lit("/"), F.col("artifact_prefix"))), "prefix")
         .when(F.col("length").isNull(), "missing")
         .when(F.col("length") != F.col("size_bytes"), "size")
     )
-    return filed.select("name", "path", problem.alias("problem")).where(F.col("problem").isNotNull())
+    found = filed.join(stored, "key", "left").select("name", "path", problem.alias("problem"))
+    return found.where(F.col("problem").isNotNull())
 
 
 def is_index(name: str, table_name: str, namespace: str) -> Column:
@@ -115,15 +127,17 @@ def active_index_violations(
     namespace: str,
     index_type: str,
     table_uuid: str | None = None,
+    root: str | None = None,
     **expected: int,
 ) -> DataFrame:
     """Everything wrong with one index that should be active: ``(name, path, problem)``.
 
-    ``expected`` may state ``dimension``, ``num_clusters``, ``num_sub_quantizers``, ``nbits``.
+    ``root``: folder its artifacts must lie in. ``expected`` may state ``dimension``, ``num_clusters``, ``num_sub_quantizers``, ``nbits``.
     """
     spark = registry.sparkSession
     mine = registry.where(is_index(name, table_name, namespace))
-    one = mine.agg(F.count("*").alias("n"), F.first("name").alias("name"))
+    heads = mine.select("table_uuid", "index_type", "implementation", "state").distinct()
+    one = heads.agg(F.count("*").alias("n"))
 
     def rows(frame: DataFrame, problem: Column) -> DataFrame:
         return frame.select(
@@ -145,7 +159,7 @@ def active_index_violations(
         found = found.unionByName(rows(wrong, F.lit(field)))
     none = artifacts(mine).agg(F.count("*").alias("n")).where(F.col("n") == 0)
     found = found.unionByName(rows(none, F.lit("no artifacts")))
-    return found.unionByName(artifact_violations(mine, listing)).distinct()
+    return found.unionByName(artifact_violations(mine, listing, root)).distinct()
 
 
 def distinct_details(registry: DataFrame) -> DataFrame:
@@ -157,7 +171,8 @@ def distinct_details(registry: DataFrame) -> DataFrame:
 
 def orphans(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """Files on storage that no index entry names."""
-    return listing.join(artifacts(registry).select("path"), "path", "left_anti")
+    known = artifacts(registry).select(digest("path").alias("__key"))
+    return listing.withColumn("__key", digest("path")).join(known, "__key", "left_anti").drop("__key")
 
 
 def removable(listing: DataFrame, registry: DataFrame) -> DataFrame:
@@ -199,35 +214,37 @@ def head_violations(heads: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select("path", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
+def stored_artifacts(index) -> tuple[str, DataFrame]:
+    """Folder of a built index's artifacts and its files ``(path, length)``, as plain paths."""
+    from vectorloom.operators.ivf import LISTS, IvfIndex
+    from vectorloom.operators.pq import CODES
+    from vectorloom.sources.records import file_listing
+
+    flat = isinstance(index, IvfIndex)
+    folder = f"{index.path if flat else index.ivf.path}/{LISTS if flat else CODES}"
+    files = file_listing(SparkSession.active(), folder).where(F.col("path").endswith(".parquet"))
+    return folder, files.select(F.coalesce(local_path("path"), "path").alias("path"), "length")
+
+
 def registry_entry(index, name: str, namespace: str, table: str, table_uuid: str) -> DataFrame:
-    """Registry row of a built index, its artifact files taken from storage."""
+    """Registry rows of a built index: one per artifact file on storage, with the index's details."""
     from vectorloom.operators.ivf import IvfIndex
-    from vectorloom.sources.records import file_listing
 
     flat = isinstance(index, IvfIndex)
     ivf = index if flat else index.ivf
-    spark = SparkSession.active()
-    folder = f"{ivf.path}/{'lists' if flat else 'codes'}"
-    files = file_listing(spark, folder).where(F.col("path").endswith(".parquet"))
-    rows, dim = len(ivf.centroids), ivf.centroids.shape[1]
+    _, files = stored_artifacts(index)
     parts = None if flat else index.params.num_sub_quantizers
     bits = None if flat else index.params.nbits
     details = F.struct(
-        F.lit(dim).alias("dimension"),
-        F.lit(rows).alias("num_clusters"),
+        F.lit(ivf.dim).alias("dimension"),
+        F.lit(ivf.num_lists).alias("num_clusters"),
         F.lit(parts).cast("int").alias("num_sub_quantizers"),
         F.lit(bits).cast("int").alias("nbits"),
     )
-    segment = F.struct(
-        F.collect_list(F.struct(F.col("path").alias("uri"), F.col("length").alias("size_bytes"))).alias(
-            "artifact_files"
-        ),
-        details.alias("algorithm_details"),
-    )
+    artifact = F.array(F.struct(F.col("path").alias("uri"), F.col("length").alias("size_bytes")))
+    segment = F.struct(artifact.alias("artifact_files"), details.alias("algorithm_details"))
     kind = ("ivf_flat", "ivf") if flat else ("ivf_pq", "ivf_pq")
-    list_name = F.regexp_extract("path", r"/list_id=(\d+)/", 1)
-    per_list = files.groupBy(list_name.alias("list")).agg(segment.alias("segment"))
-    return per_list.agg(F.collect_list(F.struct(F.array("segment").alias("segments"))).alias("partitions")).select(
+    return files.select(
         F.lit(namespace).alias("namespace"),
         F.lit(table).alias("table_name"),
         F.lit(table_uuid).alias("table_uuid"),
@@ -235,5 +252,5 @@ def registry_entry(index, name: str, namespace: str, table: str, table_uuid: str
         F.lit(kind[0]).alias("index_type"),
         F.lit(kind[1]).alias("implementation"),
         F.lit("active").alias("state"),
-        F.col("partitions").cast(f"array<struct<segments:array<{SEGMENT}>>>").alias("partitions"),
+        F.array(F.struct(F.array(segment).alias("segments"))).cast(f"array<struct<segments:array<{SEGMENT}>>>").alias("partitions"),
     )

@@ -1,4 +1,4 @@
-"""Scenario matrix: mode x k x parallel degree x round, timed and scored."""
+"""Scenario matrix: engine x k x pools x round, timed and scored, and its summary document."""
 
 from __future__ import annotations
 
@@ -37,16 +37,24 @@ def run_search(data: Dataset, engine, k: int, nprobe: int, dop: int) -> DataFram
     raise ValueError(f"unknown engine {engine!r}")
 
 
-def evaluate_engine(
-    data: Dataset, engine, ks: list[int], truth: DataFrame, nprobe: int = 10, dop: int = 1
+def score_engines(
+    data: Dataset, searches: dict[str, DataFrame], ks: list[int], truth: DataFrame
 ) -> DataFrame:
-    """Recall of one engine for all ``ks`` from a single search of the largest k."""
-    results = materialize(run_search(data, engine, max(ks), nprobe, dop), "results")
+    """Recall of several engines for all ``ks``: ``(engine, k, hits…, recall…)``.
+
+    Each search holds the largest ``k`` and runs once; the union of their results is scored in one pass.
+    """
+    union = None
+    for name, found in searches.items():
+        named = found.select(F.lit(name).alias("engine"), "query_index", "rk", "id", "dist")
+        union = named if union is None else union.unionByName(named)
     scored = [k for k in ks if k <= data.gt_width]
     thresholds = evaluate.thresholds_by_k(
         truth, data.queries, data.base, scored or [1], id_col=data.id_col, vec_col=data.vec_col
     )
-    return evaluate.recall_by_k(results, truth, thresholds, ks, data.query_count, data.gt_width)
+    return evaluate.recall_by_engine(
+        materialize(union, "results"), truth, thresholds, list(searches), ks, data.query_count, data.gt_width
+    )
 
 
 def run_matrix(
@@ -58,31 +66,52 @@ def run_matrix(
     nprobe: int = 10,
     warmup: int = 1,
 ) -> DataFrame:
-    """Timed scenarios with recall: one row per engine, k, degree and round.
+    """Timed scenarios with recall: one row per engine, k, number of pools and round.
 
     A scenario is one distributed batch search, so its time is that of all queries together;
-    ``qps`` is queries per second of it. Warm-up searches run untimed.
+    ``qps`` is queries per second of it. Warm-up searches run untimed. Only engines with pools are run
+    once per entry of ``dops``: another label on the same search would measure nothing.
     """
     spark: SparkSession = data.base.sparkSession
     truth = materialize(
         knn_batch(data.base, data.queries, min(data.gt_width, 100), data.id_col, data.vec_col), "truth"
     )
-    metrics, times = None, []
-    for name, engine in engines.items():
-        degrees = dops if isinstance(engine, PqIndex) else dops[:1]
-        for dop in degrees:
-            score = evaluate_engine(data, engine, ks, truth, nprobe, dop).withColumns(
-                {"engine": F.lit(name), "dop": F.lit(dop)}
-            )
-            metrics = score if metrics is None else metrics.unionByName(score)
-            for k in ks:
-                for _ in range(warmup):
-                    run_search(data, engine, k, nprobe, dop).write.format("noop").mode("overwrite").save()
-                for number in range(1, rounds + 1):
-                    started = time.monotonic()
-                    run_search(data, engine, k, nprobe, dop).write.format("noop").mode("overwrite").save()
-                    times.append((name, k, dop, number, (time.monotonic() - started) * 1000.0))
+    variants = {
+        (name, dop): engine
+        for name, engine in engines.items()
+        for dop in (dops if isinstance(engine, PqIndex) else dops[:1])
+    }
+    searches = {f"{name}/{dop}": run_search(data, e, max(ks), nprobe, dop) for (name, dop), e in variants.items()}
+    metrics = score_engines(data, searches, ks, truth)
+    metrics = metrics.withColumns(
+        {"dop": F.substring_index("engine", "/", -1).cast("int"), "engine": F.substring_index("engine", "/", 1)}
+    )
+    times = []
+    for (name, dop), engine in variants.items():
+        for k in ks:
+            for _ in range(warmup):
+                run_search(data, engine, k, nprobe, dop).write.format("noop").mode("overwrite").save()
+            for number in range(1, rounds + 1):
+                started = time.monotonic()
+                run_search(data, engine, k, nprobe, dop).write.format("noop").mode("overwrite").save()
+                times.append((name, k, dop, number, (time.monotonic() - started) * 1000.0))
     timed = spark.createDataFrame(times, "engine string, k int, dop int, round int, elapsed_ms double")
     return timed.join(metrics, ["engine", "k", "dop"]).withColumn(
         "qps", F.lit(data.query_count) / (F.col("elapsed_ms") / 1000.0)
     )
+
+
+def matrix_summary(scenarios: DataFrame, axes: list[str]) -> DataFrame:
+    """One row: ``axes``, a struct with the sorted values of every axis, and ``scenarios``, all rows in their order.
+
+    A matrix has as many rows as its axes have combinations, so the document is bounded by them.
+    """
+    values = [F.array_sort(F.collect_set(axis)).alias(axis) for axis in axes]
+    rest = [c for c in scenarios.columns if c not in axes]
+    rows = F.array_sort(F.collect_list(F.struct(*axes, *rest)))
+    return scenarios.agg(F.count("*").alias("total"), F.struct(*values).alias("axes"), rows.alias("scenarios"))
+
+
+def write_matrix_summary(scenarios: DataFrame, axes: list[str], path: str) -> None:
+    """The summary as one JSON document below ``path``."""
+    matrix_summary(scenarios, axes).coalesce(1).write.json(path)

@@ -8,9 +8,11 @@ from vectorloom.operators import evaluate
 from vectorloom.operators.exact import knn_batch, knn_blocks
 from vectorloom.operators.percentiles import percentile_table
 from vectorloom.suite.base import EXACT_CTE, K, all_queries, query, table, vectors
-from vectorloom.suite.index import IVF_CTE, ivf_index, ivf_search_cte
+from vectorloom.suite.index import IVF_CTE, PQ_CTE, adc_cte, ivf_index, ivf_search_cte, pq_index
 from vectorloom.operators.ivf import search_ivf
-from vectorloom.session import materialize
+from vectorloom.operators.pq import search_pq
+from vectorloom.plans import matrix
+from vectorloom.session import materialize, new_workdir
 
 KS = [1, 5, 10]
 
@@ -282,6 +284,84 @@ def scenario_matrix(spark, sf_dir):
     return grid.join(scores, ["mode", "k"]).select("label", "k", "dop", "round", "id_hits")
 
 
+# Results of the three engines, one pool of 50 candidates a query for the codes.
+ENGINES_CTE = (
+    RECALL_CTE
+    + f"""
+, {PQ_CTE}, {adc_cte(4).replace("probes AS", "code_probes AS").replace("FROM probes p", "FROM code_probes p")},
+pool AS MATERIALIZED (
+  SELECT query_index, id FROM (
+    SELECT query_index, id, row_number() OVER (PARTITION BY query_index ORDER BY adc, id) AS r FROM adc) WHERE r <= 50),
+reranked AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT p.query_index, p.id, list_distance(q.v, b.v) AS dist, row_number() OVER (
+      PARTITION BY p.query_index ORDER BY list_distance(q.v, b.v), p.id) AS rk
+    FROM pool p JOIN e q ON q.id = p.query_index JOIN e b ON b.id = p.id) WHERE rk <= 10),
+engines AS (
+  SELECT 'flat' AS engine, query_index, rk, id, dist FROM found
+  UNION ALL SELECT 'pq', query_index, rk, id, dist FROM reranked
+  UNION ALL SELECT 'fullscan', query_index, rk, id, dist FROM exact),
+scores AS (
+  SELECT f.engine, k.k, count(x.id) AS id_hits, count(*) FILTER (WHERE f.dist <= t.threshold) AS distance_hits,
+         k.k * (SELECT count(*) FROM e) AS possible_hits
+  FROM (VALUES (1), (5), (10)) k(k) JOIN engines f ON f.rk <= k.k
+  LEFT JOIN exact x ON x.query_index = f.query_index AND x.id = f.id AND x.rk <= k.k
+  LEFT JOIN thr t ON t.query_index = f.query_index AND t.k = k.k
+  GROUP BY f.engine, k.k)
+"""
+)
+
+
+def engine_scores(spark, sf_dir):
+    base, queries = vectors(spark, sf_dir), all_queries(spark, sf_dir)
+    data = matrix.Dataset(base, queries, base.count(), K)
+    searches = {
+        "flat": search_ivf(ivf_index(spark, sf_dir), queries, K, 4),
+        "pq": search_pq(pq_index(spark, sf_dir), queries, K, 4),
+        "fullscan": knn_batch(base, queries, K),
+    }
+    return matrix.score_engines(data, searches, KS, truth(spark, sf_dir))
+
+
+@query(
+    "representative_suite",
+    ENGINES_CTE
+    + """
+    SELECT engine, k, id_hits, distance_hits, possible_hits, round(id_hits / possible_hits, 6) AS recall_id,
+           round(distance_hits / possible_hits, 6) AS recall_distance FROM scores
+    """,
+)
+def representative_suite(spark, sf_dir):
+    """Lists, codes and full scan, every k of every engine scored in one pass over the union of their results."""
+    found = engine_scores(spark, sf_dir)
+    return found.withColumns({c: F.round(c, 6) for c in ("recall_id", "recall_distance")})
+
+
+@query(
+    "matrix_summary",
+    ENGINES_CTE
+    + """
+    SELECT 9 AS total, 'flat,fullscan,pq' AS engines, '1,5,10' AS ks, row_number() OVER (ORDER BY engine, k) AS place,
+           engine, k, id_hits FROM scores
+    """,
+)
+def matrix_summary(spark, sf_dir):
+    """The summary document of a matrix, axes and scenario list, written as JSON and read back."""
+    path = new_workdir(spark, "matrix")
+    matrix.write_matrix_summary(engine_scores(spark, sf_dir), ["engine", "k"], path)
+    document = spark.read.json(path)
+    listed = document.select(
+        F.col("total").cast("int").alias("total"),
+        F.array_join("axes.engine", ",").alias("engines"),
+        F.array_join(F.transform("axes.k", lambda k: k.cast("string")), ",").alias("ks"),
+        F.posexplode("scenarios").alias("pos", "s"),
+    )
+    return listed.select(
+        "total", "engines", "ks", (F.col("pos") + 1).cast("long").alias("place"), "s.engine",
+        F.col("s.k").cast("int").alias("k"), "s.id_hits",
+    )
+
+
 def runs(spark, sf_dir):
     """Events as scenario runs: mode, k, dop and a measured time."""
     mode = F.when(F.col("event_type").isin("view", "purchase"), "index").otherwise("fullscan")
@@ -351,7 +431,6 @@ def scenario_documents(spark, sf_dir):
     A scenario is an event type within one run of 1000 event ids, so its per-query array has
     at most 1000 entries whatever the skew.
     """
-    from vectorloom.session import new_workdir
     from vectorloom.sources.metadata import read_results
 
     run = F.expr("event_id div 1000")

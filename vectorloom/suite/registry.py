@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectorloom.operators import registry
-from vectorloom.sources.records import file_listing
 from vectorloom.suite.base import query, table
-from vectorloom.suite.index import IVF, PQ, ivf_index, pq_index
+from vectorloom.suite.index import IVF, IVF_CTE, PQ, _E_CTE, ivf_index, pq_index
 
 
 def index_kind():
@@ -269,30 +268,61 @@ def built_index_registry(spark, sf_dir):
 )
 def built_index_orphans(spark, sf_dir):
     """Every file below the lists and codes of the built indexes is registered."""
-    path = ivf_index(spark, sf_dir).path
-    pq_index(spark, sf_dir)
     listing = None
-    for part in ("lists", "codes"):
-        files = file_listing(spark, f"{path}/{part}").where(F.col("path").endswith(".parquet"))
+    for index in (ivf_index(spark, sf_dir), pq_index(spark, sf_dir)):
+        _, files = registry.stored_artifacts(index)
         listing = files if listing is None else listing.unionByName(files)
-    local = listing.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    return registry.orphans(local, built_registry(spark, sf_dir)).select("length")
+    return registry.orphans(listing, built_registry(spark, sf_dir)).select("length")
 
 
 @query(
     "built_index_active",
-    """
-    SELECT problem, count(*) AS n FROM (SELECT unnest(['prefix', 'nbits']) AS problem, 1 AS one
-      FROM (SELECT DISTINCT 1 AS x FROM embeddings)) GROUP BY problem
-    """,
+    "SELECT CAST(NULL AS VARCHAR) AS problem, CAST(NULL AS BIGINT) AS n FROM embeddings WHERE false",
 )
 def built_index_active(spark, sf_dir):
-    """Full check of one index: file names lack the artifact prefix, and nbits is misstated."""
-    entries = built_registry(spark, sf_dir)
-    listing = file_listing(spark, f"{ivf_index(spark, sf_dir).path}/codes")
-    local = listing.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    """Full check of the library's own index: nothing is wrong with it."""
+    root, listing = registry.stored_artifacts(pq_index(spark, sf_dir))
+    found = registry.active_index_violations(
+        built_registry(spark, sf_dir), listing, "idx_pq", "vectors", "bench", "ivf_pq", "u-1", root,
+        dimension=64, num_clusters=IVF.num_clusters, num_sub_quantizers=PQ.num_sub_quantizers, nbits=PQ.nbits,
+    )
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query(
+    "built_index_damaged",
+    f"""
+    WITH {_E_CTE}, {IVF_CTE}, l AS (SELECT DISTINCT list_id FROM assigned)
+    SELECT CASE list_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'size' WHEN 2 THEN 'outside' ELSE 'prefix' END AS problem,
+           count(*) AS lists
+    FROM l WHERE list_id % 5 < 4 GROUP BY 1
+    UNION ALL SELECT 'nbits', 0
+    """,
+)
+def built_index_damaged(spark, sf_dir):
+    """The same check after files were lost, cut, moved away or renamed, by list, and with misstated bits."""
+    root, listing = registry.stored_artifacts(pq_index(spark, sf_dir))
+    kind = F.regexp_extract("path", r"list_id=(\d+)", 1).cast("int") % 5
+
+    def moved(path):
+        renamed = F.replace(path, F.lit("builtin.ivf_pq_v1_codes/list_id"), F.lit("builtin.ivf_pq_v1_codes/../segments/list_id"))
+        plain = F.replace(path, F.lit("builtin.ivf_pq_v1_"), F.lit("segment_"))
+        return F.when(kind == 2, renamed).when(kind == 3, plain).otherwise(path)
+
+    entries = registry.registry_entry(pq_index(spark, sf_dir), "idx_pq", "bench", "vectors", "u-1")
+    uri = F.col("partitions")[0]["segments"][0]["artifact_files"][0]["uri"]
+    size = F.col("partitions")[0]["segments"][0]["artifact_files"][0]["size_bytes"]
+    named = entries.withColumns({"path": uri, "size": size})
+    file = F.array(F.struct(moved(F.col("path")).alias("uri"), F.col("size").alias("size_bytes")))
+    details = F.col("partitions")[0]["segments"][0]["algorithm_details"]
+    segment = F.struct(file.alias("artifact_files"), details.alias("algorithm_details"))
+    entries = named.withColumn("partitions", F.array(F.struct(F.array(segment).alias("segments")))).drop("path", "size")
+    stored = listing.where(kind != 0).select(
+        moved(F.col("path")).alias("path"), (F.col("length") - F.when(kind == 1, 1).otherwise(0)).alias("length")
+    )
     found = registry.active_index_violations(
-        entries, local, "idx_pq", "vectors", "bench", "ivf_pq", "u-1",
-        dimension=64, num_clusters=IVF.num_clusters, num_sub_quantizers=PQ.num_sub_quantizers, nbits=8,
+        entries, stored, "idx_pq", "vectors", "bench", "ivf_pq", "u-1",
+        dimension=64, num_clusters=IVF.num_clusters, num_sub_quantizers=PQ.num_sub_quantizers, nbits=PQ.nbits + 4,
     )
-    return found.select("problem").distinct().groupBy("problem").agg(F.count("*").alias("n"))
+    lists = F.countDistinct(F.nullif(F.regexp_extract("path", r"list_id=(\d+)", 1), F.lit("")))
+    return found.groupBy("problem").agg(lists.alias("lists"))

@@ -19,6 +19,8 @@ COMPRESSIONS = {
     "pyiceberg": ("uncompressed", "zstd", "snappy", "gzip"),
 }
 TARGET_FILE_BYTES = 1 << 30
+#: Bytes a writing task should hold; small tables still get a task per few MiB, as far as there are cores.
+WRITE_TASK_BYTES, SMALL_TASK_BYTES = 256 << 20, 4 << 20
 DEFAULT_BUCKETS = 32
 DEFAULT_BATCH_ROWS = 131_072
 
@@ -55,8 +57,22 @@ def table_path(warehouse: str, namespace: str, table: str) -> str:
     return f"{warehouse.rstrip('/')}/{namespace}/{table}"
 
 
-def rows_per_file(dim: int) -> int:
-    return max(1, TARGET_FILE_BYTES // (4 * dim + 8))
+def rows_per_file(dim: int, target_bytes: int = TARGET_FILE_BYTES) -> int:
+    return max(1, target_bytes // (4 * dim + 8))
+
+
+def estimated_bytes(rows: DataFrame) -> int:
+    """Uncompressed size of a table: its counted rows times the width of its first row's vector and columns."""
+    if "embedding" not in rows.columns:
+        return rows.count() * 16 * len(rows.columns)
+    head = rows.select(F.size("embedding").alias("dim")).head()
+    return rows.count() * (8 * (len(rows.columns) - 1) + 4 * head.dim) if head else 0
+
+
+def writing_tasks(rows: DataFrame) -> int:
+    """Tasks that write a table of this size."""
+    size, cores = estimated_bytes(rows), rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // WRITE_TASK_BYTES), min(cores, -(-size // SMALL_TASK_BYTES)))
 
 
 def write_bucketed(
@@ -64,16 +80,20 @@ def write_bucketed(
     path: str,
     buckets: int = DEFAULT_BUCKETS,
     dim: int | None = None,
-    writers_per_bucket: int = 1,
+    writers_per_bucket: int | None = None,
     compression: str = "uncompressed",
     mode: str = "errorifexists",
+    target_file_bytes: int = TARGET_FILE_BYTES,
 ) -> None:
     """Hash layout ``bucket(id, N)``: every file holds one bucket, rows ordered by id.
 
-    ``writers_per_bucket`` splits a bucket over several tasks where one would be too large.
+    ``writers_per_bucket`` splits a bucket over several tasks where one would be too large; by default the
+    size of the table says how many. With ``dim``, files end at ``target_file_bytes``.
     """
     check_buckets(buckets)
     check_compression(compression)
+    if writers_per_bucket is None:
+        writers_per_bucket = max(1, -(-estimated_bytes(rows) // (buckets * WRITE_TASK_BYTES)))
     spread = F.pmod(F.xxhash64("id"), F.lit(writers_per_bucket))
     placed = with_bucket(rows, "id", buckets).withColumn("__writer", spread)
     writer = (
@@ -85,18 +105,19 @@ def write_bucketed(
         .partitionBy("id_bucket")
     )
     if dim:
-        writer = writer.option("maxRecordsPerFile", rows_per_file(dim))
+        writer = writer.option("maxRecordsPerFile", rows_per_file(dim, target_file_bytes))
     writer.parquet(path)
 
 
 def write_unpartitioned(
     rows: DataFrame,
     path: str,
-    data_files: int = 8,
+    data_files: int | None = None,
     compression: str = "uncompressed",
     mode: str = "errorifexists",
 ) -> None:
-    """No partition column; rows hashed over ``data_files`` files, ordered by id in each."""
+    """No partition column; rows hashed over ``data_files`` files (default: by size), ordered by id in each."""
+    data_files = writing_tasks(rows) if data_files is None else data_files
     if data_files < 1:
         raise ValueError("data_files must be positive")
     check_compression(compression)
@@ -108,20 +129,21 @@ def write_unpartitioned(
 def write_id_clustered(
     rows: DataFrame,
     path: str,
-    data_files: int = 8,
+    data_files: int | None = None,
     compression: str = "uncompressed",
     id_col: str = "id",
     mode: str = "errorifexists",
 ) -> None:
     """Range layout: file and row-group min/max let id lookups skip nearly all data."""
     check_compression(compression)
+    data_files = writing_tasks(rows) if data_files is None else data_files
     rows.repartitionByRange(data_files, id_col).sortWithinPartitions(id_col).write.mode(mode).option(
         "compression", compression
     ).parquet(path)
 
 
 def create_table(
-    rows: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, data_files: int = 8, **options
+    rows: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, data_files: int | None = None, **options
 ) -> None:
     """Refuses an existing table; ``buckets=0`` gives the unpartitioned layout."""
     if buckets < 0:
@@ -173,7 +195,7 @@ def append_in_batches(
         if buckets:
             write_bucketed(part, path, buckets, mode="append")
         else:
-            write_unpartitioned(part, path, 1, mode="append")
+            write_unpartitioned(part, path, mode="append")
         batches += 1
     return batches
 

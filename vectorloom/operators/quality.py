@@ -125,8 +125,12 @@ def vector_violations(rows: DataFrame, dim: int, id_col: str = "id", vec_col: st
     return found.where(F.col("reason").isNotNull())
 
 
-def schema_violations(schema: StructType, dim: int | None = None) -> list[str]:
-    """Contract of a vector table: ``id long``, ``embedding list<float>``, dimension metadata."""
+def schema_violations(schema: StructType, dim: int | None = None, required: bool = False) -> list[str]:
+    """Contract of a vector table: ``id long``, ``embedding list<float>``, dimension metadata.
+
+    ``required``: neither column nor the elements may be nullable. Parquet tables read by Spark never say
+    so, whatever they hold; for those leave it out and check the values.
+    """
     found = {field.name: field for field in schema.fields}
     problems = []
     if "id" not in found or found["id"].dataType != LongType():
@@ -136,6 +140,10 @@ def schema_violations(schema: StructType, dim: int | None = None) -> list[str]:
         problems.append("embedding must be a list")
     elif vector.dataType.elementType != FloatType():
         problems.append("embedding elements must be float")
+    if required:
+        problems += [f"{name} must be required" for name in ("id", "embedding") if name in found and found[name].nullable]
+        if vector is not None and isinstance(vector.dataType, ArrayType) and vector.dataType.containsNull:
+            problems.append("embedding elements must be required")
     if dim is not None and vector is not None:
         stated = vector.metadata.get("vector_dim")
         if stated is not None and str(stated) != str(dim):

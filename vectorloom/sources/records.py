@@ -303,10 +303,75 @@ def read_fvecs_at(spark: SparkSession, path: str, ordinals: list[int], dim: int)
     if outside:
         raise ValueError(f"{path} holds {total} records, no record {outside[0]}")
     wanted = spark.createDataFrame(list(enumerate(ordinals)), "position long, ordinal long")
-    rows = read_fvecs(spark, path, dim, id_base=0).where(F.col("id").isin(ordinals))
-    return wanted.join(
-        rows.withColumnRenamed("id", "ordinal"), "ordinal"
-    ).select("position", "ordinal", "embedding")
+    return read_fvecs_ordinals(path, wanted, dim).select("position", "ordinal", "embedding")
+
+
+#: Unwanted bytes between two wanted records that are read rather than skipped.
+READ_GAP_BYTES = 64 * 1024
+
+
+def read_fvecs_ordinals(
+    path: str, wanted: DataFrame, dim: int, column: str = "ordinal", split_bytes: int = DEFAULT_SPLIT_BYTES
+) -> DataFrame:
+    """``wanted`` with the ``embedding`` at each of its ordinals, for any number of them.
+
+    The ordinals meet the byte ranges of the files at run time: distinct ones are dealt by range, so ranges
+    without any are never opened, and a task reads only the records it was given, neighbours in one read. Rows
+    may ask for the same ordinal as often as they like; a null asks for nothing and is dropped, one outside of
+    the files is an error. Only the list of files travels to the tasks.
+    """
+    size = record_bytes(dim)
+    starts, paths, total = [], [], 0
+    for name, length in list_files(path):
+        if length % size:
+            raise ValueError(f"{name} holds {length} bytes, not a multiple of the record length {size}")
+        starts.append(total)
+        paths.append(name if "://" not in path else path.split("://")[0] + "://" + name)
+        total += length // size
+    split = F.floor(F.col("__ordinal") / max(1, split_bytes // size)).alias("split")
+    distinct = wanted.select(F.col(column).cast("long").alias("__ordinal")).where("__ordinal is not null").distinct()
+    dealt = distinct.select("__ordinal", split).repartition("split").sortWithinPartitions("__ordinal")
+    shipped = wanted.sparkSession.sparkContext.broadcast((np.array(starts, dtype=np.int64), paths))
+
+    def read(batches):
+        first, names = shipped.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            bad = at[(at < 0) | (at >= total)]
+            if len(bad):
+                raise ValueError(f"{path} holds {total} records, no record {int(bad[0])}")
+            file = np.searchsorted(first, at, side="right") - 1
+            # Empty files share their start with the next one; the last of them holds the record.
+            gap = (np.diff(at) - 1) * size > READ_GAP_BYTES
+            long = np.diff(at // BATCH_ROWS) != 0
+            for run in np.split(np.arange(len(at)), np.flatnonzero(gap | long | (np.diff(file) != 0)) + 1):
+                if len(run):
+                    yield from records_at(names[file[run[0]]], at[run], int(first[file[run[0]]]), dim)
+
+    found = dealt.select("__ordinal").mapInArrow(read, "__ordinal long, embedding array<float>")
+    return wanted.join(found, F.col(column).cast("long") == F.col("__ordinal")).drop("__ordinal")
+
+
+def records_at(path: str, ordinals: np.ndarray, first: int, dim: int):
+    """One read from the first to the last of ``ordinals``; the file starts at ordinal ``first``."""
+    size = record_bytes(dim)
+    system, plain = open_filesystem(path)
+    count = int(ordinals[-1] - ordinals[0]) + 1
+    with system.open_input_file(plain) as handle:
+        handle.seek(int(ordinals[0] - first) * size)
+        raw = handle.read(count * size)
+    if len(raw) != count * size:
+        raise EOFError(f"{path} ends inside a record")
+    records = np.frombuffer(raw, dtype=np.dtype([("width", "<i4"), ("values", "<f4", (dim,))]))[ordinals - ordinals[0]]
+    wrong = np.flatnonzero(records["width"] != dim)
+    if wrong.size:
+        at = int(wrong[0])
+        raise ValueError(f"record {int(ordinals[at])} of {path} has width {int(records['width'][at])}, expected {dim}")
+    offsets = pa.array(np.arange(len(records) + 1, dtype=np.int32) * dim)
+    flat = pa.array(np.ascontiguousarray(records["values"]).reshape(-1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ordinals), pa.ListArray.from_arrays(offsets, flat)], names=["__ordinal", "embedding"]
+    )
 
 
 def write_records(df: DataFrame, path: str, width: int, kind: str = "fvecs") -> None:

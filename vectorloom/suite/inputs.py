@@ -88,6 +88,24 @@ def fvecs_at_ordinals(spark, sf_dir):
     return found.select("position", "ordinal", F.round(value, 6).alias("total"))
 
 
+@query(
+    "fvecs_ordinals_join",
+    """
+    WITH n AS (SELECT count(*) AS n FROM embeddings)
+    SELECT event_id, user_id % n AS ordinal, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
+    FROM events, n JOIN embeddings ON vec_id = user_id % n
+    """,
+)
+def fvecs_ordinals_join(spark, sf_dir):
+    """Every event asks for the vector at an ordinal of its own; many ask for the same."""
+    path = exported_vectors(spark, sf_dir)
+    count = table(spark, sf_dir, "embeddings").count()
+    asked = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % count).alias("ordinal"))
+    found = records.read_fvecs_ordinals(path, asked, DIM, split_bytes=50 * records.record_bytes(DIM))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return found.select("event_id", "ordinal", F.round(total, 6).alias("total"))
+
+
 @query(
     "ivecs_truth",
     f"""
@@ -129,6 +147,19 @@ def header_check(spark, sf_dir):
     return records.header_violations(spark, path, DIM).select("ordinal", "header")
 
 
+@query("header_check_damaged", "SELECT CAST(129 AS INT) AS header, count(*) AS n FROM embeddings")
+def header_check_damaged(spark, sf_dir):
+    """The same check of records twice as long as expected: each first half bears a wrong header.
+
+    What stands where the second halves should have theirs are vector elements, not counted here.
+    """
+    path = new_workdir(spark, "fvecs")
+    twice = F.concat("embedding", "embedding", F.array(F.lit(0.0).cast("float")))
+    records.write_records(vectors(spark, sf_dir).select("id", twice.alias("embedding")), path, 2 * DIM + 1)
+    found = records.header_violations(spark, path, DIM)
+    return found.where(F.col("header") == 2 * DIM + 1).groupBy("header").agg(F.count("*").alias("n"))
+
+
 # --- lookups ------------------------------------------------------------------------------
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vectorloom.functions.bucket import with_bucket
 from vectorloom.operators import layout
+from vectorloom.operators.ids import dense_ids
 from vectorloom.operators.quality import bucket_violations, fingerprint, mixed_files
 from vectorloom.session import new_workdir
 from vectorloom.suite.base import DIM, query, table, vectors
@@ -67,6 +69,64 @@ def bucket_values_checked(spark, sf_dir):
     return bucket_violations(wrong, 32)
 
 
+@query(
+    "mixed_bucket_files",
+    f"WITH {BUCKET_CTE} SELECT min(id_bucket) AS lowest, max(id_bucket) AS highest FROM bucket",
+)
+def mixed_bucket_files(spark, sf_dir):
+    """The same gate on a file that rows of all buckets were written to."""
+    path = new_workdir(spark, "mixed")
+    with_bucket(vectors(spark, sf_dir), "id", 32).coalesce(1).write.parquet(path)
+    return mixed_files(spark.read.parquet(path)).select("lowest", "highest")
+
+
+FILE_ROWS = 7
+
+
+@query(
+    "bucket_file_sizes",
+    f"""
+    WITH {BUCKET_CTE}
+    SELECT id_bucket, count(*) AS rows, (count(*) + {FILE_ROWS - 1}) // {FILE_ROWS} AS files FROM bucket GROUP BY id_bucket
+    """,
+)
+def bucket_file_sizes(spark, sf_dir):
+    """A small file-size target: each bucket is cut into as many files as it takes."""
+    target = FILE_ROWS * (4 * DIM + 8)
+    rows = spark.read.parquet(bucketed_table(spark, sf_dir, target_file_bytes=target))
+    return rows.groupBy("id_bucket").agg(
+        F.count("*").alias("rows"), F.countDistinct("_metadata.file_path").alias("files")
+    )
+
+
+@query("existing_table_refused", "SELECT count(*) AS rows, true AS refused FROM embeddings")
+def existing_table_refused(spark, sf_dir):
+    """A second load of a table fails and leaves the first one as it was."""
+    path = bucketed_table(spark, sf_dir)
+    try:
+        layout.create_table(vectors(spark, sf_dir), path, buckets=32, dim=DIM)
+        refused = False
+    except AnalysisException as error:
+        refused = "PATH_ALREADY_EXISTS" in str(error)
+    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.lit(refused).alias("refused"))
+
+
+@query(
+    "dense_ids",
+    """
+    SELECT o_orderpriority, o_orderstatus, customers,
+           row_number() OVER (ORDER BY o_orderpriority, o_orderstatus, customers) + 99 AS id
+    FROM (SELECT o_orderpriority, o_orderstatus, o_custkey % 7 AS customers FROM orders)
+    """,
+)
+def numbered_orders(spark, sf_dir):
+    """Ids from 100 for rows without any, most of which are alike."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 7).alias("customers")
+    )
+    return dense_ids(rows, ["o_orderpriority", "o_orderstatus", "customers"], first=100)
+
+
 @query("unpartitioned_layout", PLAIN_SQL)
 def unpartitioned_layout(spark, sf_dir):
     path = new_workdir(spark, "plain")

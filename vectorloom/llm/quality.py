@@ -8,10 +8,10 @@ good documents is above ``risk / rules``" at level ``error / (rules x candidates
 (Bonferroni over all tests). The strictest safe candidate becomes the cutoff; where none is
 safe, as with few labels, the rule rejects nothing there. So with probability ``1 - error``
 all rules together reject at most the share ``risk`` of the good documents of every stratum.
-This is :func:`select_cutoffs`, which the SQL of ``op3_quality_rules`` repeats. It needs about
-2,070 good labels in each of four strata before a rule rejects anything there.
+This is :func:`select_cutoffs`. It needs about 2,070 good labels in each of four strata before a rule
+rejects anything there.
 
-:func:`joint_cutoffs`, which :func:`keep_good` uses, spends the same risk and error better. It goes
+:func:`joint_cutoffs`, which :func:`keep_good` and ``op3_quality_rules`` use, spends the same risk and error better. It goes
 through the rules in the order of ``SEQUENCE`` and through each grid from lenient to strict, and
 tests what all cutoffs chosen so far and the next one reject together against ``risk`` itself;
 at the first failure a rule keeps the cutoff before it. Until a rule has stopped, the steps
@@ -232,6 +232,14 @@ def select_cutoffs(
     )
 
 
+def error_share(stops: int) -> float:
+    """Share of the error for each sequence of tests in which so many rules have stopped."""
+    if stops == 0:
+        return UNSTOPPED
+    ways = math.comb(len(SEQUENCE), stops) * max(map(len, RULES.values())) ** stops
+    return (1 - UNSTOPPED) / (len(SEQUENCE) - 1) / ways
+
+
 def joint_cutoffs(
     measured: DataFrame,
     labels: DataFrame,
@@ -259,12 +267,9 @@ def joint_cutoffs(
         .agg(F.sum("n").alias("good"), F.collect_list(F.struct("above", "n")).alias("cells"))
     )
     strata = cells.agg(F.count("*").alias("n")).scalar()
-    longest = max(map(len, RULES.values()))
 
     def limit(stops):
-        ways = math.comb(len(SEQUENCE), stops) * longest**stops
-        share = UNSTOPPED if stops == 0 else (1 - UNSTOPPED) / (len(SEQUENCE) - 1) / ways
-        return allowed_rejections(F.col("good").cast("double"), risk, F.col("level") * share)
+        return allowed_rejections(F.col("good").cast("double"), risk, F.col("level") * error_share(stops))
 
     cells = cells.withColumn("level", F.lit(error) / F.greatest(strata, F.lit(1)))
     cells = cells.withColumn("allowed", F.array(*map(limit, range(len(SEQUENCE)))))

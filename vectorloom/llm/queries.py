@@ -57,23 +57,45 @@ f AS (
           CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END,
           CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END] AS v
   FROM m),
-grid AS (@GRID@),
+grid(seq, r, cuts) AS (VALUES @GRID@),
 good AS (
-  SELECT lang, v FROM f JOIN (
+  SELECT lang, list_transform((SELECT list(grid ORDER BY seq) FROM grid), lambda g: len(list_filter(g.cuts, lambda c: v[g.r] > c))) AS above
+  FROM f JOIN (
     SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)),
-n AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+cells AS (SELECT lang, above, count(*) AS n FROM good GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY lang),
+shares(stops, share) AS (VALUES @SHARES@),
 lim AS (
-  SELECT lang, max(CASE WHEN p <= @ERROR@ / (@TESTS@ * (SELECT count(*) FROM n)) THEN k ELSE -1 END) AS allowed
+  SELECT lang, stops, max(CASE WHEN p <= @ERROR@ * share / (SELECT count(*) FROM n) THEN k ELSE -1 END) AS allowed
   FROM (
     SELECT lang, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(@RATE@)
              + (n - k) * ln(1 - @RATE@))) OVER (PARTITION BY lang ORDER BY k) AS p
-    FROM (SELECT lang, n, unnest(range(0, CAST(floor(n * @RATE@) AS BIGINT) + 1)) AS k FROM n))
-  GROUP BY lang),
+    FROM (SELECT lang, n, unnest(range(0, CAST(floor(n * @RATE@) AS BIGINT) + 1)) AS k FROM n)), shares
+  GROUP BY lang, stops),
+steps AS (
+  SELECT seq, len(cuts) - g AS needed, row_number() OVER (ORDER BY seq, g) AS s
+  FROM (SELECT seq, cuts, unnest(range(len(cuts))) AS g FROM grid)),
+tried AS (
+  SELECT lang, CAST(0 AS BIGINT) AS s, [11, 11, 11, 11, 11]::BIGINT[] AS needed, 0 AS stops, 0 AS stopped FROM n
+  UNION ALL
+  SELECT lang, s, CASE WHEN skip OR NOT passed THEN needed ELSE next END, CASE WHEN skip OR passed THEN stops ELSE stops + 1 END,
+         CASE WHEN skip OR passed THEN stopped ELSE seq END
+  FROM (
+    SELECT x.lang, x.s, x.needed, x.next, x.stops, x.stopped, x.seq, x.stopped = x.seq AS skip,
+           coalesce(coalesce(sum(c.n) FILTER (WHERE c.above[1] >= next[1] OR c.above[2] >= next[2] OR c.above[3] >= next[3]
+             OR c.above[4] >= next[4] OR c.above[5] >= next[5]), 0) <= any_value(allowed) AND any_value(allowed) >= 0, false) AS passed
+    FROM (
+      SELECT t.lang, steps.s, t.needed, t.stops, t.stopped, steps.seq,
+             [CASE WHEN seq = 1 THEN steps.needed ELSE t.needed[1] END, CASE WHEN seq = 2 THEN steps.needed ELSE t.needed[2] END,
+              CASE WHEN seq = 3 THEN steps.needed ELSE t.needed[3] END, CASE WHEN seq = 4 THEN steps.needed ELSE t.needed[4] END,
+              CASE WHEN seq = 5 THEN steps.needed ELSE t.needed[5] END] AS next
+      FROM tried t JOIN steps ON steps.s = t.s + 1) x
+    LEFT JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang AND x.stops = lim.stops
+    JOIN cells c ON x.lang IS NOT DISTINCT FROM c.lang
+    GROUP BY x.lang, x.s, x.needed, x.next, x.stops, x.stopped, x.seq)),
 cut AS (
-  SELECT x.lang, r, min(c) AS c FROM (
-    SELECT good.lang, r, c, count(*) FILTER (WHERE v[r] > c) AS rejected FROM good, grid GROUP BY ALL) x
-  JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang
-  WHERE rejected <= allowed GROUP BY x.lang, r)
+  SELECT lang, r, cuts[len(cuts) - needed[seq] + 1] AS c
+  FROM tried JOIN grid ON needed[seq] <= len(cuts) WHERE s = (SELECT max(s) FROM steps))
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (
@@ -81,15 +103,17 @@ SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST
 FROM f
 """
 QUALITY_SQL = (
-    QUALITY_SQL.replace(
+    QUALITY_SQL.replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+    .replace(
         "@GRID@",
-        " UNION ALL ".join(
-            f"SELECT {r} AS r, unnest({list(c)}::DOUBLE[]) AS c" for r, c in enumerate(quality.RULES.values(), 1)
+        ", ".join(
+            f"({i}, {list(quality.RULES).index(r) + 1}, {list(quality.RULES[r])}::DOUBLE[])"
+            for i, r in enumerate(quality.SEQUENCE, 1)
         ),
     )
+    .replace("@SHARES@", ", ".join(f"({stops}, {quality.error_share(stops)!r}::DOUBLE)" for stops in range(len(quality.SEQUENCE))))
     .replace("@ERROR@", repr(quality.ERROR))
-    .replace("@TESTS@", str(len(quality.RULES) * 10))
-    .replace("@RATE@", repr(quality.RISK / len(quality.RULES)))
+    .replace("@RATE@", repr(quality.RISK))
 )
 
 
@@ -99,7 +123,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured, name = quality.measure(docs)
     # Numbers only: the texts are read once, the measures twice.
     measured = materialize(measured.drop("text"), "measures")
-    cutoffs = quality.select_cutoffs(measured, table(spark, sf_dir, "labels"), name)
+    cutoffs = quality.joint_cutoffs(measured, table(spark, sf_dir, "labels"), name)
     m = F.col(name)
     return measured.select(
         "doc_id",

@@ -2,8 +2,9 @@
 
 A rule has a host and a path. It fits a URL when its host is the URL's or a parent domain of it
 and the URL's path starts with the rule's; the longest fitting rule decides. Each URL is
-expanded into one expression per pair of a host suffix (at label boundaries) and a path prefix
-(of the lengths that occur among the rules). The expressions meet the rules in an equi-join on
+expanded into one expression per pair of a host suffix (at label boundaries) and a path prefix,
+of the numbers of labels and the lengths that occur among the rules: no other can meet one, and a host of
+very many labels costs no more than its length. The expressions meet the rules in an equi-join on
 the first 32 bits of their SHA-256 digest; whole digests then confirm each meeting.
 
 Equal (page_id, url) rows are judged once and given back as often as they came. The rules are a
@@ -72,17 +73,15 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All ``host suffix + path prefix`` of a URL."""
+def expressions(host: Column, path: Column, counts: list[int], lengths: list[int]) -> Column:
+    """``host suffix + path prefix`` of a URL for these numbers of labels and lengths of the prefix."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    prefixes = F.filter(
-        F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]),
-        lambda p: p.isNotNull(),
-    )
+
+    def known(values: list[Column]) -> Column:
+        return F.array_compact(F.array(*values).cast("array<string>"))
+
+    suffixes = known([F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in counts])
+    prefixes = known([F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     return F.when(host != "", F.array_distinct(pairs))
 
@@ -96,11 +95,13 @@ def judge(
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` of every row."""
     lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]
+    labels = F.size(F.split("host", r"\.", -1)).alias("n")
+    counts = [r.n for r in rules.select(labels).distinct().orderBy("n").collect()]
     urls = pages.groupBy(col(id_col).alias("page_id"), col(url_col).alias("url")).agg(F.count("*").alias("rows"))
     host, path = parse_url(F.col("url"))
     parsed = urls.select("page_id", "url", "rows", host.alias("host"), path.alias("path"))
     expanded = parsed.select(
-        "*", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths)).alias("expression")
+        "*", F.explode_outer(expressions(F.col("host"), F.col("path"), counts, lengths)).alias("expression")
     ).select("*", digest(F.col("expression")).alias("own"), short(digest(F.col("expression"))).alias("own_prefix"))
     met = expanded.join(hashed_rules(rules), F.col("own_prefix") == F.col("prefix"), "left")
     confirmed = F.when(F.col("own") == F.col("digest"), F.col("found"))

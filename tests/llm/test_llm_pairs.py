@@ -194,7 +194,7 @@ def test_pipeline_stages(spark, sf_dir):
     kept = materialize(first(spark, docs, sf_dir), "kept")
     measured, name = quality.measure(docs)
     measured = materialize(measured, "measured")
-    cutoffs = quality.select_cutoffs(measured, labels, name)
+    cutoffs = quality.joint_cutoffs(measured, labels, name)
     good = measured.where(quality.verdicts(measured, cutoffs, name)).select("doc_id")
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in good.collect())
 

@@ -206,6 +206,13 @@ def test_urls(spark, rules):
     assert urls.judge(pages.where("false"), urls.rule_table(spark, rules)).count() == 0
 
 
+def test_hosts_of_many_labels(spark):
+    hosts = ["a." * 100_000 + "net", "." * 50_000 + ".www.example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/{'es' if i == 0 else 'en'}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in urls.judge(pages, urls.rule_table(spark)).collect()}
+    assert got == {0: ("net/es/", "block", len(hosts[0])), 1: ("www.example.com/en/", "allow", len(hosts[1]))}
+
+
 # --- personal data --------------------------------------------------------------------------
 
 BASE = {

@@ -190,6 +190,9 @@ def test_reranking_reads_only_lists_of_candidates(spark, doubles):
     assert "dynamicpruning" in plan_text(vectors).lower()
     read = {r.list_id for r in vectors.select("list_id").distinct().collect()}
     assert read == {r.list_id for r in wanted.collect()} and len(read) <= 2
+    assert "dynamicpruning" in plan_text(pq.rerank(candidates, built.ivf, one, 3)).lower()
+    static = plan_text(pq.rerank(candidates, built.ivf, one, 3, most=5, probed=block.lists))
+    assert "PartitionFilters: [list_id" in static and "dynamicpruning" in static.lower()
 
 
 def test_id_filter_passes_candidates_and_few_others(spark):

@@ -371,20 +371,30 @@ def may_be_in(spark: SparkSession, words: np.ndarray, bits: int, value: Column)
     return test(hashed(value, 0, bits), hashed(value, 1, bits))
 
 
-def rerank(candidates: DataFrame, ivf: IvfIndex, queries: DataFrame, k: int, path: str = "auto") -> DataFrame:
+def rerank(
+    candidates: DataFrame, ivf: IvfIndex, queries: DataFrame, k: int, path: str = "auto",
+    most: int | None = None, probed: np.ndarray | None = None,
+) -> DataFrame:
     """Exact distance of every candidate, best ``k`` per query: ``(query_index, rk, id, dist)``.
 
     Only lists that hold a candidate are read (their partitions are known at run time). On the ``scan``
     path candidates go to the vectors; on the ``join`` path a filter of their ids drops the other vectors
-    before both sides are shuffled. ``auto`` decides by the counted candidates.
+    before both sides are shuffled. ``auto`` decides by the counted candidates; where ``most`` bounds their
+    number well below what can be shipped, they need not be written and counted first, and the ``probed``
+    lists are those that are read.
     """
     spark = candidates.sparkSession
-    wanted = materialize(candidates.select("query_index", "list_id", "id"), "candidates")
-    count = wanted.count()
-    vectors = pruned_vectors(wanted, ivf, spark)
-    if path == "scan" or (path == "auto" and 24 * count <= BROADCAST_LIMIT_BYTES):
+    wanted = candidates.select("query_index", "list_id", "id")
+    small = most is not None and 24 * most <= BROADCAST_LIMIT_BYTES
+    if not small:
+        wanted = materialize(wanted, "candidates")
+        small = path == "scan" or (path == "auto" and 24 * wanted.count() <= BROADCAST_LIMIT_BYTES)
+    if small and path != "join":
+        lists = ivf.lists(spark).select("list_id", "id", "embedding")
+        vectors = pruned_vectors(wanted, ivf, spark) if probed is None else probed_lists(lists, probed)
         hit = vectors.join(F.broadcast(wanted), ["list_id", "id"])
     else:
+        vectors, count = pruned_vectors(wanted, ivf, spark), wanted.count()
         bits = int(min(FILTER_BITS, max(64, 8 * count)))
         passing = vectors.where(may_be_in(spark, id_filter(wanted, bits), bits, F.col("id")))
         hit = passing.join(wanted, ["list_id", "id"])
@@ -430,7 +440,9 @@ def search_pq(
     for number, block in enumerate(blocks):
         part = pq_candidates(index, spark, block, pool, dop).select("query_index", "worker", "list_id", "id", "adc")
         found = part if number == 0 else found.unionByName(part)
-    return rerank(found, index.ivf, queries, k)
+    most = sum(len(block.block) for block in blocks) * pool * dop
+    probed = np.concatenate([block.lists for block in blocks]) if blocks else np.empty(0, dtype=np.int64)
+    return rerank(found, index.ivf, queries, k, most=most, probed=probed)
 
 
 def search_pq_join(

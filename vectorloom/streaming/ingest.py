@@ -62,6 +62,8 @@ def ingest(
 
 def assigned_stream(stream: DataFrame, index: IvfIndex) -> DataFrame:
     """Inverted list of every arriving vector against frozen centroids."""
+    if index.centroids is None:
+        raise ValueError("a stream needs centroids that can be shipped; assign the batches of a tree by foreachBatch")
     return stream.withColumn("list_id", nearest_list(index.centroids))
 
 

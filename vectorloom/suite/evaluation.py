@@ -195,6 +195,23 @@ def latency_summary_ranked(spark, sf_dir):
     return rounded_latency(summary)
 
 
+@query(
+    "latency_hot_and_null_groups",
+    LATENCY_SQL.replace("SELECT event_type,", "SELECT g AS event_type,").replace(
+        "FROM events GROUP BY event_type",
+        "FROM (SELECT *, CASE WHEN user_id % 20 = 0 THEN NULL WHEN user_id % 20 = 1 THEN event_type ELSE 'hot' END AS g FROM events) GROUP BY g",
+    ),
+)
+def latency_hot_and_null_groups(spark, sf_dir):
+    """Nine tenths of the rows in one group, a group without a name, and small ones beside them."""
+    user = F.col("user_id") % 20
+    rows = table(spark, sf_dir, "events").select(
+        F.when(user == 0, F.lit(None)).when(user == 1, F.col("event_type")).otherwise("hot").alias("event_type"),
+        F.col("value").alias("elapsed_ms"),
+    )
+    return rounded_latency(evaluate.latency_summary(rows, ["event_type"]))
+
+
 @query(
     "latency_percentiles_by_user",
     """

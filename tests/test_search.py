@@ -2,16 +2,19 @@ import os
 import subprocess
 import sys
 import tempfile
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import cells, exact, ivf, pq
+from vectorloom.operators.exact import QueryBlock
 from vectorloom.operators.kernel import (
     BestPerQuery,
     dense_matrix,
     nearest_center,
+    pair_distances,
     spare_copies,
     sums_by,
 )
@@ -342,3 +345,44 @@ for name in ("knn_batch", "ivf_pq_search", "fvecs_scan"):
         )
     assert done.returncode == 0, done.stderr[-3000:]
     assert "knn_batch 5000" in done.stdout
+
+
+# --- search steps ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k", [7, 40])
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 3000.0), (1e-25, 0.0), (1e20, 0.0)])
+def test_search_steps_lose_no_row(k, scale, offset):
+    """Filters in single precision on far, tiny and huge vectors, with ties, against all distances."""
+    rng = np.random.default_rng(6)
+    rows = (np.round(rng.normal(size=(5000, 6)), 1) + offset) * scale
+    ids = rng.permutation(len(rows))
+    asked = rows[:30] + 0.05 * scale
+    best = BestPerQuery(asked, k)
+    for start in range(0, len(rows), 1700):
+        best.offer(ids[start : start + 1700], rows[start : start + 1700])
+    position, found, dist = best.rows()
+    for q in range(len(asked)):
+        every = pair_distances(asked[q], rows)
+        nearest = np.lexsort((ids, every))[:k]
+        assert sorted(found[position == q].tolist()) == sorted(ids[nearest].tolist())
+        assert sorted(dist[position == q].tolist()) == every[nearest].tolist()
+
+
+def test_search_steps_take_little_memory():
+    """10,000 rows and 20,000 queries: the matrices of a step are a few megabytes."""
+    rng = np.random.default_rng(7)
+    rows, asked = rng.normal(size=(10_000, 32)), rng.normal(size=(20_000, 32))
+    best = BestPerQuery(asked, 3)
+    tracemalloc.start()
+    best.offer(np.arange(len(rows)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
+def test_single_precision_is_shipped_where_it_is_whole():
+    rows = np.random.default_rng(8).normal(size=(20, 4)).astype(np.float32).astype(np.float64)
+    ids = np.arange(20)
+    assert QueryBlock(ids, rows).plain()[1].dtype == np.float32
+    assert QueryBlock(ids, rows + 1e-12).plain()[1].dtype == np.float64

@@ -29,6 +29,9 @@ QUERY_CELL_BYTES = 64 * MIB
 #: Products of coordinates one cell should compute at most.
 CELL_WORK = 1e12
 
+#: Rows of one batch a task gives back.
+BATCH_ROWS = 200_000
+
 PACKS = "list_id long, part long, pack long, ids binary, payload binary, limits binary"
 PACK_SCHEMA = pa.schema(
     [
@@ -37,6 +40,8 @@ PACK_SCHEMA = pa.schema(
     ]
 )
 KEYS = ["list_id", "row_group", "query_group"]
+#: Length of the list number before a listed pack.
+LIST_BYTES = 8
 
 
 def candidate_batch(index, ids, dist) -> pa.RecordBatch:
@@ -46,6 +51,14 @@ def candidate_batch(index, ids, dist) -> pa.RecordBatch:
     )
 
 
+def kept_batches(index: np.ndarray, best: BestPerQuery):
+    """Candidates of everything kept, a bounded number of queries at a time."""
+    step = max(1, BATCH_ROWS // best.k)
+    for start in range(0, len(index), step):
+        position, ids, dist = best.rows(slice(start, start + step))
+        yield candidate_batch(index[start : start + step][position], ids, dist)
+
+
 def grid_shape(rows: int, row_bytes: int, queries: int, query_bytes: int, state_bytes: int, tasks: int) -> tuple[int, int]:
     """``(row groups, query groups)`` that copy the fewest bytes for at least ``tasks`` cells.
 
@@ -63,11 +76,12 @@ def layout_of(vector_type) -> str:
     return "<f4" if vector_type.elementType.simpleString() == "float" else "<f8"
 
 
-def pack_groups(rows: DataFrame, rows_per_pack: int, layout: str) -> DataFrame:
+def pack_groups(rows: DataFrame, rows_per_pack: int, layout: str, listed: bool = False) -> DataFrame:
     """Packs of rows with the same list and part.
 
     ``rows`` has ``(list_id, part, id, values)`` in that order, and perhaps a number per row after
-    them. ``layout`` is the NumPy type of the values; a pack starts with its item size.
+    them. ``layout`` is the NumPy type of the values; a pack starts with its item size, after
+    the number of its list if it is ``listed``.
     """
     limited = len(rows.columns) == 5
 
@@ -82,11 +96,12 @@ def pack_groups(rows: DataFrame, rows_per_pack: int, layout: str) -> DataFrame:
             for group in np.split(order, cuts):
                 for start in range(0, len(group), rows_per_pack):
                     at = group[start : start + rows_per_pack]
+                    name = int(lists[at[0]]).to_bytes(LIST_BYTES, "little") if listed else b""
                     out.append(
                         {
                             "list_id": int(lists[at[0]]), "part": int(parts[at[0]]), "pack": int(ids[at[0]]),
                             "ids": ids[at].astype("<i8").tobytes(),
-                            "payload": layout[-1].encode() + values[at].tobytes(),
+                            "payload": name + layout[-1].encode() + values[at].tobytes(),
                             "limits": limits[at].astype("<f8").tobytes() if limited else None,
                         }
                     )
@@ -112,6 +127,16 @@ def row_packs(packs: DataFrame, row_groups: Column, query_groups: Column) -> Dat
     )
 
 
+def listed_packs(packs: DataFrame, query_groups: int, side: int) -> DataFrame:
+    """Listed base packs of all lists as one table, in order of their lists, once per query group."""
+    nowhere = F.lit(0).cast("long")
+    return packs.select(
+        nowhere.alias("list_id"), nowhere.alias("row_group"),
+        F.explode(F.sequence(nowhere, F.lit(query_groups - 1).cast("long"))).alias("query_group"),
+        F.lit(side).alias("side"), F.col("list_id").alias("pack"), "ids", "payload", "limits",
+    )
+
+
 def query_packs(packs: DataFrame, row_groups: Column) -> DataFrame:
     """Query packs, each once per row group; their part is the query group."""
     return packs.select(
@@ -126,8 +151,9 @@ def meet(rows: DataFrame, queries: DataFrame, visitor, schema: str, cells: tuple
     """Run ``visitor`` over every cell.
 
     ``visitor()`` gives an object with ``open(list_id, packs)``, ``offer(ids, payload)`` and
-    ``close()``; the last two give Arrow batches of ``schema``. ``cells`` numbers the cells when
-    their count is known, so that each becomes one partition; else they are hashed.
+    ``close()``; the last two give Arrow batches of ``schema``. Rows of side 2 come after those of side 1 and
+    go to ``offer_last``. ``cells`` numbers the cells when their count is known, so that each becomes one
+    partition; else they are hashed.
     """
     both = queries.unionByName(rows)
     dealt = both.repartition(*KEYS) if cells is None else both.repartitionById(*cells)
@@ -146,11 +172,12 @@ def meet(rows: DataFrame, queries: DataFrame, visitor, schema: str, cells: tuple
                 ids, payload = batch.column(4)[row].as_py(), batch.column(5)[row].as_py()
                 if sides[row] == 0:
                     asked.append((ids, payload, batch.column(6)[row].as_py()))
-                elif asked:
+                elif asked or seen is not None:
                     if seen is None:
                         seen = visitor()
                         seen.open(cell[0], asked)
-                    yield from seen.offer(ids, payload)
+                        asked = []  # the visitor holds what it needs of them
+                    yield from (seen.offer if sides[row] == 1 else seen.offer_last)(ids, payload)
         if seen is not None:
             yield from seen.close()
 
@@ -164,11 +191,13 @@ def joined_packs(packs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.full(len(ids), np.inf) if limit is None else np.frombuffer(limit, dtype="<f8")
         for (ids, _), (_, _, limit) in zip(parts, packs)
     ]
-    return (
-        np.concatenate([ids for ids, _ in parts]),
-        np.concatenate([vectors for _, vectors in parts]).astype(np.float64),
-        np.concatenate(limits),
-    )
+    index = np.concatenate([ids for ids, _ in parts])
+    vectors = np.empty((len(index), parts[0][1].shape[1]))
+    at = 0
+    for _, some in parts:
+        vectors[at : at + len(some)] = some
+        at += len(some)
+    return index, vectors, np.concatenate(limits)
 
 
 class Nearest:
@@ -187,5 +216,4 @@ class Nearest:
         return ()
 
     def close(self):
-        position, ids, dist = self.best.rows()
-        yield candidate_batch(self.index[position], ids, dist)
+        yield from kept_batches(self.index, self.best)

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.operators import cells
-from vectorloom.operators.cells import CANDIDATES, candidate_batch
-from vectorloom.operators.kernel import BestPerQuery, dense_matrix, pair_distances
+from vectorloom.operators.cells import CANDIDATES, candidate_batch, kept_batches
+from vectorloom.operators.kernel import BestPerQuery, dense_matrix, lean, pair_distances
 from vectorloom.operators.kernel import rounding_slack
 from vectorloom.operators.topk import check_k, top_per_query
 from vectorloom.session import BROADCAST_LIMIT_BYTES, MIB, fetch_bounded, materialize, split_count
@@ -39,8 +39,11 @@ class QueryBlock:
         return len(self.index)
 
     def plain(self) -> tuple:
-        """Content as arrays: broadcasts carry data only, never classes of this package."""
-        return self.index, self.vectors, self.ceiling
+        """Content as arrays: broadcasts carry data only, never classes of this package.
+
+        Vectors that are whole in single precision are shipped in it.
+        """
+        return self.index, lean(self.vectors), self.ceiling
 
     def part(self, chosen) -> "QueryBlock":
         ceiling = None if self.ceiling is None else self.ceiling[chosen]
@@ -78,8 +81,7 @@ def local_best(base: DataFrame, block: QueryBlock, k: int) -> DataFrame:
         dim = queries.vectors.shape[1]
         for batch in batches:
             best.offer(batch.column(0).to_numpy(), dense_matrix(batch.column(1), dim))
-        position, ids, dist = best.rows()
-        yield candidate_batch(queries.index[position], ids, dist)
+        yield from kept_batches(queries.index, best)
 
     return base.mapInArrow(score, CANDIDATES)
 
@@ -164,7 +166,7 @@ def radius_search(
     block = fetch_queries(queries)
     if block is None:
         return radius_blocks(base, queries, radius, id_col, vec_col)
-    shipped = rows.sparkSession.sparkContext.broadcast(block.plain())
+    shipped = rows.sparkSession.sparkContext.broadcast((block.index, block.vectors))
 
     def score(batches):
         queries = QueryBlock(*shipped.value)

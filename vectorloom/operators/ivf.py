@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.sampling import equidistant_position
 from vectorloom.operators import cells
-from vectorloom.operators.cells import CANDIDATES, candidate_batch
+from vectorloom.operators.cells import CANDIDATES, kept_batches
 from vectorloom.operators.exact import (
     MAX_SCANS,
     STATE_LIMIT_BYTES,
@@ -568,8 +568,7 @@ def probe_scan(index: IvfIndex, spark: SparkSession, asked: ProbedBlock, k: int)
             for list_id, where in groups_of(batch.column(2).to_numpy()):
                 if list_id in wanted:
                     best.offer(ids[where], rows[where], wanted[list_id])
-        position, ids, dist = best.rows()
-        yield candidate_batch(queries.index[position], ids, dist)
+        yield from kept_batches(queries.index, best)
 
     rows = probed_lists(index.lists(spark), asked.lists).select("id", "embedding", "list_id")
     return rows.mapInArrow(score, CANDIDATES)

@@ -234,3 +234,45 @@ def test_tables_and_scores_are_built_in_blocks():
     tracemalloc.stop()
     assert peak < 400e6  # the whole matrix of scores would be 1.3 GB
     assert len(scores.best.rows()[1]) == 4000 * 5
+
+
+def test_groups_search_without_candidates_on_the_way(spark, doubles, monkeypatch):
+    """Pools are re-ranked in the task that filled them: no candidate is written, and a query ships k rows."""
+    rows, _, built = doubles
+    qframe = asked(spark, rows[:60] + 0.1, "double")
+    expected = rows_of(pq.search_pq(built, qframe, 3, 8, dop=2, pool=40, path="scan"))
+    narrow = rows_of(pq.search_pq(built, qframe, 3, 3, dop=2, pool=7, path="scan"))
+    shipped = []
+    meet = cells.meet
+
+    def counted(*arguments):
+        found = meet(*arguments)
+        shipped.append(found.count())
+        return found
+
+    def refuse(*_):
+        raise AssertionError("candidates are written")
+
+    monkeypatch.setattr(cells, "meet", counted)
+    monkeypatch.setattr(pq, "materialize", refuse)
+    assert rows_of(pq.search_pq_join(built, qframe, 3, 8, 2, 40)) == expected
+    assert shipped == [60 * 3]
+    found = pq.search_in_groups(built, qframe, 3, 3, 2, 7, groups=5, pack=16)
+    assert rows_of(found) == narrow
+
+
+def test_groups_are_taken_while_they_copy_little(spark, doubles):
+    _, _, built = doubles
+    assert pq.search_groups(built, 400, 1000, 3, 1, 50, 8) == 8
+    assert pq.search_groups(built, 10**9, 1000, 3, 1, 50, 8) is None
+    many = pq.search_groups(built, 10**6, 10**7, 3, 4, 50, 8)
+    assert many % 8 == 0 and 10**7 / many * pq.query_bytes(built, 50, 4) <= cells.QUERY_CELL_BYTES
+
+
+def test_code_distances_equal_sums_over_tables():
+    rng = np.random.default_rng(5)
+    books, residuals = rng.normal(size=(4, 16, 2)), rng.normal(size=(50, 8))
+    codes = rng.integers(0, 16, size=(50, 4))
+    tables = ((residuals.reshape(50, 4, 1, 2) - books[None]) ** 2).sum(axis=3)
+    summed = np.round(sum(tables[np.arange(50), m, codes[:, m]] for m in range(4)), 9)
+    assert np.array_equal(pq.code_distances(residuals, pq.decoded(codes, books), 4), summed)

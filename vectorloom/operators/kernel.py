@@ -238,14 +238,6 @@ class BestPerQuery:
             q, r = query_pos[start : start + piece], row_pos[start : start + piece]
             self.merge(which[q], ids[r], pair_distances(queries[q], block.rows[r]))
 
-    def offer_scored(self, ids: np.ndarray, dist: np.ndarray, which: np.ndarray) -> None:
-        """Offer a ready ``len(which) x len(ids)`` matrix of distances."""
-        limit = np.minimum(self.dist[which, -1], self.ceiling[which])
-        if len(ids) > self.k:
-            limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
-        query_pos, row_pos = np.nonzero(dist <= limit[:, None])
-        self.merge(which[query_pos], ids[row_pos], dist[query_pos, row_pos])
-
     def merge(self, which: np.ndarray, ids: np.ndarray, dist: np.ndarray, tag: int = 0) -> None:
         """Offer scored pairs: row ``ids[i]`` at ``dist[i]`` from the query at ``which[i]``."""
         keep = (dist <= self.dist[which, -1]) & (dist <= self.ceiling[which])

@@ -28,15 +28,23 @@ from vectorloom.operators.ivf import (
     groups_of,
     list_cells,
     mean_vectors,
+    nearest_lists,
     probed_blocks,
     probed_lists,
     training_sample,
 )
 from vectorloom.operators.kernel import (
-    SCRATCH,
+    NO_ID,
+    PAIR_SCRATCH,
+    ROW_STEP,
     BestPerQuery,
+    RowBlock,
     dense_matrix,
+    near_pairs,
     nearest_center,
+    pair_distances,
+    row_steps,
+    squared_norms,
     sums_by,
 )
 from vectorloom.functions.sampling import equidistant_position
@@ -47,10 +55,14 @@ CANDIDATES = "query_index long, worker int, list_id int, id long, adc double"
 
 #: Folder of the codes below an index; its prefix is the one the registry asks of code artifacts.
 CODES = "builtin.ivf_pq_v1_codes"
-#: Memory for the lookup tables and running pools of the queries one task scores at a time.
+#: Memory for the vectors and running pools of the queries one task scores at a time.
 TABLE_BYTES = 64 * MIB
 #: Bits of the filter of candidate ids: eight per candidate, at most this many (16 MiB).
 FILTER_BITS = 1 << 27
+#: Decimals of a code distance.
+DECIMALS = 9
+#: Bytes a candidate takes in a hashed, shipped table.
+CANDIDATE_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -215,59 +227,77 @@ def load_pq(spark: SparkSession, ivf: IvfIndex, params: PqParams) -> PqIndex:
     return PqIndex(ivf, params, words.reshape(parts, len(words) // parts, -1))
 
 
-def lookup_tables(residuals: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """``query x sub-quantizer x code``: squared distance of residual slice to codeword."""
-    residual = residuals.reshape(len(residuals), books.shape[0], 1, books.shape[2])
-    out = np.empty((len(residuals), books.shape[0], books.shape[1]))
-    step = max(1, SCRATCH // books.size)
-    for start in range(0, len(residuals), step):
-        diff = residual[start : start + step] - books[None]
-        out[start : start + step] = (diff * diff).sum(axis=3)
-    return out
+def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors the codes stand for, ``rows x dim``."""
+    return np.concatenate([book[codes[:, m]] for m, book in enumerate(books)], axis=1)
 
 
-def adc_distances(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Sum of looked-up terms, ``queries x rows``."""
-    total = np.zeros((len(tables), len(codes)))
-    for m in range(codes.shape[1]):
-        total += tables[:, m, :][:, codes[:, m]]
-    return np.round(total, 9)
+def code_distances(residuals: np.ndarray, words: np.ndarray, parts: int) -> np.ndarray:
+    """Squared distance of residual to decoded vector, pair by pair: a term per sub-quantizer, added in order."""
+    diff = residuals - words
+    terms = (diff * diff).reshape(len(diff), parts, -1).sum(axis=2)
+    total = np.zeros(len(diff))
+    for m in range(parts):
+        total += terms[:, m]
+    return np.round(total, DECIMALS)
 
 
 def query_bytes(index: PqIndex, pool: int, dop: int) -> int:
-    """Memory a task keeps per query of a list: its lookup table and its running pools."""
-    return 8 * index.codebooks.shape[0] * index.codebooks.shape[1] + 16 * pool * dop + 8 * index.ivf.dim
+    """Memory a task keeps per query: its vector, shipped and as doubles, and its running pools."""
+    return 16 * index.ivf.dim + 20 * pool * dop
 
 
 class CodeScores:
-    """Best rows by codes for a bounded group of queries on one list; tables are made once and kept."""
+    """Best rows by codes for a bounded group of queries, over all the lists they probe.
+
+    A row's code distance is the distance to the vector its codes stand for, so products find the few pairs
+    that may enter a pool, and only these are scored term by term.
+    """
 
-    def __init__(self, residuals: np.ndarray, books: np.ndarray, pool: int, dop: int):
-        self.tables, self.dop = lookup_tables(residuals, books), dop
-        self.best = BestPerQuery(np.zeros((len(residuals) * dop, 1)), pool)
-        self.slots = np.arange(len(residuals)) * dop
+    def __init__(self, vectors: np.ndarray, books: np.ndarray, pool: int, dop: int):
+        self.vectors, self.books, self.dop = vectors, books, dop
+        self.best = BestPerQuery(np.zeros((len(vectors) * dop, 1)), pool, tagged=True)
 
-    def offer(self, ids: np.ndarray, workers: np.ndarray, codes: np.ndarray) -> None:
-        step = max(1, SCRATCH // max(1, len(self.tables)))
+    def offer(self, ids, workers, codes, which=None, center=0.0, list_id: int = 0) -> None:
+        """Rows of one list and its ``center``, for the queries at ``which``."""
+        which = np.arange(len(self.vectors)) if which is None else which
         for worker, rows in groups_of(workers):
-            for start in range(0, len(rows), step):
-                at = rows[start : start + step]
-                self.best.offer_scored(ids[at], adc_distances(self.tables, codes[at]), self.slots + worker)
-
-
-def candidate_rows(index: np.ndarray, list_id: int, dop: int, best: BestPerQuery) -> pa.RecordBatch:
-    """Kept rows of slots numbered ``query * dop + worker``."""
-    position, ids, dist = best.rows()
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(index[position // dop], pa.int64()),
-            pa.array((position % dop).astype(np.int32)),
-            pa.array(np.full(len(ids), list_id, dtype=np.int32)),
-            pa.array(ids, pa.int64()),
-            pa.array(dist),
-        ],
-        names=["query_index", "worker", "list_id", "id", "adc"],
-    )
+            for part in row_steps(len(rows), self.best.k):
+                at = rows[part]
+                words = decoded(codes[at], self.books)
+                block = RowBlock(words, squared_norms(words))
+                step = max(1, PAIR_SCRATCH // len(at))
+                for start in range(0, len(which), step):
+                    self._offer_block(ids[at], block, which[start : start + step], worker, center, list_id)
+
+    def _offer_block(self, ids, block, which, worker, center, list_id) -> None:
+        residuals, slots = self.vectors[which] - center, which * self.dop + worker
+        limits = self.best.dist[slots, -1]
+        q, r = near_pairs(block, residuals, squared_norms(residuals), limits, self.best.k, 10.0**-DECIMALS)
+        piece = max(1, PAIR_SCRATCH // residuals.shape[1])
+        for start in range(0, len(q), piece):
+            qs, rs = q[start : start + piece], r[start : start + piece]
+            dist = code_distances(residuals[qs], block.rows[rs], len(self.books))
+            self.best.merge(slots[qs], ids[rs], dist, list_id)
+
+
+def candidate_rows(index: np.ndarray, dop: int, best: BestPerQuery):
+    """Batches of the kept rows of slots numbered ``query * dop + worker``."""
+    step = dop * max(1, cells.BATCH_ROWS // (best.k * dop))
+    for start in range(0, len(best.ids), step):
+        part = slice(start, start + step)
+        position, ids, dist = best.rows(part)
+        position = position + start
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(index[position // dop], pa.int64()),
+                pa.array((position % dop).astype(np.int32)),
+                pa.array(best.kept_tags(part)),
+                pa.array(ids, pa.int64()),
+                pa.array(dist),
+            ],
+            names=["query_index", "worker", "list_id", "id", "adc"],
+        )
 
 
 def pq_candidates(index: PqIndex, spark: SparkSession, asked: ProbedBlock, pool: int, dop: int) -> DataFrame:
@@ -275,7 +305,7 @@ def pq_candidates(index: PqIndex, spark: SparkSession, asked: ProbedBlock, pool:
 
     With ``dop`` pools, pool ``id_bucket mod dop`` holds the best rows of its buckets alone, so the
     candidates, and with them recall, may grow with ``dop``. The caller bounds the queries by the size of
-    their tables; a task works through one list at a time and keeps its tables between batches.
+    their pools; a task ships the best of all lists it reads.
     """
     books, centroids = index.codebooks, index.ivf.centroids
     shipped = spark.sparkContext.broadcast((asked.block.plain(), asked.wanted(), centroids, books))
@@ -283,21 +313,16 @@ def pq_candidates(index: PqIndex, spark: SparkSession, asked: ProbedBlock, pool:
     def score(batches):
         plain, wanted, centers, books = shipped.value
         queries = QueryBlock(*plain)
-        current, scores = None, None
+        scores = None
         for batch in batches:
             ids, codes = batch.column(0).to_numpy(), dense_matrix(batch.column(1), len(books)).astype(np.int64)
             workers, lists = batch.column(2).to_numpy() % dop, batch.column(3).to_numpy()
+            scores = scores or CodeScores(queries.vectors, books, pool, dop)
             for list_id, at in groups_of(lists):
-                if list_id not in wanted:
-                    continue
-                if list_id != current:
-                    if scores is not None:
-                        yield candidate_rows(queries.index[wanted[current]], current, dop, scores.best)
-                    residuals = queries.vectors[wanted[list_id]] - centers[list_id]
-                    current, scores = list_id, CodeScores(residuals, books, pool, dop)
-                scores.offer(ids[at], workers[at], codes[at])
+                if list_id in wanted:
+                    scores.offer(ids[at], workers[at], codes[at], wanted[list_id], centers[list_id], list_id)
         if scores is not None:
-            yield candidate_rows(queries.index[wanted[current]], current, dop, scores.best)
+            yield from candidate_rows(queries.index, dop, scores.best)
 
     rows = probed_lists(index.codes(spark), asked.lists).select("id", "codes", "id_bucket", "list_id")
     return cap_per_worker(rows.mapInArrow(score, CANDIDATES), pool)
@@ -316,11 +341,136 @@ class CodeCells:
 
     def offer(self, ids: bytes, payload: bytes):
         numbers, values = cells.unpack(ids, payload, "<i")
-        self.scores.offer(numbers, values[:, 0].astype(np.int64), values[:, 1:].astype(np.int64))
+        workers, codes = values[:, 0].astype(np.int64), values[:, 1:].astype(np.int64)
+        self.scores.offer(numbers, workers, codes, list_id=self.list_id)
+        return ()
+
+    def close(self):
+        yield from candidate_rows(self.index, self.dop, self.scores.best)
+
+
+class CodeSearch:
+    """Visitor of whole searches: a group of queries, the codes of all lists, then the vectors of all lists.
+
+    The pools of the group stay in the task that filled them, and are re-ranked as the vectors pass by.
+    """
+
+    def __init__(self, centers: np.ndarray, books: np.ndarray, k: int, nprobe: int, dop: int, pool: int):
+        self.centers, self.books, self.k = centers, books, k
+        self.nprobe, self.dop, self.pool = nprobe, dop, pool
+
+    def open(self, list_id: int, packs: list) -> None:
+        self.index, self.vectors, _ = cells.joined_packs(packs)
+        lists = nearest_lists(self.vectors, self.centers, self.nprobe)
+        place = np.argsort(lists, axis=None, kind="stable")
+        flat, position = lists.ravel()[place], place // lists.shape[1]
+        cuts = np.flatnonzero(np.diff(flat)) + 1
+        self.wanted = {int(group[0]): at for group, at in zip(np.split(flat, cuts), np.split(position, cuts))}
+        self.scores = CodeScores(self.vectors, self.books, self.pool, self.dop)
+        self.waiting, self.list_id, self.best = [], None, None
+
+    def offer(self, ids: bytes, payload: bytes):
+        list_id = int.from_bytes(payload[: cells.LIST_BYTES], "little")
+        if list_id in self.wanted:
+            if list_id != self.list_id:
+                self._score()
+            self.list_id = list_id
+            self.waiting.append(cells.unpack(ids, payload[cells.LIST_BYTES :], "<i"))
+            if sum(len(numbers) for numbers, _ in self.waiting) >= self.dop * max(ROW_STEP, 16 * self.pool):
+                self._score()
+        return ()
+
+    def _score(self) -> None:
+        """Rows of a list wait for others, since a step over many costs few merges."""
+        if self.waiting:
+            numbers = np.concatenate([numbers for numbers, _ in self.waiting])
+            values = np.concatenate([values for _, values in self.waiting]).astype(np.int64)
+            where, center = self.wanted[self.list_id], self.centers[self.list_id]
+            self.scores.offer(numbers, values[:, 0], values[:, 1:], where, center, self.list_id)
+            self.waiting = []
+
+    def _to_rerank(self) -> None:
+        self._score()
+        kept = self.scores.best
+        del self.scores, kept.dist
+        position = (np.nonzero(kept.ids != NO_ID)[0] // self.dop).astype(np.int32)
+        lists, ids = kept.kept_tags(), kept.ids[kept.ids != NO_ID]
+        del kept
+        order = np.argsort(ids)
+        self.chosen = ids[order], position[order], lists[order]
+        self.best = BestPerQuery(self.vectors, self.k)
+
+    def offer_last(self, ids: bytes, payload: bytes):
+        if self.best is None:
+            self._to_rerank()
+        list_id = int.from_bytes(payload[: cells.LIST_BYTES], "little")
+        numbers, rows = cells.unpack(ids, payload[cells.LIST_BYTES :])
+        chosen, position, lists = self.chosen
+        first = np.searchsorted(chosen, numbers, "left")
+        count = np.searchsorted(chosen, numbers, "right") - first
+        row = np.repeat(np.arange(len(numbers)), count)
+        at = np.arange(len(row)) + np.repeat(first - np.cumsum(count) + count, count)
+        same = lists[at] == list_id
+        row, at = row[same], at[same]
+        piece = max(1, PAIR_SCRATCH // rows.shape[1])
+        for start in range(0, len(row), piece):
+            r, where = row[start : start + piece], position[at[start : start + piece]]
+            dist = pair_distances(rows[r].astype(np.float64), self.vectors[where])
+            self.best.merge(where.astype(np.int64), numbers[r], dist)
         return ()
 
     def close(self):
-        yield candidate_rows(self.index, self.list_id, self.dop, self.scores.best)
+        if self.best is not None:
+            yield from cells.kept_batches(self.index, self.best)
+
+
+def search_groups(index: PqIndex, rows: int, queries: int, k: int, dop: int, pool: int, tasks: int) -> int | None:
+    """Groups of queries that each see all codes and vectors, or ``None`` where that copies too much.
+
+    Every group reads each vector once, in place of a row per candidate: worth it while the copies are at
+    most twice the candidates.
+    """
+    state = query_bytes(index, pool, dop) + 16 * k
+    groups = max(
+        -(-queries * state // cells.QUERY_CELL_BYTES),
+        int(rows * queries * index.ivf.dim / cells.CELL_WORK) + 1,
+    )
+    groups = -(-groups // tasks) * tasks
+    fits = index.ivf.centroids is not None and groups * rows <= 2 * queries * pool * dop
+    return int(groups) if fits else None
+
+
+def search_in_groups(
+    index: PqIndex, queries: DataFrame, k: int, nprobe: int, dop: int, pool: int, groups: int, pack: int
+) -> DataFrame:
+    """Pools and re-ranking in one pass: each group of queries meets the codes, then the vectors, of all lists."""
+    spark = queries.sparkSession
+    nowhere = F.lit(0).cast("long")
+    lists = index.ivf.lists(spark)
+    number = F.col("list_id").cast("long").alias("list_id")
+    owner = F.pmod("id_bucket", F.lit(dop)).cast("short")
+    coded = index.codes(spark).select(
+        number, nowhere.alias("part"), "id", F.concat(F.array(owner), F.col("codes")).alias("values")
+    )
+    rows = lists.select(number, nowhere.alias("part"), "id", "embedding")
+    group = F.pmod(F.xxhash64("query_index"), F.lit(groups).cast("long"))
+    asked = queries.select(nowhere.alias("list_id"), group.alias("part"), "query_index", "qvec")
+    asked = asked.repartition(groups, "part")
+    base = cells.listed_packs(cells.pack_groups(coded, pack, "<i2", listed=True), groups, 1).unionByName(
+        cells.listed_packs(
+            cells.pack_groups(rows, pack, cells.layout_of(rows.schema["embedding"].dataType), listed=True), groups, 2
+        )
+    )
+    packed = cells.query_packs(
+        cells.pack_groups(asked, pack, cells.layout_of(queries.schema["qvec"].dataType)), F.lit(1).cast("long")
+    )
+    shipped = spark.sparkContext.broadcast((check_shipped(index.ivf.centroids, "centroids"), index.codebooks))
+
+    def visitor():
+        return CodeSearch(*shipped.value, k, nprobe, dop, pool)
+
+    found = cells.meet(base, packed, visitor, cells.CANDIDATES, (groups, F.col("query_group").cast("int")))
+    return top_per_query(found, k).select("query_index", "rk", "id", "dist")
 
 
 def candidates_by_join(
@@ -430,6 +580,8 @@ def search_pq(
     pool = pool or fetch_k(k)
     per_scan = max(1, TABLE_BYTES // query_bytes(index, pool, dop))
     shipped = index.ivf.centroids is not None
+    if path == "auto" and CANDIDATE_BYTES * queries.count() * pool * dop > BROADCAST_LIMIT_BYTES:
+        path = "join"
     blocks = probed_blocks(queries, index.ivf, nprobe, per_scan, path if shipped or path == "scan" else "join")
     if blocks is None:
         return search_pq_join(index, queries, k, nprobe, dop, pool)
@@ -455,5 +607,15 @@ def search_pq_join(
     pack: int = 2048,
     path: str = "auto",
 ) -> DataFrame:
-    """:func:`search_pq` for query sets too large to ship: every step is a join."""
+    """:func:`search_pq` for query sets too large to ship: every step is a join.
+
+    Where the candidates of a group of queries would name most vectors anyway, the group meets the codes and
+    the vectors in one task (:func:`search_in_groups`); ``path`` chooses how candidates are re-ranked otherwise.
+    """
+    if path == "auto":
+        tasks = queries.sparkSession.sparkContext.defaultParallelism
+        rows = index.ivf.lists(queries.sparkSession).count()
+        groups = search_groups(index, rows, queries.count(), k, dop, pool, tasks)
+        if groups is not None:
+            return search_in_groups(index, queries, k, nprobe, dop, pool, groups, pack)
     return rerank(candidates_by_join(index, queries, nprobe, dop, pool, pack), index.ivf, queries, k, path)

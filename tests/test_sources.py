@@ -156,6 +156,23 @@ def test_large_log_keeps_line_order_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_log_writers_and_sorts_follow_the_size(spark, tmp_path, monkeypatch):
+    """Written files hold a bounded number of lines, none of a statement is cut off, and only needed lines are sorted."""
+    monkeypatch.setattr(text_source, "FILE_LINES", 500)
+    texts = ["__MVP_QUERY_BEGIN_{}__", "17", "noise", "Time: 2.5 ms", "__MVP_QUERY_END_{}__"]
+    rows = [(f"run-{q % 3}", q, i, t.format(q)) for q in range(2000) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "run string, event long, seq long, line string").repartition(5)
+    text_source.write_lines(lines, str(tmp_path / "logs"), ["run", "event"], ["seq"])
+    read = text_source.read_lines(spark, str(tmp_path / "logs"))
+    sizes = [r["count"] for r in read.groupBy("file").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 1500 and sum(sizes) == 10_000
+    times = text_source.statement_times(read)
+    assert times.where("elapsed_ms = 2.5").count() == 2000
+    assert {r.query_no for r in times.collect()} == set(range(2000))
+    found = text_source.query_lines(read, F.col("line").rlike("^Time"))
+    assert found.count() == 2000
+
+
 def document(**changes):
     base = {
         "format-version": 2,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,13 @@ from vectorloom.functions.text import (
     setting_key_value,
     strip,
 )
+from vectorloom.session import split_count
+
+#: Lines a written file should hold, and files written at least.
+FILE_LINES = 1_000_000
+MIN_FILES = 8
+#: Tasks that sort the lines of one input split.
+SORTS_PER_SPLIT = 4
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +37,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_lines(lines: DataFrame, path: str, whole: list[str], order: list[str]) -> None:
+    """The column ``line`` as text files, ordered by ``whole`` and ``order``.
+
+    Rows alike in ``whole`` stay in one file; files are as many as the number of lines asks for, so a task
+    sorts a bounded share of them.
+    """
+    files = max(MIN_FILES, -(-lines.count() // FILE_LINES))
+    placed = lines.repartitionByRange(files, *whole).sortWithinPartitions(*whole, *order)
+    placed.select("line").write.text(path)
+
+
 def settings(lines: DataFrame) -> DataFrame:
     """Last value of every key per file: ``(file, key, value)``."""
     pairs = lines.withColumn("pair", setting_key_value("line")).where(F.col("pair").isNotNull())
@@ -48,11 +66,13 @@ def settings_maps(lines: DataFrame) -> DataFrame:
     )
 
 
-def query_lines(lines: DataFrame) -> DataFrame:
-    """Lines between a begin and the next end marker, tagged with their ``query_no``.
+def query_lines(lines: DataFrame, wanted: Column) -> DataFrame:
+    """The ``wanted`` lines between a begin and the next end marker, tagged with their ``query_no``.
 
     The open query is carried forward inside each chunk and, through one small row per chunk,
-    from chunk to chunk: no task ever sorts a whole file.
+    from chunk to chunk: no task ever sorts a whole file. Other lines are left out before the shuffle, and
+    the tasks that sort follow the input splits: names of files compress so well that tasks merged by
+    their shuffled bytes would hold very many lines.
     """
     text = strip("line")
     begin = F.regexp_extract(text, QUERY_BEGIN_PATTERN, 1)
@@ -60,8 +80,10 @@ def query_lines(lines: DataFrame) -> DataFrame:
         text.rlike(QUERY_END_PATTERN), F.lit(-1).cast("long")
     )
     marked = lines.select("file", "chunk", "seq", text.alias("line"), marker.alias("marker"))
+    marked = marked.where(F.col("marker").isNotNull() | wanted)
+    dealt = marked.repartition(SORTS_PER_SPLIT * split_count(lines), "file", "chunk")
     inside = W.partitionBy("file", "chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    local = marked.withColumn("open_here", F.last("marker", ignorenulls=True).over(inside))
+    local = dealt.withColumn("open_here", F.last("marker", ignorenulls=True).over(inside))
 
     tails = marked.groupBy("file", "chunk").agg(
         F.max_by("marker", F.when(F.col("marker").isNotNull(), F.col("seq"))).alias("tail")
@@ -81,7 +103,8 @@ def query_lines(lines: DataFrame) -> DataFrame:
 def returned_ids(lines: DataFrame) -> DataFrame:
     """Ids in output order: ``(file, query_no, rk, id)``."""
     order = W.partitionBy("file", "query_no").orderBy("chunk", "seq")
-    found = query_lines(lines).where(F.col("line").rlike(ROW_ID_PATTERN))
+    wanted = F.col("line").rlike(ROW_ID_PATTERN)
+    found = query_lines(lines, wanted).where(wanted)
     return found.select(
         "file",
         "query_no",
@@ -93,7 +116,7 @@ def returned_ids(lines: DataFrame) -> DataFrame:
 def statement_times(lines: DataFrame) -> DataFrame:
     """Last reported time of every query: ``(file, query_no, elapsed_ms)``."""
     ms = F.regexp_extract("line", TIME_PATTERN, 1)
-    found = query_lines(lines).withColumn("ms", ms).where(F.length("ms") > 0)
+    found = query_lines(lines, F.length(ms) > 0).withColumn("ms", ms).where(F.length("ms") > 0)
     return found.groupBy("file", "query_no").agg(
         F.max_by(F.col("ms").cast("double"), F.struct("chunk", "seq")).alias("elapsed_ms")
     )

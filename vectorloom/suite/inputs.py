@@ -23,6 +23,7 @@ from vectorloom.sources.text import (
     settings,
     settings_maps,
     statement_times,
+    write_lines,
 )
 from vectorloom.suite.base import DIM, EXACT_CTE, K, all_queries, query, table, vectors
 
@@ -332,9 +333,8 @@ def log_times(spark, sf_dir):
 def log_files(spark, sf_dir):
     """The same logs as text files: line order comes from split offsets."""
     path = new_workdir(spark, "logs")
-    lines = log_lines(spark, sf_dir).withColumnRenamed("file", "run")
-    placed = lines.repartition(8, "run").sortWithinPartitions("run", "seq")
-    placed.select("line").write.text(path)
+    lines = log_lines(spark, sf_dir).withColumnRenamed("file", "run").withColumn("event", F.expr("seq div 7"))
+    write_lines(lines, path, ["run", "event"], ["seq"])
     return statement_times(read_lines(spark, path)).select("query_no", "elapsed_ms")
 
 

@@ -38,6 +38,19 @@ def test_encoder_equals_library(path):
         assert own.encode(text) == expected, text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_plain_words_need_no_translation(path):
+    class Blank(dict):
+        def __missing__(self, byte):
+            raise AssertionError(f"byte {byte} is translated")
+
+    own, library = Encoder(path), Tokenizer.from_file(path)
+    own.letters = Blank({32: own.letters[32]})
+    for text in ("Some plain words", "words, with marks.\nAnd lines; too!"):
+        expected = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.encode(text) == expected
+
+
 def test_transducer_equals_library():
     counter, library = transducer.Counter(BYTE), Tokenizer.from_file(BYTE)
     texts = strings(4000, 2) + ["a" * 3000, "ab" * 2000, "x y " * 400_000]

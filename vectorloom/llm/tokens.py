@@ -55,7 +55,9 @@ class _Memo(dict):
             packed = self.owner.by_library(self.prefix + piece)
         elif found.end(1) == len(piece):
             packed = self.owner.word(self.prefix + piece)
-        else:  # words and marks are remembered, not each of their combinations
+        elif found[3] is None:  # words and marks are remembered, not each of their combinations
+            return self[found[1]] + self.owner.pieces[found[2]]
+        else:
             rest = [part for part in found.groups()[1:] if part]
             return self[found[1]] + b"".join(map(self.owner.pieces.__getitem__, rest))
         if len(self) < MEMO_ENTRIES:
@@ -84,7 +86,10 @@ class Encoder:
     def word(self, word: str) -> bytes:
         if self.drops_space:
             word = word.lower()
-        spelled = word.encode().decode("latin-1").translate(self.letters)
+        if word.isascii():  # letters stand for themselves, so only the blank is written otherwise
+            spelled = word.replace(" ", self.letters[32])
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:

@@ -30,6 +30,7 @@ AFTER_NON_SPACE = re.compile(r"(?<=\S)(?= )")
 #: Letters that every Unicode version knows, and that NFC and per-letter lower case keep single.
 LETTERS = r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+"
 WORDS = re.compile(rf"({LETTERS})([.,;:!?]*)(?:(\n)({LETTERS})([.,;:!?]*))?")
+MARKS = frozenset(".,;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,6 +51,14 @@ class _Memo(dict):
         self.owner, self.prefix = owner, prefix
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isascii():  # what most pieces are, without the pattern
+            if piece.isalpha():
+                packed = self.owner.word(self.prefix + piece)
+                if len(self) < MEMO_ENTRIES:
+                    self[piece] = packed
+                return packed
+            if piece[-1:] in MARKS and piece[:-1].isalpha():
+                return self[piece[:-1]] + self.owner.pieces[piece[-1]]
         found = WORDS.fullmatch(piece)
         if found is None:
             packed = self.owner.by_library(self.prefix + piece)
